@@ -1,0 +1 @@
+"""Nothing in scope consumes a stream; every operator is a batch plan over DataFrames."""
