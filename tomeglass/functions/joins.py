@@ -43,13 +43,14 @@ def join_requests(
     return salted.join(copies, [*on, "_salt"]).drop("_salt")
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """Inner join of rows with a lookup that is unique on ``on`` and knows each key's row count in ``weight``.
+def join_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], counts: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Inner join of rows with a lookup that is unique on ``on``, where few keys may own most of the rows.
 
-    The ``hot_keys`` most frequent keys, a table of fixed size, are broadcast, and their rows stay where they are.
-    Every other key holds less than one ``hot_keys``-th of the rows, so the rest is an ordinary shuffled join.
+    ``counts`` holds the rows per key in its column ``n``. The ``hot_keys`` most frequent keys, a table of fixed size,
+    are broadcast, and their rows stay where they are. Every other key owns less than one ``hot_keys``-th of the
+    rows, so the rest is an ordinary shuffled join.
     """
-    hot = lookup.orderBy(F.desc(weight), *on).limit(hot_keys)
-    hot_rows = rows.join(F.broadcast(hot), list(on))
-    cold_rows = rows.join(F.broadcast(hot.select(*on)), list(on), "left_anti").join(lookup, list(on))
+    hot = F.broadcast(counts.orderBy(F.desc("n"), *on).limit(hot_keys).select(*on))
+    hot_rows = rows.join(F.broadcast(lookup.join(hot, list(on))), list(on))
+    cold_rows = rows.join(hot, list(on), "left_anti").join(lookup, list(on))
     return hot_rows.unionByName(cold_rows)

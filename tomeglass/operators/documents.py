@@ -31,10 +31,18 @@ def topic_members(topic_doc: DataFrame, threshold: float = THRESHOLD, topic_id:
     return members if topic_id is None else members.where(F.col("topic_id") == topic_id)
 
 
-def with_documents(members: DataFrame, documents: DataFrame) -> DataFrame:
-    """Topic members with title and abstract. Both sides are joined on doc_id, which is unique per topic."""
+def with_documents(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Add title and abstract to hits, topic members or whatever else has a doc_id.
+
+    The rows are settled first, so that no text moves for rows that drop out later. Few rows are broadcast to the
+    documents. Of many, the most frequent documents are broadcast to the rows, and the others joined by shuffle.
+    """
+    rows = cut_lineage(rows)
     shown = documents.select("doc_id", tx.title_or_default(F.col("title")).alias("title"), "abstract")
-    return members.join(shown, "doc_id")
+    if is_within(rows, BROADCAST_ROWS):
+        return shown.join(F.broadcast(rows), "doc_id")
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return join_lookup(rows, shown, ["doc_id"], counts, hot_keys=100)
 
 
 def in_facets(
@@ -67,27 +75,21 @@ def faceted(
     year_to: int | None = None,
     university: str | None = None,
 ) -> DataFrame:
-    """(doc_id, title, abstract, year) of one topic's members within the facets. All conditions reach the scans."""
+    """(doc_id, year) of one topic's members within the facets. All conditions reach the scans, and no text moves;
+    ``with_documents`` adds it to what is found."""
     members = topic_members(topic_doc, threshold, topic_id).select("doc_id")
-    chosen = documents.where(in_facets(year_from, year_to, university))
-    return members.join(chosen, "doc_id").select(
-        "doc_id", tx.title_or_default(F.col("title")).alias("title"), "abstract", "year"
-    )
+    chosen = documents.where(in_facets(year_from, year_to, university)).select("doc_id", "year")
+    return members.join(chosen, "doc_id")
 
 
 def faceted_batch(topic_doc: DataFrame, documents: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, doc_id, title, abstract, year) for
-    ``requests(request_id, topic_id, threshold, year_from, year_to, university)``."""
+    """(request_id, doc_id, year) for ``requests(request_id, topic_id, threshold, year_from, year_to, university)``."""
     asked = join_requests(topic_doc, requests, ["topic_id"], spread_by="doc_id")
     members = asked.where(F.col("weight") > F.col("threshold")).select(
         "request_id", "doc_id", "year_from", "year_to", F.col("university").alias("wanted_university")
     )
     inside = in_facets(F.col("year_from"), F.col("year_to"), F.col("wanted_university"))
-    return (
-        members.join(documents, "doc_id")
-        .where(inside)
-        .select("request_id", "doc_id", tx.title_or_default(F.col("title")).alias("title"), "abstract", "year")
-    )
+    return members.join(documents, "doc_id").where(inside).select("request_id", "doc_id", "year")
 
 
 def faceted_counts(found: DataFrame, requests: DataFrame) -> DataFrame:
@@ -140,10 +142,11 @@ def similar_documents(weights: DataFrame, k: int = SIMILAR_DOCUMENTS, digits: in
     lists = best.groupBy(F.col("query_id").alias("group_id")).agg(
         F.sort_array(F.collect_list(F.struct("rank", "similar_id", "d2"))).alias("near")
     )
-    lookup = groups.join(lists, "group_id").select(*on, "copies", "near")
+    lookup = groups.join(lists, "group_id").select(*on, "near")
+    counts = groups.select(*on, F.col("copies").alias("n"))
 
     others = F.filter("near", lambda n: n["similar_id"] != F.col("doc_id"))
-    found = join_lookup(keyed, lookup, on, weight="copies").select("doc_id", F.slice(others, 1, k).alias("near"))
+    found = join_lookup(keyed, lookup, on, counts).select("doc_id", F.slice(others, 1, k).alias("near"))
     return found.select("doc_id", F.posexplode("near").alias("at", "n")).select(
         "doc_id", (F.col("at") + 1).alias("rank"), "n.similar_id", "n.d2"
     )

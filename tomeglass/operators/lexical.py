@@ -32,6 +32,12 @@ class TextIndex:
 # Tokens and statistics
 
 
+def by_document(documents: DataFrame, fields: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """The texts hashed by document: one shuffle of plain text in place of one of counted words, which are larger."""
+    texts = documents.select("doc_id", *fields)
+    return texts.repartition(partitions, "doc_id") if partitions else texts.repartition("doc_id")
+
+
 def token_arrays(documents: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(doc_id, field, tokens, dl): one row per document and field, from one scan and without a shuffle."""
     per_field = F.array(*[F.struct(F.lit(f).alias("field"), tx.tokens(F.col(f)).alias("tokens")) for f in fields])
@@ -46,7 +52,10 @@ def tokenize(documents: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def postings(arrays: DataFrame) -> DataFrame:
-    """(doc_id, field, term, tf, dl). A word held by every document still spreads, as the document is in the key."""
+    """(doc_id, field, term, tf, dl). A word held by every document still spreads, as the document is in the key.
+
+    Where the documents were hashed by doc_id before, as ``by_document`` does, counting needs no further shuffle.
+    """
     occurrences = arrays.select("doc_id", "field", "dl", F.explode("tokens").alias("term"))
     return occurrences.groupBy("doc_id", "field", "term").agg(
         F.count("*").alias("tf"), F.max("dl").alias("dl")
@@ -138,8 +147,7 @@ def _with_term_stats(wanted: DataFrame, stats: DataFrame, few: bool) -> DataFram
     on = ["field", "term"]
     if few:
         return stats.join(F.broadcast(wanted), on)
-    uses = wanted.groupBy(*on).agg(F.count("*").alias("uses"))
-    return join_lookup(wanted, uses.join(stats, on), on, weight="uses").drop("uses")
+    return join_lookup(wanted, stats, on, wanted.groupBy(*on).agg(F.count("*").alias("n")))
 
 
 def search_page(
@@ -148,13 +156,3 @@ def search_page(
     """Page ``page`` (from 1) of the ranked hits; ranks go on from the page before."""
     hits = search(index, queries, k=page * size, fields=fields)
     return hits.where(F.col("rank") > (page - 1) * size)
-
-
-def enrich_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits with title and abstract. Few hits are broadcast to the documents; of many, the most frequent documents
-    are broadcast to the hits and the others joined by shuffle."""
-    shown = documents.select("doc_id", tx.title_or_default(F.col("title")).alias("title"), "abstract")
-    if is_within(hits, BROADCAST_ROWS):
-        return shown.join(F.broadcast(hits), "doc_id")
-    uses = hits.groupBy("doc_id").agg(F.count("*").alias("uses"))
-    return join_lookup(hits, uses.join(shown, "doc_id"), ["doc_id"], weight="uses", hot_keys=100).drop("uses")

@@ -21,7 +21,7 @@ from tomeglass.functions import text as tx
 from tomeglass.operators import nearest as nn
 from tomeglass.operators.learning import heaviest_words
 from tomeglass.operators.lexical import TextIndex
-from tomeglass.session import fresh_path
+from tomeglass.session import cut_lineage, fresh_path
 from tomeglass.sources.index_store import write_index
 from tomeglass.sources.models import TopicModel, matrix_to_long, read_model, write_model
 
@@ -117,7 +117,9 @@ class Corpus:
         topic = self.documents.join(labels, "doc_id", "left").select(
             "doc_id", F.coalesce("label", by_source).cast("bigint").alias("topic_id")
         )
-        used = self.index.postings.join(topic, "doc_id").groupBy("topic_id", "term").agg(F.sum("tf").alias("n"))
+        # Postings lie hashed by document, so only the narrow side moves and no side needs sorting.
+        labelled = self.index.postings.join(topic.hint("shuffle_hash"), "doc_id")
+        used = cut_lineage(labelled.groupBy("topic_id", "term").agg(F.sum("tf").alias("n")))
         totals = used.groupBy("topic_id").agg(F.sum("n").alias("total"))
         return used.join(F.broadcast(totals), "topic_id").select(
             "topic_id", "term", F.round(F.col("n") / F.col("total"), 9).alias("weight")

@@ -57,13 +57,13 @@ def topic_page(model: TopicModel, documents: DataFrame, topic_id: int) -> TopicP
     heaviest = tp.top_docs(model.topic_doc.where(F.col("topic_id") == topic_id))
     similar = tp.similar_topics(model.topic_word).where(F.col("topic_id") == topic_id)
     links = tp.topic_labels(model.topics).select(F.col("topic_id").alias("similar_id"), "link")
-    return TopicPage(heading, lex.enrich_hits(heaviest, documents), similar.join(links, "similar_id"))
+    return TopicPage(heading, docs.with_documents(heaviest, documents), similar.join(links, "similar_id"))
 
 
 def facet_page(model: TopicModel, documents: DataFrame, requests: DataFrame) -> FacetPage:
     """Documents of topics within facets, how many there are, and the chart by year, for a batch of requests."""
     found = docs.faceted_batch(model.topic_doc, documents, requests)
-    return FacetPage(found, docs.faceted_counts(found, requests), docs.year_histogram(found, requests))
+    return FacetPage(docs.with_documents(found, documents), docs.faceted_counts(found, requests), docs.year_histogram(found, requests))
 
 
 def document_page(model: TopicModel, weights: DataFrame, documents: DataFrame, wanted: DataFrame) -> DocumentPage:
@@ -101,4 +101,4 @@ def search_page(
         hits = knn(vectors, encode(texts).withColumnRenamed("doc_id", "query_id"))
     else:
         raise ValueError(f"method must be one of {METHODS}")
-    return lex.enrich_hits(hits, documents)
+    return docs.with_documents(hits, documents)

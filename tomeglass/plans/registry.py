@@ -115,7 +115,7 @@ def topic_model_long(c: Corpus) -> DataFrame:
 def postings_write(c: Corpus) -> DataFrame:
     """Write the postings twice to one place, read them back and count."""
     path, buckets = fresh_path(c.spark, "postings"), 8
-    rows = lex.postings(lex.token_arrays(c.documents, FIELDS))
+    rows = lex.postings(lex.token_arrays(lex.by_document(c.documents, FIELDS, buckets), FIELDS))
     for _ in range(2):
         index_store.write_postings(rows, path, buckets)
     stored = index_store.read_postings(c.spark, path, buckets)
@@ -162,13 +162,15 @@ def topic_members(c: Corpus) -> DataFrame:
 
 @query
 def topic_docs_faceted(c: Corpus) -> DataFrame:
-    return docs.faceted_batch(c.model().topic_doc, c.documents, c.facet_requests)
+    found = docs.faceted_batch(c.model().topic_doc, c.documents, c.facet_requests)
+    return docs.with_documents(found, c.documents)
 
 
 @query
 def topic_docs_faceted_one(c: Corpus) -> DataFrame:
     """One topic with all facets given, as a filter instead of a join with requests."""
-    return docs.faceted(c.model().topic_doc, c.documents, 3, 0.05, 1995, 2015, " src7 ")
+    found = docs.faceted(c.model().topic_doc, c.documents, 3, 0.05, 1995, 2015, " src7 ")
+    return docs.with_documents(found, c.documents)
 
 
 @query
@@ -194,7 +196,7 @@ def vector_dim_check(c: Corpus) -> DataFrame:
 
 @query
 def hits_enrich(c: Corpus) -> DataFrame:
-    return lex.enrich_hits(lex.search(c.index, c.passages), c.documents)
+    return docs.with_documents(lex.search(c.index, c.passages), c.documents)
 
 
 @query
@@ -288,7 +290,8 @@ def tokenize(c: Corpus) -> DataFrame:
 
 @query
 def postings(c: Corpus) -> DataFrame:
-    return lex.postings(lex.token_arrays(c.documents, FIELDS)).select("field", "term", "doc_id", "tf", "dl")
+    arrays = lex.token_arrays(lex.by_document(c.documents, FIELDS), FIELDS)
+    return lex.postings(arrays).select("field", "term", "doc_id", "tf", "dl")
 
 
 @query

@@ -51,6 +51,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder, so that several readers do not recompute it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once into a table below the shared folder, so that several readers do not recompute it."""
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeglass.operators.lexical import TextIndex, field_stats, postings, term_counts, token_arrays
+from tomeglass.operators.lexical import TextIndex, by_document, field_stats, postings, term_counts, token_arrays
 
 
 def write_postings(rows: DataFrame, path: str, buckets: int) -> None:
@@ -43,7 +43,7 @@ def write_index(documents: DataFrame, fields: list[str], path: str, buckets: int
     """Build the index of ``fields`` once and return it read back from ``path``."""
     spark = documents.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    arrays = token_arrays(documents, fields)
+    arrays = token_arrays(by_document(documents, fields, buckets), fields)
     write_postings(postings(arrays), f"{path}/postings", buckets)
     spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/layout")
     stored = read_postings(spark, f"{path}/postings", buckets)
