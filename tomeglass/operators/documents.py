@@ -119,23 +119,28 @@ def facet_values(documents: DataFrame, column: str = "university") -> DataFrame:
     )
 
 
-def similar_documents(weights: DataFrame, k: int = SIMILAR_DOCUMENTS, digits: int = 6, **search) -> DataFrame:
+def similar_documents(
+    weights: DataFrame, k: int = SIMILAR_DOCUMENTS, wanted: DataFrame | None = None, **search
+) -> DataFrame:
     """(doc_id, rank, similar_id, d2): nearest documents by squared distance of ``weights(doc_id, weights)``,
     the document itself left out by id.
 
-    Documents with equal weights are searched for once, so a large group of copies costs no more than one document;
-    of such a group only the k + 1 lowest ids can be anybody's neighbour.
+    For all documents, or for those in ``wanted(doc_id)``. Of all documents, those with equal weights are searched
+    for once, so a large group of copies costs no more than one document; of such a group only the k + 1 lowest ids
+    can be anybody's neighbour.
     """
+    if wanted is not None:
+        return _similar_to(weights, wanted, k, **search)
     reach = k + 1
     keyed = weights.select("doc_id", "weights", F.xxhash64("weights").alias("hash"))
     on = ["hash", "weights"]
     lowest = best_per_group(keyed, on, [F.asc("doc_id")], reach)
     ids = lowest.groupBy(*on).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    sizes = keyed.groupBy(*on).agg(F.count("*").alias("copies"))
+    sizes = keyed.groupBy(*on).agg(F.count("*").alias("n"))
     groups = cut_lineage(ids.join(sizes, on).withColumn("group_id", F.col("ids")[0]))
 
     points = groups.select(F.col("group_id").alias("doc_id"), F.col("weights").alias("embedding"))
-    near = knn(points, points.withColumnRenamed("doc_id", "query_id"), reach, digits=digits, **search)
+    near = knn(points, points.withColumnRenamed("doc_id", "query_id"), reach, **search)
     members = groups.select(F.col("group_id").alias("doc_id"), "ids")
     candidates = near.join(members, "doc_id").select("query_id", "d2", F.explode("ids").alias("similar_id"))
     best = best_per_group(candidates, ["query_id"], [F.asc("d2"), F.asc("similar_id")], reach)
@@ -143,10 +148,16 @@ def similar_documents(weights: DataFrame, k: int = SIMILAR_DOCUMENTS, digits: in
         F.sort_array(F.collect_list(F.struct("rank", "similar_id", "d2"))).alias("near")
     )
     lookup = groups.join(lists, "group_id").select(*on, "near")
-    counts = groups.select(*on, F.col("copies").alias("n"))
 
     others = F.filter("near", lambda n: n["similar_id"] != F.col("doc_id"))
-    found = join_lookup(keyed, lookup, on, counts).select("doc_id", F.slice(others, 1, k).alias("near"))
+    found = join_lookup(keyed, lookup, on, groups).select("doc_id", F.slice(others, 1, k).alias("near"))
     return found.select("doc_id", F.posexplode("near").alias("at", "n")).select(
         "doc_id", (F.col("at") + 1).alias("rank"), "n.similar_id", "n.d2"
     )
+
+
+def _similar_to(weights: DataFrame, wanted: DataFrame, k: int, **search) -> DataFrame:
+    points = weights.select("doc_id", F.col("weights").alias("embedding"))
+    asked = points.join(wanted.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    near = knn(points, asked, k, exclude_self=True, **search)
+    return near.select(F.col("query_id").alias("doc_id"), "rank", F.col("doc_id").alias("similar_id"), "d2")

@@ -67,12 +67,11 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
-def field_stats(arrays: DataFrame) -> DataFrame:
-    """Per field: documents with a term, all documents, average length over the former."""
-    return arrays.groupBy("field").agg(
-        F.count_if(F.col("dl") > 0).alias("n_docs"),
-        F.count("*").alias("n_all"),
-        F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avg_dl"),
+def field_stats(rows: DataFrame, n_all: int) -> DataFrame:
+    """Per field of the postings: documents with a term, all ``n_all`` documents, average length over the former."""
+    per_document = rows.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
+    return per_document.groupBy("field").agg(
+        F.count("*").alias("n_docs"), F.lit(n_all).cast("bigint").alias("n_all"), F.avg("dl").alias("avg_dl")
     )
 
 

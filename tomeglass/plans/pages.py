@@ -75,7 +75,7 @@ def document_page(model: TopicModel, weights: DataFrame, documents: DataFrame, w
     titles = documents.select(
         F.col("doc_id").alias("similar_id"), tx.title_or_default(F.col("title")).alias("title")
     )
-    near = docs.similar_documents(weights).join(wanted, "doc_id", "left_semi").join(titles, "similar_id", "left")
+    near = docs.similar_documents(weights, wanted=wanted).join(titles, "similar_id", "left")
     return DocumentPage(detail, named.select("doc_id", "rank", "canonical_id", "link", "weight"), near)
 
 

@@ -384,7 +384,7 @@ def knn_approx_quality(c: Corpus) -> DataFrame:
 
 @query
 def embed_corpus(c: Corpus) -> DataFrame:
-    return ml.embed_hashed(c.documents).select("doc_id", F.posexplode("embedding").alias("pos", "value")).where("value <> 0")
+    return ml.embed_hashed(c.documents)
 
 
 @query
