@@ -351,13 +351,24 @@ def knn_approx(
 
 def recall_and_share(approximate: ApproximateHits, exact: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """One row (recall, candidate_share): neither number means anything without the other."""
-    found = exact.join(approximate.hits.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
-    recall = found.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-    compared = approximate.work.agg(F.sum(F.col("n") * F.col("visits")).alias("compared"))
-    possible = vectors.agg(F.count("*").alias("n")), queries.agg(F.count("*").alias("q"))
-    one_row = [df.withColumn("_one", F.lit(1)) for df in (recall, compared, *possible)]
-    joined = one_row[0]
-    for other in one_row[1:]:
-        joined = joined.join(other, "_one")
-    share = F.col("compared") / (F.col("n") * F.col("q"))
-    return joined.select(F.round("recall", 6).alias("recall"), F.round(share, 6).alias("candidate_share"))
+    hits = approximate.hits.select("query_id", "doc_id", F.lit(1).alias("hit"))
+    found = exact.join(hits, ["query_id", "doc_id"], "left")
+    counted = {
+        "found": found.agg(F.count("hit").alias("n")),
+        "wanted": exact.agg(F.count("*").alias("n")),
+        "compared": approximate.work.agg(F.sum(F.col("n") * F.col("visits")).alias("n")),
+        "vectors": vectors.agg(F.count("*").alias("n")),
+        "queries": queries.agg(F.count("*").alias("n")),
+    }
+    parts = [df.select(F.lit(name).alias("what"), "n") for name, df in counted.items()]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+
+    def number(name: str):
+        return F.sum(F.when(F.col("what") == name, F.col("n")))
+
+    return every.agg(
+        F.round(number("found") / number("wanted"), 6).alias("recall"),
+        F.round(number("compared") / (number("vectors") * number("queries")), 6).alias("candidate_share"),
+    )

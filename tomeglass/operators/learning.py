@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +33,16 @@ def fit_topic_model(
     iterations: int = 20,
     seed: int = 42,
 ) -> TopicModel:
-    """Fit LDA to whole texts. The words of a model are bounded by ``vocabulary``, its topics by ``k``."""
+    """Fit LDA to whole texts. The words of a model are bounded by ``vocabulary``, its topics by ``k``.
+
+    The vocabulary is put in a fixed order, words of equal spread by name, so that a seed gives the same model again.
+    """
     words = cut_lineage(documents.select("doc_id", tx.tokens(F.col(text)).alias("words")))
-    counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=min_docs).fit(words)
+    spread = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    known = spread.where(F.col("n") >= min_docs).orderBy(F.desc("n"), "term").limit(vocabulary)
+    counter = CountVectorizerModel.from_vocabulary(
+        [row["term"] for row in known.collect()], inputCol="words", outputCol="features"
+    )
     counted = counter.transform(words)
     lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online").fit(counted)
 
