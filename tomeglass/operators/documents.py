@@ -84,7 +84,9 @@ def faceted(
 
 def faceted_batch(topic_doc: DataFrame, documents: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, doc_id, year) for ``requests(request_id, topic_id, threshold, year_from, year_to, university)``."""
-    asked = join_requests(topic_doc, requests, ["topic_id"], spread_by="doc_id")
+    lowest = requests.agg(F.min("threshold")).first()[0]
+    heavy = topic_doc.where(F.col("weight") > F.lit(lowest))
+    asked = join_requests(heavy, requests, ["topic_id"], spread_by="doc_id")
     members = asked.where(F.col("weight") > F.col("threshold")).select(
         "request_id", "doc_id", "year_from", "year_to", F.col("university").alias("wanted_university")
     )
@@ -140,9 +142,11 @@ def similar_documents(
     groups = cut_lineage(ids.join(sizes, on).withColumn("group_id", F.col("ids")[0]))
 
     points = groups.select(F.col("group_id").alias("doc_id"), F.col("weights").alias("embedding"))
-    near = knn(points, points.withColumnRenamed("doc_id", "query_id"), reach, **search)
+    near = cut_lineage(knn(points, points.withColumnRenamed("doc_id", "query_id"), reach, **search))
     members = groups.select(F.col("group_id").alias("doc_id"), "ids")
-    candidates = near.join(members, "doc_id").select("query_id", "d2", F.explode("ids").alias("similar_id"))
+    # One group may be near to very many.
+    hubs = near.groupBy("doc_id").agg(F.count("*").alias("n"))
+    candidates = join_lookup(near, members, ["doc_id"], hubs).select("query_id", "d2", F.explode("ids").alias("similar_id"))
     best = best_per_group(candidates, ["query_id"], [F.asc("d2"), F.asc("similar_id")], reach)
     lists = best.groupBy(F.col("query_id").alias("group_id")).agg(
         F.sort_array(F.collect_list(F.struct("rank", "similar_id", "d2"))).alias("near")

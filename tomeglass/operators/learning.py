@@ -37,7 +37,9 @@ def fit_topic_model(
 
     The vocabulary is put in a fixed order, words of equal spread by name, so that a seed gives the same model again.
     """
-    words = cut_lineage(documents.select("doc_id", tx.tokens(F.col(text)).alias("words")))
+    spark = documents.sparkSession
+    texts = documents.select("doc_id", text).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    words = cut_lineage(texts.select("doc_id", tx.tokens(F.col(text)).alias("words")))
     spread = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     known = spread.where(F.col("n") >= min_docs).orderBy(F.desc("n"), "term").limit(vocabulary)
     counter = CountVectorizerModel.from_vocabulary(
@@ -46,7 +48,6 @@ def fit_topic_model(
     counted = counter.transform(words)
     lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online").fit(counted)
 
-    spark = documents.sparkSession
     terms = spark.createDataFrame(list(enumerate(counter.vocabulary)), "term_at int, term string")
     described = lda.describeTopics(len(counter.vocabulary)).select(
         F.col("topic").alias("topic_id"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")

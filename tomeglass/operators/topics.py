@@ -22,12 +22,13 @@ SIMILAR_TOPICS = 3
 def topic_sizes(topic_doc: DataFrame, threshold: float = THRESHOLD, topics: DataFrame | None = None) -> DataFrame:
     """(topic_id, n_docs): documents with more than ``threshold`` of the topic.
 
-    A topic without any is kept with 0. Where ``topic_doc`` stores no zero weights, pass ``topics`` to keep those
-    topics that have no row at all.
+    A topic without any is kept with 0. With ``topics`` given the threshold reaches the scan, and topics without any
+    row at all are kept too, as when no zero weights are stored.
     """
-    sizes = topic_doc.groupBy("topic_id").agg(F.count_if(F.col("weight") > threshold).alias("n_docs"))
+    heavy = F.col("weight") > threshold
     if topics is None:
-        return sizes
+        return topic_doc.groupBy("topic_id").agg(F.count_if(heavy).alias("n_docs"))
+    sizes = topic_doc.where(heavy).groupBy("topic_id").agg(F.count("*").alias("n_docs"))
     return topics.select("topic_id").join(sizes, "topic_id", "left").fillna(0, ["n_docs"])
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeglass.functions import text as tx
+from tomeglass.functions.joins import broadcast_within
 from tomeglass.operators import nearest as nn
 from tomeglass.operators.learning import heaviest_words
 from tomeglass.operators.lexical import TextIndex
@@ -121,7 +122,7 @@ class Corpus:
         labelled = self.index.postings.join(topic.hint("shuffle_hash"), "doc_id")
         used = cut_lineage(labelled.groupBy("topic_id", "term").agg(F.sum("tf").alias("n")))
         totals = used.groupBy("topic_id").agg(F.sum("n").alias("total"))
-        return used.join(F.broadcast(totals), "topic_id").select(
+        return used.join(broadcast_within(totals), "topic_id").select(
             "topic_id", "term", F.round(F.col("n") / F.col("total"), 9).alias("weight")
         )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tomeglass.functions import text as tx
 from tomeglass.functions import vectors as vx
+from tomeglass.functions.joins import broadcast_within
 from tomeglass.operators import documents as docs
 from tomeglass.operators import knn as kn
 from tomeglass.operators import learning as ml
@@ -178,7 +179,7 @@ def l2_score(c: Corpus) -> DataFrame:
     """Each vector against the centre of its label."""
     centres = c.centres.select(F.col("query_id").alias("label"), F.col("embedding").alias("centre"))
     labelled = c.given("embeddings").withColumn("label", F.col("label").cast("bigint"))
-    return labelled.join(F.broadcast(centres), "label").select(
+    return labelled.join(broadcast_within(centres), "label").select(
         F.col("vec_id").alias("doc_id"), F.round(vx.l2_score(F.col("embedding"), F.col("centre")), 6).alias("score")
     )
 
@@ -210,7 +211,8 @@ def topic_members_enrich(c: Corpus) -> DataFrame:
 
 @query
 def topic_sizes(c: Corpus) -> DataFrame:
-    return tp.topic_sizes(c.model().topic_doc)
+    model = c.model()
+    return tp.topic_sizes(model.topic_doc, topics=model.topics)
 
 
 @query
@@ -247,7 +249,7 @@ def term_stats(c: Corpus) -> DataFrame:
 @query
 def topics_ranked(c: Corpus) -> DataFrame:
     model = c.model()
-    return tp.topics_ranked(tp.topic_sizes(model.topic_doc), model.topics)
+    return tp.topics_ranked(tp.topic_sizes(model.topic_doc, topics=model.topics), model.topics)
 
 
 @query

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tomeglass.operators.lexical import TextIndex, by_document, field_stats, postings, term_counts, token_arrays
 
 
+def _table(path: str, buckets: int) -> str:
+    return "postings_" + hashlib.md5(f"{path}#{buckets}".encode()).hexdigest()
+
+
 def write_postings(rows: DataFrame, path: str, buckets: int) -> None:
     """Overwrite ``path`` with postings hashed by document into ``buckets`` and sorted by term inside each file.
 
     A search then reads only the row groups of its terms, adds up each document's score where the document lies, and
     keeps its best hits per bucket before anything is shuffled. A frequent term is spread evenly over the buckets.
     """
-    spark = rows.sparkSession
-    name = f"postings_{uuid.uuid4().hex}"
     (
         rows.repartition(buckets, "doc_id")
         .write.mode("overwrite")
@@ -24,17 +26,16 @@ def write_postings(rows: DataFrame, path: str, buckets: int) -> None:
         .sortBy("field", "term")
         .format("parquet")
         .option("path", path)
-        .saveAsTable(name)
+        .saveAsTable(_table(path, buckets))
     )
-    # External table: only the catalogue entry goes, the files stay.
-    spark.sql(f"DROP TABLE {name}")
 
 
 def read_postings(spark: SparkSession, path: str, buckets: int) -> DataFrame:
-    name = f"postings_{uuid.uuid4().hex}"
+    """The postings with their bucketing; a catalogue entry is made where this catalogue has none for the path."""
+    name, location = _table(path, buckets), path.replace("'", "\\'")
     spark.sql(
-        f"CREATE TABLE {name} (doc_id BIGINT, field STRING, term STRING, tf BIGINT, dl INT) USING parquet "
-        f"CLUSTERED BY (doc_id) SORTED BY (field, term) INTO {buckets} BUCKETS LOCATION '{path}'"
+        f"CREATE TABLE IF NOT EXISTS {name} (doc_id BIGINT, field STRING, term STRING, tf BIGINT, dl INT) USING parquet "
+        f"CLUSTERED BY (doc_id) SORTED BY (field, term) INTO {buckets} BUCKETS LOCATION '{location}'"
     )
     return spark.table(name)
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tomeglass.functions import text as tx
 from tomeglass.functions import vectors as vx
-from tomeglass.functions.joins import broadcast_within
-from tomeglass.session import cut_lineage
+from tomeglass.functions.joins import BROADCAST_ROWS
 
 # Positions and the header word of the wide corpus file.
 TITLE_AT = 1
@@ -25,7 +24,8 @@ def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -
     ``keep`` is a condition on ``line``; lines failing it are not counted. Rows are numbered inside each file split
     by the scan itself. Only one row per split is gathered to add the lengths of the splits before it.
     """
-    lines = spark.read.text(path).select(
+    files = spark.read.text(path)
+    lines = files.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -33,14 +33,16 @@ def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -
     if keep is not None:
         lines = lines.where(keep)
     lines = lines.withColumn("seq", F.monotonically_increasing_id())
-    splits = cut_lineage(
-        lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
-    )
+    splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
     before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         "file", "start", "first_seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    return lines.join(broadcast_within(offsets), ["file", "start"]).select(
+    # A file has at most one split more than it fills read partitions, so their number is known without a job.
+    most_splits = len(files.inputFiles()) + files.rdd.getNumPartitions()
+    if most_splits <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    return lines.join(offsets, ["file", "start"]).select(
         (F.col("offset") + F.col("seq") - F.col("first_seq")).alias("line_no"), "line"
     )
 
