@@ -60,7 +60,7 @@ def test_running_best_is_brute_force_in_any_batches(n, m, k, step, exclude, seed
     want = brute_force(ids, vectors, query_ids, queries, k, exclude)
     for q in query_ids:
         mine = columns["query_id"] == q
-        assert list(zip(columns["d2"][mine], columns["doc_id"][mine])) == want[int(q)]
+        assert list(zip(columns["cost"][mine], columns["doc_id"][mine])) == want[int(q)]
 
 
 def clustered(seed, n=600, dim=4):

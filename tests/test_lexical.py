@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tomeglass.functions import joins
 from tomeglass.operators import documents as docs
 from tomeglass.operators import lexical as lex
 from tomeglass.sources.index_store import write_index
@@ -74,26 +75,45 @@ def hits(df):
 @pytest.mark.parametrize("fields", [["title"], ["title", "abstract"]])
 @pytest.mark.parametrize("params", [(1.0, 0.65), (1.2, 0.75)])
 def test_bm25_is_brute_force(spark, corpus, index, fields, params):
-    found = lex.search(index, queries(spark, *TEXTS), fields=fields, contribution=lex.bm25(*params))
+    found = lex.search(index, queries(spark, *TEXTS), fields=fields, scoring=lex.bm25(*params))
     for i, text in enumerate(TEXTS):
         assert hits(found.where(F.col("query_id") == i)) == brute_force(corpus, text, fields, *params)
 
 
 def test_tf_idf_counts_a_repeated_query_word_once(spark, corpus, index):
-    found = lex.search(index, queries(spark, *TEXTS), fields=["abstract"], contribution=lex.tf_idf())
+    found = lex.search(index, queries(spark, *TEXTS), fields=["abstract"], scoring=lex.tf_idf())
     for i, text in enumerate(TEXTS):
         assert hits(found.where(F.col("query_id") == i)) == brute_force(corpus, text, ["abstract"], classic=True)
 
 
-def test_large_batches_take_the_salted_plan_to_the_same_hits(spark, index, no_broadcast, monkeypatch):
-    monkeypatch.setattr(lex, "PRUNE_TERMS", 1)
-    many = queries(spark, *(TEXTS * 5))
-    large = lex.search(index, many, fields=["title", "abstract"])
-    plan = large._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in plan
-    got = sorted(map(tuple, large.collect()))
-    monkeypatch.undo()
-    assert got == sorted(map(tuple, lex.search(index, many, fields=["title", "abstract"]).collect()))
+@pytest.mark.parametrize("make", [lex.bm25, lex.tf_idf])
+def test_all_plans_give_the_same_hits(spark, index, make, monkeypatch):
+    scoring = make()
+    texts = TEXTS * 5 + ["w5 w6 the", "w7"]
+
+    def found(batch):
+        ids = spark.createDataFrame([(i, texts[i]) for i in batch], "query_id long, text string")
+        df = lex.search(index, ids, fields=["title", "abstract"], scoring=scoring)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return sorted(map(tuple, df.collect())), plan
+
+    shared, shared_plan = found(range(len(texts)))
+    assert "MapInArrow" in shared_plan and "FlatMapCoGroupsInArrow" not in shared_plan
+
+    alone = [found([i]) for i in range(len(texts))]
+    assert all("InArrow" not in plan for _, plan in alone)
+    assert same_hits(shared, sorted(sum((h for h, _ in alone), [])))
+
+    monkeypatch.setattr(lex, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(lex, "BLOCK_ENTRIES", 700)
+    blocks, blocks_plan = found(range(len(texts)))
+    assert "FlatMapCoGroupsInArrow" in blocks_plan and "_salt" in blocks_plan
+    assert same_hits(blocks, shared)
+
+
+def same_hits(a, b):
+    return [h[:3] for h in a] == [h[:3] for h in b] and [h[3] for h in a] == pytest.approx([h[3] for h in b], abs=2e-6)
 
 
 def test_only_titles_match_by_default(spark, tmp_path):
@@ -138,8 +158,19 @@ def test_hits_get_title_and_abstract(spark, corpus, index, large, request):
 def test_search_shuffles_only_the_best_hits(spark, index):
     """Scores add up where the document lies: one exchange between the postings and the result."""
     found = lex.search(index, queries(spark, "the w1"), fields=["title", "abstract"])
+    assert_one_shuffle(found)
+    assert "PushedFilters: [In(field" in explained(found) and "In(term, [the,w1])" in explained(found)
+    batch = lex.search(index, queries(spark, "the w1", "the w2"), fields=["title", "abstract"])
+    assert "MapInArrow" in explained(batch)
+    assert_one_shuffle(batch)
+
+
+def explained(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def assert_one_shuffle(found):
     plan = found._jdf.queryExecution().executedPlan().toString()
     above_scan = plan[: plan.index("Bucketed: true")]
     assert above_scan.count("Exchange hashpartitioning") == 1
     assert above_scan.index("Exchange hashpartitioning(query_id") < above_scan.index("WindowGroupLimit", above_scan.index("Exchange hashpartitioning"))
-    assert "PushedFilters: [In(field" in plan and "In(term, [the,w1])" in plan

@@ -78,7 +78,7 @@ def _no_hits(vectors: DataFrame) -> DataFrame:
 
 
 def _ranked(hits: DataFrame, k: int, digits: int) -> DataFrame:
-    best = best_per_group(hits, ["query_id"], [F.asc("d2"), F.asc("doc_id")], k)
+    best = best_per_group(hits.withColumnRenamed("cost", "d2"), ["query_id"], [F.asc("d2"), F.asc("doc_id")], k)
     score = F.round(vx.score_of(F.col("d2")), digits).alias("score")
     return best.select("query_id", "rank", "doc_id", "d2", score)
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeglass.functions import text as tx
-from tomeglass.functions.joins import BROADCAST_ROWS, is_within, join_lookup, join_requests
+from tomeglass.functions.joins import BROADCAST_ROWS, join_lookup, join_requests
+from tomeglass.operators.nearest import SCHEMA, HighestScores, as_ids
 from tomeglass.operators.ranking import best_per_group
+from tomeglass.session import cut_lineage
 
 # Hits per query, and the two parameter sets of BM25.
 HITS = 10
@@ -18,6 +23,7 @@ BM25_K1, BM25_B = 1.0, 0.65
 DEFAULT_K1, DEFAULT_B = 1.2, 0.75
 
 PRUNE_TERMS = 2000
+BLOCK_ENTRIES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -84,16 +90,24 @@ def term_stats(index: TextIndex) -> DataFrame:
 # Scoring
 
 
-def bm25(k1: float = BM25_K1, b: float = BM25_B) -> Column:
-    """Contribution of one query term to one document, over the columns qtf, tf, dl, df, n_docs, avg_dl."""
+@dataclass(frozen=True)
+class Scoring:
+    """The positive weight of a posting over tf, dl, df, n_docs, n_all and avg_dl; whether a repeated query word
+    counts again."""
+
+    weight: Column
+    repeats: bool
+
+
+def bm25(k1: float = BM25_K1, b: float = BM25_B) -> Scoring:
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl"))
-    return F.col("qtf") * idf * F.col("tf") / saturation
+    return Scoring(idf * F.col("tf") / saturation, repeats=True)
 
 
-def tf_idf() -> Column:
-    """tf · (ln(N/(df+1)) + 1); a repeated query term counts once, N counts every document."""
-    return F.col("tf") * (F.log(F.col("n_all") / (F.col("df") + 1)) + 1)
+def tf_idf() -> Scoring:
+    """tf · (ln(N/(df+1)) + 1), where N counts every document."""
+    return Scoring(F.col("tf") * (F.log(F.col("n_all") / (F.col("df") + 1)) + 1), repeats=False)
 
 
 def query_terms(queries: DataFrame, default: str = tx.DEFAULT_QUERY) -> DataFrame:
@@ -108,7 +122,7 @@ def search(
     queries: DataFrame,
     k: int = HITS,
     fields: Sequence[str] = ("title",),
-    contribution: Column | None = None,
+    scoring: Scoring | None = None,
     default: str = tx.DEFAULT_QUERY,
     digits: int = 6,
 ) -> DataFrame:
@@ -116,37 +130,113 @@ def search(
 
     A document's score is the sum over fields and terms. Scores are rounded before ranking, so that the order of
     addition cannot change a rank; equal scores rank by doc_id.
+
+    Whatever the plan, no row is made per query and matching document unless each word belongs to one query only:
+    documents are scored in blocks, and a block hands on its k best per query.
     """
-    contribution = bm25() if contribution is None else contribution
-    wanted = query_terms(queries, default).withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
-    few = is_within(wanted, BROADCAST_ROWS)
-    pruned = _scan_condition(wanted, fields)
-    stats, rows = index.term_stats.where(pruned), index.postings.where(pruned)
-    weighted = _with_term_stats(wanted, stats, few).join(F.broadcast(index.field_stats), "field")
-    matches = join_requests(rows, weighted, ["field", "term"], spread_by="doc_id", few=few)
-    scores = (
-        matches.select("query_id", "doc_id", contribution.alias("part"))
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum("part"), digits).alias("score"))
-    )
+    scoring = scoring or bm25()
+    all_fields = F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")
+    factor = (F.col("qtf") if scoring.repeats else F.lit(1)).cast("double").alias("factor")
+    wanted = query_terms(queries, default).select(F.col("query_id").cast("bigint"), all_fields, "term", factor)
+    gathered = wanted.limit(BROADCAST_ROWS + 1).toPandas()
+    if len(gathered) > BROADCAST_ROWS:
+        scores = _score_by_blocks(index, wanted, scoring, k, digits)
+    else:
+        gathered["term_id"] = gathered.groupby(["field", "term"]).ngroup()
+        score = _score_own_words if gathered["term_id"].is_unique else _score_shared_words
+        scores = score(_only_asked(index, gathered, fields), gathered, scoring, k, digits)
     return best_per_group(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k).select(
         "query_id", "rank", "doc_id", "score"
     )
 
 
-def _scan_condition(wanted: DataFrame, fields: Sequence[str]) -> Column:
-    """Push a short list of query words into the scan, so that files sorted by term are read in part."""
-    in_fields = F.col("field").isin(*fields)
-    words = wanted.select("term").distinct().limit(PRUNE_TERMS + 1).collect()
-    return in_fields if len(words) > PRUNE_TERMS else in_fields & F.col("term").isin([w["term"] for w in words])
+def _only_asked(index: TextIndex, gathered: pd.DataFrame, fields: Sequence[str]) -> TextIndex:
+    """Push a short list of query words into the scans, so that files sorted by term are read in part."""
+    condition = F.col("field").isin(*fields)
+    words = gathered["term"].unique().tolist()
+    if len(words) <= PRUNE_TERMS:
+        condition = condition & F.col("term").isin(words)
+    return TextIndex(index.postings.where(condition), index.term_stats.where(condition), index.field_stats)
+
+
+def _weighted(index: TextIndex, terms: DataFrame) -> DataFrame:
+    """Add the statistics to ``terms(field, term, ...)``, a counted small table."""
+    stats = index.term_stats.join(F.broadcast(terms), ["field", "term"])
+    return stats.join(F.broadcast(index.field_stats), "field")
+
 
+def _score_own_words(index: TextIndex, gathered: pd.DataFrame, scoring: Scoring, k: int, digits: int) -> DataFrame:
+    """No word belongs to two queries: a plain sum over the postings."""
+    spark = index.postings.sparkSession
+    asked = spark.createDataFrame(gathered, "query_id bigint, field string, term string, factor double, term_id bigint")
+    matches = index.postings.join(F.broadcast(_weighted(index, asked)), ["field", "term"])
+    part = (F.col("factor") * scoring.weight).alias("part")
+    scores = matches.select("query_id", "doc_id", part).groupBy("query_id", "doc_id")
+    return scores.agg(F.round(F.sum("part"), digits).alias("score"))
 
-def _with_term_stats(wanted: DataFrame, stats: DataFrame, few: bool) -> DataFrame:
-    """Add df to the query terms; unknown terms drop out. A word of many queries is handled as a hot key."""
+
+def _score_shared_words(index: TextIndex, gathered: pd.DataFrame, scoring: Scoring, k: int, digits: int) -> DataFrame:
+    """Every posting is weighted once, documents are put together where they lie, and each task multiplies its
+    documents by all queries."""
+    spark = index.postings.sparkSession
+    unique = gathered.drop_duplicates("term_id")[["field", "term", "term_id"]]
+    terms = spark.createDataFrame(unique, "field string, term string, term_id bigint")
+    matches = index.postings.join(F.broadcast(_weighted(index, terms)), ["field", "term"])
+    entry = F.struct("term_id", scoring.weight.alias("weight"))
+    documents = matches.select("doc_id", entry.alias("entry")).groupBy("doc_id").agg(F.collect_list("entry").alias("entries"))
+
+    query_ids, row = np.unique(gathered["query_id"].to_numpy(), return_inverse=True)
+    shared = spark.sparkContext.broadcast((query_ids, row, gathered["term_id"].to_numpy(), gathered["factor"].to_numpy()))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = HighestScores(*shared.value, k, digits)
+        for batch in batches:
+            entries = batch.column("entries")
+            row = np.repeat(np.arange(batch.num_rows), entries.value_lengths().to_numpy(zero_copy_only=False))
+            term, weight = (entries.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            best.add(as_ids(batch.column("doc_id")), row, term, weight)
+        yield pa.RecordBatch.from_pydict(best.columns())
+
+    return _as_scores(documents.mapInArrow(score, SCHEMA))
+
+
+def _score_by_blocks(index: TextIndex, wanted: DataFrame, scoring: Scoring, k: int, digits: int) -> DataFrame:
+    """Too many query words for one task: documents and queries are cut into blocks by their ids, and every pair of
+    blocks is a task. Words decide nothing about where a row goes, so a frequent word is no burden to any task."""
     on = ["field", "term"]
-    if few:
-        return stats.join(F.broadcast(wanted), on)
-    return join_lookup(wanted, stats, on, wanted.groupBy(*on).agg(F.count("*").alias("n")))
+    words = wanted.groupBy(*on).agg(F.count("*").alias("n"))
+    known = words.join(index.term_stats, on).join(F.broadcast(index.field_stats), "field")
+    terms = cut_lineage(known.withColumn("term_id", F.monotonically_increasing_id()))
+    asked = join_lookup(wanted, terms.select(*on, F.col("term_id").alias("asked_id")), on, terms).select(
+        "query_id", "asked_id", "factor"
+    )
+    matches = join_requests(index.postings, terms, on, spread_by="doc_id").select(
+        "doc_id", "term_id", scoring.weight.alias("weight")
+    )
+    size = terms.agg(F.sum("df").alias("matches"), F.sum("n").alias("asked")).first()
+    doc_blocks, query_blocks = (-(-(size[name] or 1) // BLOCK_ENTRIES) for name in ("matches", "asked"))
+
+    def blocks(df: DataFrame, own: str, key: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(
+            other, F.explode(F.expr(f"sequence(0L, {m - 1}L)"))
+        )
+
+    def score(block: pa.Table, queries: pa.Table) -> pa.Table:
+        query_ids, query_row = np.unique(as_ids(queries["query_id"]), return_inverse=True)
+        best = HighestScores(query_ids, query_row, as_ids(queries["asked_id"]), as_ids(queries["factor"]), k, digits)
+        if block.num_rows and queries.num_rows:
+            ids, row = np.unique(as_ids(block["doc_id"]), return_inverse=True)
+            order = np.argsort(row, kind="stable")
+            best.add(ids, row[order], as_ids(block["term_id"])[order], as_ids(block["weight"])[order])
+        return pa.Table.from_pydict(best.columns())
+
+    left = blocks(matches, "d_block", "doc_id", doc_blocks, "q_block", query_blocks).groupBy("d_block", "q_block")
+    right = blocks(asked, "q_block", "query_id", query_blocks, "d_block", doc_blocks).groupBy("d_block", "q_block")
+    return _as_scores(left.cogroup(right).applyInArrow(score, SCHEMA))
+
+
+def _as_scores(best: DataFrame) -> DataFrame:
+    return best.select("query_id", "doc_id", F.abs("cost").alias("score"))
 
 
 def search_page(

@@ -1,4 +1,4 @@
-"""The k nearest rows of one block of vectors to one block of queries, kept as arrays."""
+"""The k best rows of one block of documents for one block of queries, kept as arrays."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 
 CELLS = 4_000_000
+QUERIES = 128
 
-SCHEMA = "query_id bigint, doc_id bigint, d2 double"
+SCHEMA = "query_id bigint, doc_id bigint, cost double"
 
 
 def as_matrix(column: pa.ChunkedArray | pa.ListArray, dim: int) -> np.ndarray:
@@ -26,14 +27,51 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(squares - 2.0 * (a @ b.T), 0.0)
 
 
-class Nearest:
-    """Running k best (distance, id) pairs per query. Distances are rounded first; ties go to the lower id."""
+class Best:
+    """Running k best (cost, id) pairs per query: lower cost first, ties to the lower id, infinite cost never."""
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.k = query_ids, k
+        self.cost = np.full((len(query_ids), k), np.inf)
+        self.id = np.full((len(query_ids), k), np.iinfo(np.int64).max)
+
+    def offer(self, rows: slice, ids: np.ndarray, cost: np.ndarray) -> None:
+        """Costs of the documents ``ids`` for the queries ``rows``."""
+        last_cost, last_id = self.cost[rows, -1:], self.id[rows, -1:]
+        limit = last_cost
+        if cost.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(cost, self.k - 1, axis=1)[:, self.k - 1 : self.k])
+        better = (cost <= limit) & ((cost < last_cost) | (ids[None, :] < last_id)) & np.isfinite(cost)
+        row, col = np.nonzero(better)
+        if len(row):
+            self._merge(rows, row, cost[row, col], ids[col])
+
+    def _merge(self, rows: slice, row: np.ndarray, cost: np.ndarray, ids: np.ndarray) -> None:
+        old_cost, old_id = self.cost[rows], self.id[rows]
+        n = len(old_cost)
+        all_row = np.concatenate([np.repeat(np.arange(n), self.k), row])
+        all_cost = np.concatenate([old_cost.ravel(), cost])
+        all_id = np.concatenate([old_id.ravel(), ids])
+        order = np.lexsort((all_id, all_cost, all_row))
+        first = np.searchsorted(all_row[order], np.arange(n))
+        keep = order[first[:, None] + np.arange(self.k)[None, :]]
+        self.cost[rows], self.id[rows] = all_cost[keep], all_id[keep]
+
+    def columns(self) -> dict[str, np.ndarray]:
+        found = np.isfinite(self.cost)
+        return {
+            "query_id": np.repeat(self.query_ids, self.k)[found.ravel()],
+            "doc_id": self.id[found],
+            "cost": self.cost[found],
+        }
+
+
+class Nearest(Best):
+    """The k nearest vectors by squared distance, rounded before comparing."""
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, digits: int, exclude_self: bool):
-        self.query_ids, self.queries, self.k = query_ids, queries, k
-        self.digits, self.exclude_self = digits, exclude_self
-        self.best_d = np.full((len(query_ids), k), np.inf)
-        self.best_id = np.full((len(query_ids), k), np.iinfo(np.int64).max)
+        super().__init__(query_ids, k)
+        self.queries, self.digits, self.exclude_self = queries, digits, exclude_self
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         width = max(1, min(len(ids), CELLS))
@@ -43,38 +81,51 @@ class Nearest:
                 self._add_tile(slice(top, top + height), ids[left : left + width], vectors[left : left + width])
 
     def _add_tile(self, rows: slice, ids: np.ndarray, vectors: np.ndarray) -> None:
-        d = np.round(squared_distances(self.queries[rows], vectors), self.digits)
+        d2 = np.round(squared_distances(self.queries[rows], vectors), self.digits)
         if self.exclude_self:
             order = np.argsort(ids)
             at = np.searchsorted(ids, self.query_ids[rows], sorter=order)
             column = order[np.minimum(at, len(ids) - 1)]
             own = ids[column] == self.query_ids[rows]
-            d[np.nonzero(own)[0], column[own]] = np.inf
-        last_d, last_id = self.best_d[rows, -1:], self.best_id[rows, -1:]
-        limit = last_d
-        if d.shape[1] > self.k:
-            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k])
-        better = (d <= limit) & ((d < last_d) | (ids[None, :] < last_id)) & np.isfinite(d)
-        row, col = np.nonzero(better)
-        self._merge(rows, row, d[row, col], ids[col])
-
-    def _merge(self, rows: slice, row: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
-        if not len(row):
-            return
-        old_d, old_id = self.best_d[rows], self.best_id[rows]
-        n = len(old_d)
-        all_row = np.concatenate([np.repeat(np.arange(n), self.k), row])
-        all_d = np.concatenate([old_d.ravel(), d])
-        all_id = np.concatenate([old_id.ravel(), ids])
-        order = np.lexsort((all_id, all_d, all_row))
-        first = np.searchsorted(all_row[order], np.arange(n))
-        keep = order[(first[:, None] + np.arange(self.k)[None, :])]
-        self.best_d[rows], self.best_id[rows] = all_d[keep], all_id[keep]
-
-    def columns(self) -> dict[str, np.ndarray]:
-        found = np.isfinite(self.best_d)
-        return {
-            "query_id": np.repeat(self.query_ids, self.k)[found.ravel()],
-            "doc_id": self.best_id[found],
-            "d2": self.best_d[found],
-        }
+            d2[np.nonzero(own)[0], column[own]] = np.inf
+        self.offer(rows, ids, d2)
+
+
+class HighestScores(Best):
+    """The k documents with the highest sum of term weights, rounded before comparing. Weights are positive.
+
+    Queries are given as one entry per query and term: the position of the query, the term's id, and a factor.
+    """
+
+    def __init__(
+        self, query_ids: np.ndarray, row: np.ndarray, term: np.ndarray, factor: np.ndarray, k: int, digits: int
+    ):
+        super().__init__(query_ids, k)
+        order = np.argsort(row, kind="stable")
+        self.row, self.term, self.factor, self.digits = row[order], term[order], factor[order], digits
+
+    def add(self, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """One entry per document and term; ``row`` is the position in ``ids`` and ascends."""
+        for top in range(0, len(self.query_ids), QUERIES):
+            low, high = np.searchsorted(self.row, [top, top + QUERIES])
+            terms, column = np.unique(self.term[low:high], return_inverse=True)
+            if len(terms):
+                rows = slice(top, min(top + QUERIES, len(self.query_ids)))
+                factors = np.zeros((rows.stop - top, len(terms)))
+                factors[self.row[low:high] - top, column] = self.factor[low:high]
+                self._add_tiles(rows, factors, terms, ids, row, term, weight)
+
+    def _add_tiles(self, rows, factors, terms, ids, row, term, weight) -> None:
+        at = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+        asked = terms[at] == term
+        at, row, weight = at[asked], row[asked], weight[asked]
+        width = max(1, CELLS // max(factors.shape))
+        for left in range(0, len(ids), width):
+            low, high = np.searchsorted(row, [left, left + width])
+            if low == high:
+                continue
+            here = ids[left : left + width]
+            weights = np.zeros((len(terms), len(here)))
+            weights[at[low:high], row[low:high] - left] = weight[low:high]
+            score = factors @ weights
+            self.offer(rows, here, np.where(score > 0, -np.round(score, self.digits), np.inf))

@@ -95,7 +95,7 @@ def search_page(
     if method == "BM25":
         hits = lex.search(index, queries)
     elif method == "TF-IDF":
-        hits = lex.search(index, queries, contribution=lex.bm25(lex.DEFAULT_K1, lex.DEFAULT_B))
+        hits = lex.search(index, queries, scoring=lex.bm25(lex.DEFAULT_K1, lex.DEFAULT_B))
     elif method == "Vector Search":
         texts = queries.select(F.col("query_id").alias("doc_id"), tx.query_or_default(F.col("text")).alias("text"))
         hits = knn(vectors, encode(texts).withColumnRenamed("doc_id", "query_id"))

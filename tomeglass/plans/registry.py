@@ -304,12 +304,12 @@ def search_bm25(c: Corpus) -> DataFrame:
 @query
 def search_tfidf_mode(c: Corpus) -> DataFrame:
     usual = lex.bm25(lex.DEFAULT_K1, lex.DEFAULT_B)
-    return lex.search(c.index, c.one_query(QUERY_TEXT), contribution=usual)
+    return lex.search(c.index, c.one_query(QUERY_TEXT), scoring=usual)
 
 
 @query
 def search_tfidf_classic(c: Corpus) -> DataFrame:
-    return lex.search(c.text_index, c.one_query(QUERY_TEXT), fields=["text"], contribution=lex.tf_idf())
+    return lex.search(c.text_index, c.one_query(QUERY_TEXT), fields=["text"], scoring=lex.tf_idf())
 
 
 @query
