@@ -65,6 +65,20 @@ def index(spark, corpus, tmp_path_factory):
     return index_of(spark, corpus, tmp_path_factory.mktemp("lex"))
 
 
+def test_postings_are_counted_without_a_shuffle(spark, corpus):
+    documents = spark.createDataFrame(corpus, SCHEMA)
+    found = lex.postings(lex.token_arrays(documents, ["title", "abstract"]))
+    assert "Exchange" not in explained(found) and "Aggregate" not in explained(found)
+    want = {
+        (r[0], field, term, tf, len(words(text)))
+        for r in corpus
+        for field, text in (("title", r[1]), ("abstract", r[2]))
+        for term, tf in Counter(words(text)).items()
+    }
+    got = [tuple(r) for r in found.select("doc_id", "field", "term", "tf", "dl").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 TEXTS = ["the w0 w0 w3", "w39 w38 nothing", "unknown words", "the"]
 
 

@@ -38,10 +38,9 @@ class TextIndex:
 # Tokens and statistics
 
 
-def by_document(documents: DataFrame, fields: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """The texts hashed by document: one shuffle of plain text in place of one of counted words, which are larger."""
-    texts = documents.select("doc_id", *fields)
-    return texts.repartition(partitions, "doc_id") if partitions else texts.repartition("doc_id")
+def by_document(documents: DataFrame, fields: Sequence[str], partitions: int) -> DataFrame:
+    """The texts hashed by document, for an index bucketed by document: plain text is smaller than its postings."""
+    return documents.select("doc_id", *fields).repartition(partitions, "doc_id")
 
 
 def token_arrays(documents: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -58,14 +57,21 @@ def tokenize(documents: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def postings(arrays: DataFrame) -> DataFrame:
-    """(doc_id, field, term, tf, dl). A word held by every document still spreads, as the document is in the key.
+    """(doc_id, field, term, tf, dl), counted inside each row: the words are sorted, and every run of equal words is
+    one posting. No word is a key of anything, so neither a shuffle nor a table of counts is needed."""
+    words = arrays.where(F.col("dl") > 0).withColumn("words", F.sort_array("tokens")).drop("tokens")
 
-    Where the documents were hashed by doc_id before, as ``by_document`` does, counting needs no further shuffle.
-    """
-    occurrences = arrays.select("doc_id", "field", "dl", F.explode("tokens").alias("term"))
-    return occurrences.groupBy("doc_id", "field", "term").agg(
-        F.count("*").alias("tf"), F.max("dl").alias("dl")
-    )
+    def begins_run(i: Column) -> Column:
+        return (i == 0) | (F.get("words", i) != F.get("words", i - 1))
+
+    runs = words.withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), begins_run))
+
+    def posting(start: Column, number: Column) -> Column:
+        end = F.coalesce(F.get("starts", number + 1), F.col("dl"))
+        return F.struct(F.get("words", start).alias("term"), (end - start).cast("bigint").alias("tf"))
+
+    entries = runs.select("doc_id", "field", F.explode(F.transform("starts", posting)).alias("p"), "dl")
+    return entries.select("doc_id", "field", "p.term", "p.tf", "dl")
 
 
 def term_counts(rows: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def write_index(documents: DataFrame, fields: list[str], path: str, buckets: int
     write_postings(postings(arrays), f"{path}/postings", buckets)
     spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/layout")
     stored = read_postings(spark, f"{path}/postings", buckets)
-    term_counts(stored).write.mode("overwrite").parquet(f"{path}/term_stats")
+    term_counts(stored).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/term_stats")
     field_stats(stored, documents.count()).write.mode("overwrite").parquet(f"{path}/field_stats")
     return read_index(spark, path)
 
