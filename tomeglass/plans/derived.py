@@ -128,12 +128,15 @@ class Corpus:
 
     @cached_property
     def model_root(self) -> str:
-        """Both stand-in models, written as partitioned tables."""
         root = fresh_path(self.spark, "models")
+        self.write_models(root)
+        return root
+
+    def write_models(self, root: str) -> None:
+        """Both stand-in models, written as partitioned tables."""
         topic_word = self.topic_word
         for name in SHARPNESS:
             write_model(TopicModel(heaviest_words(topic_word), self.topic_doc(name), topic_word), root, name)
-        return root
 
     def model(self, name: str = "LDA_10") -> TopicModel:
         return read_model(self.spark, self.model_root, name)

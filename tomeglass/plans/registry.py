@@ -18,7 +18,7 @@ from tomeglass.operators import topics as tp
 from tomeglass.operators.ranking import best_overall
 from tomeglass.plans import pages
 from tomeglass.plans.derived import DIM, FIELDS, Corpus, corpus
-from tomeglass.session import fresh_path
+from tomeglass.session import fresh_path, spread
 from tomeglass.sources import index_store, lines, models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,12 +287,12 @@ def topk_global(c: Corpus) -> DataFrame:
 
 @query
 def tokenize(c: Corpus) -> DataFrame:
-    return lex.tokenize(c.documents, FIELDS)
+    return lex.tokenize(spread(c.documents), FIELDS)
 
 
 @query
 def postings(c: Corpus) -> DataFrame:
-    return lex.postings(lex.token_arrays(c.documents, FIELDS)).select("field", "term", "doc_id", "tf", "dl")
+    return lex.postings(lex.token_arrays(spread(c.documents), FIELDS)).select("field", "term", "doc_id", "tf", "dl")
 
 
 @query
@@ -385,13 +385,13 @@ def knn_approx_quality(c: Corpus) -> DataFrame:
 
 @query
 def embed_corpus(c: Corpus) -> DataFrame:
-    return ml.embed_hashed(c.documents)
+    return ml.embed_hashed(spread(c.documents))
 
 
 @query
 def vector_text_search(c: Corpus) -> DataFrame:
     """Vector search by text: passages and documents through one encoder, then the nearest documents."""
-    vectors = ml.embed_hashed(c.documents)
+    vectors = ml.embed_hashed(spread(c.documents))
     return pages.search_page(c.passages, c.documents, "Vector Search", vectors=vectors, encode=ml.embed_hashed)
 
 

@@ -55,3 +55,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hash rows by ``key`` if they are read in fewer tasks than there are cores, as from one small file.
+
+    For costly work on each row. A large table is read in many more tasks and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
