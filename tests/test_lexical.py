@@ -3,12 +3,15 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tomeglass.functions import joins
 from tomeglass.operators import documents as docs
 from tomeglass.operators import lexical as lex
+from tomeglass.operators import nearest
+from tomeglass.operators.nearest import HighestScores
 from tomeglass.sources.index_store import write_index
 
 SCHEMA = "doc_id long, title string, abstract string"
@@ -126,6 +129,13 @@ def test_all_plans_give_the_same_hits(spark, index, make, monkeypatch):
     assert same_hits(blocks, shared)
 
 
+def test_long_queries_are_scored_in_small_tiles(monkeypatch):
+    monkeypatch.setattr(nearest, "CELLS", 3)
+    best = HighestScores(np.arange(3), np.array([0, 0, 1, 2]), np.array([5, 6, 5, 7]), np.array([1.0, 1, 2, 1]), 2, 6)
+    best.add(np.array([10, 11, 12]), np.array([0, 0, 1, 2]), np.array([5, 6, 5, 8]), np.array([1.0, 0.5, 2.0, 9.0]))
+    assert list(zip(*best.columns().values())) == [(0, 11, -2.0), (0, 10, -1.5), (1, 11, -4.0), (1, 10, -2.0)]
+
+
 def same_hits(a, b):
     return [h[:3] for h in a] == [h[:3] for h in b] and [h[3] for h in a] == pytest.approx([h[3] for h in b], abs=2e-6)
 

@@ -106,14 +106,24 @@ class HighestScores(Best):
 
     def add(self, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
         """One entry per document and term; ``row`` is the position in ``ids`` and ascends."""
-        for top in range(0, len(self.query_ids), QUERIES):
-            low, high = np.searchsorted(self.row, [top, top + QUERIES])
-            terms, column = np.unique(self.term[low:high], return_inverse=True)
+        top = 0
+        while top < len(self.query_ids):
+            rows, entries = self._next_queries(top)
+            terms, column = np.unique(self.term[entries], return_inverse=True)
             if len(terms):
-                rows = slice(top, min(top + QUERIES, len(self.query_ids)))
                 factors = np.zeros((rows.stop - top, len(terms)))
-                factors[self.row[low:high] - top, column] = self.factor[low:high]
+                factors[self.row[entries] - top, column] = self.factor[entries]
                 self._add_tiles(rows, factors, terms, ids, row, term, weight)
+            top = rows.stop
+
+    def _next_queries(self, top: int) -> tuple[slice, slice]:
+        """Some queries from ``top`` on, fewer of long ones, and their entries."""
+        step = min(QUERIES, len(self.query_ids) - top)
+        low, high = np.searchsorted(self.row, [top, top + step])
+        while step > 1 and step * (high - low) > CELLS:
+            step //= 2
+            high = np.searchsorted(self.row, top + step)
+        return slice(top, top + step), slice(low, high)
 
     def _add_tiles(self, rows, factors, terms, ids, row, term, weight) -> None:
         at = np.minimum(np.searchsorted(terms, term), len(terms) - 1)

@@ -55,7 +55,7 @@ class Corpus:
             "text",
             title.alias("title"),
             tx.abstract_after_title(F.col("text"), title).alias("abstract"),
-            F.concat(F.lit("https://etd.example.org/"), F.col("doc_id").cast("string")).alias("uri"),
+            F.concat(F.lit("https://corpus.example.org/"), F.col("doc_id").cast("string")).alias("uri"),
             raw.alias("year_raw"),
             tx.parse_year(raw).alias("year"),
             F.col("source").alias("university"),

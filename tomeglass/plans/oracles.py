@@ -25,7 +25,7 @@ _CTE = {
     "meta": r"""
 meta AS (
   SELECT doc_id, text, title, substring(text, length(title) + 2) AS abstract,
-         'https://etd.example.org/' || doc_id AS uri, year_raw,
+         'https://corpus.example.org/' || doc_id AS uri, year_raw,
          TRY_CAST(split_part(year_raw, '.', 1) AS INT) AS year, source AS university
   FROM (SELECT *, split_part(text, chr(10), 1) AS title,
                CASE WHEN doc_id % 17 = 0 THEN 'None' ELSE (1995 + doc_id % 23) || '.0' END AS year_raw
@@ -132,7 +132,7 @@ _TW = "meta vec fields tok post tw"
 ORACLES: dict[str, str] = {
     "corpus_line_aligned": _with(
         "meta",
-        f"""SELECT doc_id, {_NO_TITLE}, {_ONE_LINE.format("abstract")} AS abstract, uri, year_raw, year, university
+        f"""SELECT doc_id, {_NO_TITLE}, {_ONE_LINE.format("abstract")} AS abstract, uri, year_raw, CAST(year AS DOUBLE) AS year, university
 FROM meta""",
     ),
     "corpus_wide_tsv": _with(
@@ -156,14 +156,14 @@ FROM post GROUP BY field""",
     ),
     "doc_detail": _with(
         "meta vec",
-        f"""SELECT doc_id, {_NO_TITLE}, abstract, uri, year, university FROM meta
+        f"""SELECT doc_id, {_NO_TITLE}, abstract, uri, CAST(year AS DOUBLE) AS year, university FROM meta
 WHERE doc_id IN (SELECT doc_id FROM vec)""",
     ),
     "abstract_split": _with("meta", "SELECT doc_id, abstract FROM meta"),
     "title_fallback": _with(
         "meta vec", f"SELECT doc_id, {_NO_TITLE} FROM vec FULL JOIN meta USING (doc_id)"
     ),
-    "year_parse": _with("meta", "SELECT doc_id, year_raw, year FROM meta"),
+    "year_parse": _with("meta", "SELECT doc_id, year_raw, CAST(year AS DOUBLE) AS year FROM meta"),
     "topic_words_label": _with(
         f"{_TW} topics",
         """SELECT topic_id, array_to_string(words, ' ') AS label, array_to_string(words, ',') AS link,
