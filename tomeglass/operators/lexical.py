@@ -134,8 +134,8 @@ def search(
 ) -> DataFrame:
     """Hits (query_id, rank, doc_id, score) of a batch of bag-of-words queries, any term may match.
 
-    A document's score is the sum over fields and terms. Scores are rounded before ranking, so that the order of
-    addition cannot change a rank; equal scores rank by doc_id.
+    A document's score is the sum over fields and terms. Scores are rounded before ranking, so that the last
+    bits, which depend on the order of addition, do not decide a rank; equal scores rank by doc_id.
 
     Whatever the plan, no row is made per query and matching document unless each word belongs to one query only:
     documents are scored in blocks, and a block hands on its k best per query.
