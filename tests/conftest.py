@@ -5,8 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
-from tomeglass.session import local_session  # noqa: E402
+from tomeglass.session import local_session, ship_package  # noqa: E402
 
 TINY = "/root/testdata/sf0.001"
 
@@ -14,7 +13,7 @@ TINY = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, app="tomeglass-tests", memory="8g")
-    entry._ship(session)
+    ship_package(session)
     yield session
     session.stop()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,20 @@ def local_session(cpus: int | str = "*", app: str = "tomeglass", memory: str = "
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; functions that run in Python tasks are imported there."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="tomeglass-"), "tomeglass")
+        root, name = os.path.split(package)
+        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, name))
+        _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
