@@ -1 +1,131 @@
-"""To come."""
+"""URL filter by a tree of path templates per host; DataFrame operations only."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tomeglass.functions.joins import BROADCAST_ROWS, is_within
+from tomeglass.session import cut_lineage
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MERGED = "+"
+
+
+class Limits(NamedTuple):
+    """Shape of the tree and when its leaves are rejected.
+
+    A segment keeps its name if at least ``support`` URLs and one in ``fanout`` of its parent's have it; all others are
+    variable and become a wildcard, so a node has at most ``fanout`` named branches. Named branches whose share of bad URLs
+    lies within ``similar`` standard errors of their parent's are merged. What lies below ``depth`` segments is one
+    segment. A template is rejected if its share of good URLs, smoothed by ``weight`` URLs of the whole table's share, is below
+    ``purity``.
+    """
+
+    support: int = 5
+    fanout: int = 50
+    similar: float = 2.58
+    depth: int = 6
+    weight: float = 5.0
+    purity: float = 0.5
+
+
+def host_of(url: Column) -> Column:
+    """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; empty if there is none."""
+    return F.translate(F.regexp_extract(_after(url), r"^[^/?#]*", 0), UPPER, LOWER)
+
+
+def path_of(url: Column) -> Column:
+    """What follows the host up to ``?``, ``#`` or the end."""
+    return F.regexp_extract(_after(url), r"^[^/?#]*([^?#]*)", 1)
+
+
+def _after(url: Column) -> Column:
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
+
+
+def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
+    """The longest of the (host and path, verdict) rules that fits, and its verdict; null if none does."""
+    rule = verdict = F.lit(None).cast("string")
+    for text, outcome in sorted(rules, key=lambda r: len(r[0])):  # the last that fits is the longest
+        rule_host, slash, rule_path = text.partition("/")
+        fits = ((host == rule_host) | host.endswith(f".{rule_host}")) & path.startswith(slash + rule_path)
+        rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(outcome)).otherwise(verdict)
+    return rule, verdict
+
+
+def _segments(path: Column, depth: int) -> Column:
+    whole = F.filter(F.split(path, "/"), lambda s: s != "")
+    tail = F.array(F.array_join(F.slice(whole, depth, F.greatest(F.size(whole), F.lit(1))), "/"))
+    return F.when(F.size(whole) > depth, F.concat(F.slice(whole, 1, depth - 1), tail)).otherwise(whole)
+
+
+def _wildcard(segment: Column) -> Column:
+    """A wildcard that keeps the ending of a file name."""
+    return F.concat(F.lit("*"), F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1))
+
+
+def _climb(rows: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """Add ``template`` to rows with host and segs: names on the levels for which ``nodes`` has been found."""
+    rows = rows.withColumn("template", F.lit(""))
+    for level, named in enumerate(nodes):
+        segment = F.get("segs", F.lit(level))
+        rows = rows.join(named, ["host", "template"], "left")
+        step = F.concat("template", F.lit("/"), F.coalesce(F.element_at("names", segment), _wildcard(segment)))
+        rows = rows.withColumn("template", F.when(F.size("segs") > level, step).otherwise(F.col("template"))).drop("names")
+    return rows
+
+
+def _named_branches(counted: DataFrame, level: int, limits: Limits) -> DataFrame:
+    """(host, template, names) for the nodes of one level: which segments keep a name, and which name."""
+    branches = counted.where(F.size("segs") > level).groupBy("host", "template", F.get("segs", F.lit(level)).alias("segment"))
+    branches = branches.agg(*(F.sum(c).alias(c) for c in ("n", "known", "bad")))
+    parents = branches.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "known", "bad")))
+    heavy = branches.where(F.col("n") >= limits.support).join(parents, ["host", "template"]).where(F.col("n") * limits.fanout >= F.col("all_n"))
+    share = (F.col("all_bad") + 0.5) / (F.col("all_known") + 1)
+    error = F.sqrt(F.col("known") * share * (1 - share))
+    alike = F.abs(F.col("bad") - F.col("known") * share) <= limits.similar * error
+    found = heavy.groupBy("host", "template").agg(F.collect_list(F.struct("segment", alike.alias("alike"))).alias("found"))
+    several = F.size(F.filter("found", lambda b: b["alike"])) > 1
+    named = F.transform("found", lambda b: F.struct(b["segment"], F.when(b["alike"] & several, F.lit(MERGED)).otherwise(b["segment"])))
+    return found.select("host", "template", F.map_from_entries(named).alias("names"))
+
+
+def judge_urls(urls: DataFrame, known: DataFrame, rules: Sequence[tuple[str, str]] = (), limits: Limits = Limits()) -> DataFrame:
+    """(page_id, host, path, rule, verdict, template) for every row of ``urls`` (page_id, url).
+
+    ``known`` (page_id, bad 0 or 1) labels some of the URLs. The longest fitting rule decides; where none fits the template of
+    the URL does. URLs that are missing or have no ``://`` have empty hosts and paths and one template of their own. Rows
+    that repeat or lack a page_id are judged like any other, labels of a repeated page count as bad if one says so. Other
+    columns are ignored; an empty table gives an empty result.
+
+    URLs are added up by host and path before anything is grouped by host, and each level of the tree is a table with at
+    most one row per ``limits.support`` URLs, so a host with most of the URLs is no group of its own anywhere.
+    """
+    labels = known.groupBy("page_id").agg(F.max("bad").alias("bad"))
+    parsed = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    parsed = parsed.withColumn("segs", _segments(F.col("path"), limits.depth))
+    counted = parsed.join(labels, "page_id", "left").groupBy("host", "segs")
+    counted = counted.agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    counted = cut_lineage(counted)
+    deepest, n_known, n_bad = counted.agg(F.max(F.size("segs")), F.sum("known"), F.sum("bad")).first()
+
+    nodes: list[DataFrame] = []
+    for level in range(deepest or 0):
+        named = cut_lineage(_named_branches(_climb(counted, nodes), level, limits))
+        nodes.append(F.broadcast(named) if is_within(named, BROADCAST_ROWS // 10) else named)
+
+    good = 1 - (n_bad or 0) / max(n_known or 0, 1)
+    leaves = _climb(counted, nodes).groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+    purity = (F.col("known") - F.col("bad") + limits.weight * good) / (F.col("known") + limits.weight)
+    impure = cut_lineage(leaves.where(purity < limits.purity).select("host", "template", F.lit(True).alias("impure")))
+    impure = F.broadcast(impure) if is_within(impure, BROADCAST_ROWS) else impure
+
+    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
+    judged = _climb(parsed, nodes).join(impure, ["host", "template"], "left")
+    own = F.when(F.col("impure"), F.lit("block")).otherwise(F.lit("allow"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template")
