@@ -86,9 +86,13 @@ def rule_counts(docs: DataFrame) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(count, "row bigint, doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
+def normal_line(line: Column) -> Column:
+    """A line in lower case, trimmed, with runs of white space as one blank."""
+    return F.lower(F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")))
+
+
 def line_hash(line: Column) -> Column:
-    """Hash of a line in lower case with runs of white space as one space."""
-    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))))
+    return F.xxhash64(normal_line(line))
 
 
 def _text_lines(text: Column) -> Column:
@@ -98,11 +102,13 @@ def _text_lines(text: Column) -> Column:
 def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(source, line, n): hashes of lines that more distinct documents of a host have than ``limits`` allow.
 
-    Documents are told apart by their least line hash, so that copies and near copies of a document, which share it, count
-    once: they are not boilerplate but duplicates.
+    Documents are told apart by their longest line (of equally long ones the last in byte order), so that copies of a document
+    and most near copies, which share it, count once: they are not boilerplate but duplicates, and other operators' business.
     """
-    hashed = docs.select("source", F.transform(_text_lines(F.col("text")), line_hash).alias("lines")).where("size(lines) > 0")
-    hashed = hashed.select("source", F.array_min("lines").alias("told"), F.array_distinct("lines").alias("lines"))
+    lines = F.transform(_text_lines(F.col("text")), normal_line)
+    hashed = docs.select("source", lines.alias("lines")).where("size(lines) > 0")
+    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.char_length(x).alias("length"), x.alias("line"))))["line"]
+    hashed = hashed.select("source", F.xxhash64(longest).alias("told"), F.array_distinct(F.transform("lines", F.xxhash64)).alias("lines"))
     sizes = hashed.groupBy("source").agg(F.count("*").alias("docs"))
     # The second aggregation sees a line once for each distinct document.
     once = hashed.select("source", "told", F.explode("lines").alias("line")).groupBy("source", "line", "told").agg(F.lit(1).alias("_"))
