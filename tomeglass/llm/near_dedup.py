@@ -16,14 +16,17 @@ from tomeglass.llm import shingles as sh
 from tomeglass.llm.components import components
 from tomeglass.session import cut_lineage
 
-STAR_ROUNDS = 2
+# Nodes on each side of a tile, and cells compared at once.
+TILE = 2048
+CELLS = 1 << 22
 
 
 class Method(NamedTuple):
     """Words per shingle, least similarity in percent, MinHash bands and the chance at which a true link is given up.
 
     A pair of similarity 0.8 shares none of 32 bands of 5 values with a chance of 3 in a million. ``miss`` bounds the
-    posterior chance that a pair dropped after a batch of ``batch`` values reaches the similarity.
+    posterior chance that a pair dropped after a batch of ``batch`` values reaches the similarity. Nodes that stay apart from
+    others in their keys are compared by ``fine`` further values of one byte each.
     """
 
     shingle: int = 5
@@ -31,32 +34,37 @@ class Method(NamedTuple):
     bands: int = 32
     band: int = 5
     batch: int = 32
+    fine: int = 2048
     miss: float = 1e-4
 
     @property
     def hashes(self) -> int:
         return self.bands * self.band
 
-    @property
-    def low(self) -> float:
-        """A node below this similarity to a hub is linked with nothing that is linked with the hub."""
-        return 2 * self.percent / 100 - 1
-
-    def least_matches(self) -> list[tuple[int, int]]:
-        """(values compared, least matches): with fewer, similarity above ``low`` has a posterior below ``miss``.
+    def least_matches(self, sizes: tuple[int, ...], limit: float) -> list[tuple[int, int]]:
+        """(values compared, least matches): with fewer, a chance of ``limit`` per value has a posterior below ``miss``.
 
         The prior is uniform, so the posterior after m of n matches is a Beta distribution, and its upper tail at t is the
         chance of at most m successes in n + 1 trials of probability t.
         """
         out = []
-        for n in sorted({*range(self.batch, self.hashes, self.batch), self.hashes}):
+        for n in sizes:
             tail, m = 0.0, -1
             while tail < self.miss:
                 m += 1
-                tail += math.comb(n + 1, m) * self.low**m * (1 - self.low) ** (n + 1 - m)
+                ways = math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m)
+                tail += math.exp(ways + m * math.log(limit) + (n + 1 - m) * math.log(1 - limit))
             out.append((n, m))
         return out
 
+    def first_steps(self) -> list[tuple[int, int]]:
+        return self.least_matches((*range(self.batch, self.hashes, self.batch), self.hashes), self.percent / 100)
+
+    def fine_steps(self) -> list[tuple[int, int]]:
+        """For values cut to one byte, which are also equal by chance."""
+        limit = self.percent / 100
+        return self.least_matches((self.fine // 4, self.fine // 2, self.fine), limit + (1 - limit) / 256)
+
 
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text."""
@@ -99,14 +107,21 @@ def _signed(docs: DataFrame, how: Method) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """(key, node) to (key, hub, node): the least node of each key with each other one."""
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last")
-    return members.join(hubs.drop("_last"), "key").where("node <> hub").select("key", "hub", "node")
+    """(key, node) to (key, hub, node): the hub of each key with every other node.
+
+    The hub is the node with the most neighbours over all its keys, of equals the greatest. In a group of edited copies that
+    is the one nearest to all others, so one comparison each finds most links.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    met = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("met"))
+    weighed = members.join(met, "node")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("met", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
+    return members.join(hubs, "key")
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, how: Method) -> DataFrame:
     """Pairs (a, b) that no batch of MinHash values rules out."""
-    steps = how.least_matches()
+    steps = how.first_steps()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,17 +176,107 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(compare, "a binary, b binary, inter bigint, both bigint")
 
 
+def _unsettled(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, main, n, n_other) of the keys whose nodes are not one component; main: that of the hub."""
+    label = F.coalesce("label", "node").alias("label")
+    hub_label = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    rows = stars.join(labels, "node", "left").join(hub_label, "hub", "left")
+    rows = rows.select("key", "node", label, (label == F.coalesce("hub_label", "hub")).alias("main"))
+    # In a key of two nodes their pair has been compared.
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum((~F.col("main")).cast("long")).alias("n_other"))
+    return rows.join(counts.where("n > 2 and n_other > 0"), "key")
+
+
+def _fine(sets: DataFrame, how: Method) -> DataFrame:
+    """(node, fine): further MinHash values of sets, one byte each."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                own = [np.frombuffer(s.as_buffer(), np.uint64) for s in part.column("set")]
+                begins = np.concatenate([[0], np.cumsum([len(s) for s in own])[:-1]])
+                values = np.ascontiguousarray(sh.block_minima(np.concatenate(own), begins, how.fine, seed=13).astype(np.uint8))
+                yield pa.record_batch([part.column("node"), pa.array([v.tobytes() for v in values], pa.binary())], ["node", "fine"])
+
+    return sets.mapInArrow(sign, "node binary, fine binary")
+
+
+def _across(unsettled: DataFrame, sigs: DataFrame, how: Method, best: int | None) -> DataFrame:
+    """Pairs (a, b) of nodes in one key but two components that no batch of MinHash values rules out.
+
+    Every node outside the hub's component meets all nodes of other components. Both sides are cut into blocks of about
+    ``TILE`` nodes, each pair of blocks is compared as a matrix inside a task, and only what passes leaves it: all of it, or
+    the ``best`` of each node.
+    """
+    steps, fine_steps = how.first_steps(), how.fine_steps()
+    blocks = lambda n: F.ceil(F.col(n) / TILE)
+    rows = unsettled.join(sigs, "node")
+    rows = rows.select("key", "node", "label", "main", "sig", "fine", blocks("n").alias("n_right"), blocks("n_other").alias("n_left"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = rows.where("not main").withColumn("l", own("n_left")).withColumn("r", every("n_right")).withColumn("side", F.lit(0))
+    right = rows.withColumn("r", own("n_right")).withColumn("l", every("n_left")).withColumn("side", F.lit(1))
+    tiles = left.unionByName(right).select("key", "l", "r", "side", "node", "label", "sig", "fine")
+
+    def meet(tile: pa.Table) -> tuple[list, list]:
+        side = tile.column("side").to_numpy()
+        nodes, names = np.array(tile.column("node").to_pylist(), object), np.array(tile.column("label").to_pylist(), object)
+        number = {name: i for i, name in enumerate(dict.fromkeys(names))}
+        of = np.array([number[name] for name in names])
+        values = np.frombuffer(b"".join(tile.column("sig").to_pylist()), np.uint32).reshape(-1, how.hashes)
+        fine = np.frombuffer(b"".join(tile.column("fine").to_pylist()), np.uint8).reshape(-1, how.fine)
+        lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found: list[tuple[bytes, bytes]] = []
+        for begin in range(0, len(lefts), max(1, CELLS // (how.batch * max(len(rights), 1)))):
+            some = lefts[begin : begin + max(1, CELLS // (how.batch * max(len(rights), 1)))]
+            i, j = np.nonzero(of[some][:, None] != of[rights][None, :])
+            i, j = some[i], rights[j]
+            for signature, stages in ((values, steps), (fine, fine_steps)):
+                matches, done = 0, 0
+                for n, least in stages:
+                    matches = matches + (signature[i, done:n] == signature[j, done:n]).sum(axis=1)
+                    alive = matches >= least
+                    i, j, matches, done = i[alive], j[alive], matches[alive], n
+            if best:
+                order = np.lexsort((-matches, i))
+                i, j = i[order], j[order]
+                nth = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[nth < best], j[nth < best]
+            found += [(min(a, b), max(a, b)) for a, b in zip(nodes[i], nodes[j])]
+        pairs = sorted(set(found))
+        return [a for a, _ in pairs], [b for _, b in pairs]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by tile; a tile may run over several batches."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            at = np.stack([table.column(c).to_numpy() for c in ("key", "l", "r")])
+            cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+            for begin, end in zip([0, *cuts[:-1]], cuts):
+                a, b = meet(table.slice(begin, end - begin))
+                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            held = table.slice(cuts[-1] if len(cuts) else 0).combine_chunks().to_batches()
+        if held:
+            a, b = meet(pa.Table.from_batches(held))
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    dealt = tiles.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side", "node")
+    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, how: Method = Method()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Two texts are linked if their sets of shingles reach ``how.percent``; ``component_id`` is the least doc_id that links
     lead to, and ``kept`` marks that document. Texts without words are linked with nothing.
 
-    Equal sets are one node. In each band key the least node, the hub, is compared with the others, so a group of copies
-    costs as many comparisons as it has members. Only keys whose members are not one component then go on: nodes not
-    linked with the hub form a star of their own, and those close to the hub (``how.low``) are also compared with its
-    neighbours, as far as the triangle inequality of the Jaccard distance allows a link. No link is lost but for the
-    stated chances. Nodes that stay apart after ``STAR_ROUNDS`` rounds, which are few, are compared in pairs within a key.
+    Equal sets are one node. In each band key one node, the hub, is compared with the others, so a group of copies costs as
+    many comparisons as it has members. Only keys whose nodes are not one component then go on: first the likeliest pairs
+    across components are verified, which joins most of what belongs together, then all that are left. No link is lost but
+    for the stated chances, and pairs within a component are not compared.
 
     Rows without doc_id have no links, a null ``component_id`` and are kept. Rows that share a doc_id are judged by their
     own texts. Other columns are ignored. An empty table gives an empty result.
@@ -181,51 +286,30 @@ def near_duplicates(docs: DataFrame, how: Method = Method()) -> DataFrame:
     nodes = real.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     width = 4 * how.band
     band_keys = F.expr(f"transform(sequence(0, {how.bands - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))")
-    stars = cut_lineage(_stars(real.select("node", F.explode(band_keys).alias("key"))).distinct())
-    active = stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct()
+    keyed = real.select("node", F.explode(band_keys).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key")
+    members = cut_lineage(keyed.join(shared, "key").distinct())
+    stars = cut_lineage(_stars(members))
+    active = members.select("node").distinct()
     sigs = cut_lineage(real.select("node", "sig").dropDuplicates(["node"]).join(active, "node"))
-    sets = cut_lineage(_shingle_sets(docs, nodes.join(sigs.select("node"), "node"), how))
+    sets = cut_lineage(_shingle_sets(docs, nodes.join(active, "node"), how))
 
     similar = F.expr(f"100 * inter >= {how.percent} * both")
-    reach = 1 - how.percent / 100 + 1e-9
-    checked, extra, labels = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        pairs = (pairs if extra is None else pairs.unionByName(extra)).distinct()
-        pairs = pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = cut_lineage(_measured(_likely(pairs, sigs, how), sets))
-        checked = found if checked is None else checked.unionByName(found)
-        links = found.where(similar).select("a", "b")
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(links)
-        if turn == STAR_ROUNDS:
-            break
-
-        members = (
-            stars.join(labels, "node", "left")
-            .join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
-            .withColumn("label", F.coalesce("label", "node"))
-            .withColumn("unlike", F.col("label") != F.coalesce("hub_label", "hub"))
-        )
-        mixed = members.groupBy("key").agg(F.max("unlike").alias("mixed"), F.count("*").alias("n")).where("mixed and n > 1")
-        near = checked.select(
-            F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("both")).alias("far"), similar.alias("linked")
-        )
-        members = cut_lineage(members.join(mixed.select("key"), "key").join(near, ["hub", "node"], "left"))
-        if members.isEmpty():
+    spokes = stars.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    checked = cut_lineage(_measured(_likely(spokes, sigs, how), sets))
+    labels = components(checked.where(similar).select("a", "b"))
+    finer = None
+    for best in (3, None):
+        unsettled = cut_lineage(_unsettled(stars, labels))
+        if unsettled.isEmpty():
             break
-        rest = members.where("not coalesce(linked, false)")
-        edge = rest.where("far is not null").select("key", F.col("node").alias("b"), F.col("label").alias("to"), F.col("far").alias("far_b"))
-        inner = members.where("linked").select("key", F.col("node").alias("a"), "label", "far")
-        extra = edge.join(inner, "key").where((F.col("far_b") - F.col("far") <= reach) & (F.col("label") != F.col("to"))).select("a", "b")
-        if turn + 1 == STAR_ROUNDS:
-            left = rest.select("key", F.col("node").alias("a"), "label")
-            right = rest.select("key", F.col("node").alias("b"), F.col("label").alias("to"))
-            extra = extra.unionByName(left.join(right, "key").where("a < b and label <> to").select("a", "b"))
-            rest = rest.limit(0)
-        extra = extra.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        stars = cut_lineage(_stars(rest.select("key", "node")))
+        if finer is None:
+            finer = cut_lineage(sigs.join(_fine(sets.join(unsettled.select("node").distinct(), "node"), how), "node"))
+        pairs = _across(unsettled, finer, how, best).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        found = cut_lineage(_measured(pairs, sets))
+        checked = checked.unionByName(found)
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = components(known.unionByName(found.where(similar).select("a", "b")))
 
     of_node = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
