@@ -127,3 +127,15 @@ def test_salted_join_is_the_plain_join(spark, no_broadcast):
     salted = joins.join_requests(big, asked, ["key"], spread_by="v", salts=7)
     assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
     assert rows(salted) == rows(big.join(asked, "key"))
+
+
+def test_requests_do_not_multiply_the_members(spark):
+    """One request per topic and university: after the join there are no more rows than are kept."""
+    topic_doc = spark.range(400).select((F.col("id") % 2).alias("topic_id"), F.col("id").alias("doc_id"), F.lit(0.5).alias("weight"))
+    documents = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(2000).alias("year"), F.concat(F.lit(" u"), F.col("id") % 20).alias("university"))
+    pairs = [(f"{t}/{u}", t, 0.1, 1990, 2010, f"u{u} ") for t in range(2) for u in range(20)] + [("all", 0, 0.1, None, None, None)]
+    requests = spark.createDataFrame(pairs, "request_id string, topic_id long, threshold double, year_from int, year_to int, university string")
+    found = docs.faceted_batch(topic_doc, documents, requests)
+    assert found.count() == 400 + 200
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, ((topic_id") == 1 and "Cartesian" not in plan

@@ -80,7 +80,7 @@ PLANS = {"scan": {}, "cells": {"broadcast_bytes": 0, "block_rows": 64, "pivots":
 def test_both_plans_are_brute_force_under_skew(spark, plan, exclude):
     ids, vectors = clustered(1)
     got = kn.knn(
-        frame(spark, "doc_id", ids, vectors), frame(spark, "query_id", ids, vectors), 7, exclude_self=exclude, **PLANS[plan]
+        frame(spark, "doc_id", ids, vectors), frame(spark, "query_id", ids, vectors), 4, 7, exclude_self=exclude, **PLANS[plan]
     )
     same(collected(got), brute_force(ids, vectors, ids, vectors, 7, exclude))
 
@@ -90,36 +90,49 @@ def test_queries_apart_from_the_vectors(spark, plan):
     ids, vectors = clustered(2)
     rng = np.random.default_rng(3)
     queries = np.vstack([rng.normal(size=(30, 4)) * 4, np.full((20, 4), 5.0)])
-    got = kn.knn(frame(spark, "doc_id", ids, vectors), frame(spark, "query_id", range(50), queries), 5, **PLANS[plan])
+    got = kn.knn(frame(spark, "doc_id", ids, vectors), frame(spark, "query_id", range(50), queries), 4, 5, **PLANS[plan])
     same(collected(got), brute_force(ids, vectors, range(50), queries, 5))
 
 
 @pytest.mark.parametrize("plan", PLANS)
 def test_fewer_vectors_than_neighbours_asked_for(spark, plan):
     vectors = np.array([[0.0, 0], [1, 0], [1, 0]])
-    got = kn.knn(frame(spark, "doc_id", [4, 9, 2], vectors), frame(spark, "query_id", [4], vectors[:1]), 10, **PLANS[plan])
+    got = kn.knn(frame(spark, "doc_id", [4, 9, 2], vectors), frame(spark, "query_id", [4], vectors[:1]), 2, 10, **PLANS[plan])
     assert collected(got) == {4: [(0.0, 4), (1.0, 2), (1.0, 9)]}
 
 
 def test_a_copy_does_not_replace_the_vector_itself(spark):
     vectors = np.array([[1.0, 1], [1, 1], [2, 2]])
     everything = frame(spark, "doc_id", [0, 1, 2], vectors)
-    got = kn.knn(everything, everything.withColumnRenamed("doc_id", "query_id"), 1, exclude_self=True)
+    got = kn.knn(everything, everything.withColumnRenamed("doc_id", "query_id"), 2, 1, exclude_self=True)
     assert collected(got) == {0: [(0.0, 1)], 1: [(0.0, 0)], 2: [(2.0, 0)]}
 
 
 def test_no_queries(spark):
     vectors = frame(spark, "doc_id", [0], np.array([[1.0, 1]]))
     none = frame(spark, "query_id", [0], np.array([[1.0, 1]])).where("false")
-    assert kn.knn(vectors, none).collect() == []
+    assert kn.knn(vectors, none, 2).collect() == []
 
 
-def test_missing_and_short_vectors(spark):
-    vectors = spark.createDataFrame([(0, [1.0, 1.0, 9.0]), (1, None)], "doc_id long, embedding array<double>")
-    queries = frame(spark, "query_id", [0], np.array([[1.0, 1]]))
-    assert collected(kn.knn(vectors, queries)) == {0: [(0.0, 0)]}
-    with pytest.raises(Exception, match="shorter than 2"):
-        kn.knn(vectors.union(spark.createDataFrame([(2, [1.0])], vectors.schema)), queries).collect()
+def test_dimension_is_declared(spark):
+    """A short query is filled up with zeros, and the first query row decides nothing."""
+    vectors = spark.createDataFrame([(0, [1.0, 1.0, 9.0]), (1, [1.0, 1.0, 0.0]), (2, None)], "doc_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 1.0, 9.0]), (2, None)], "query_id long, embedding array<double>")
+    for plan in PLANS.values():
+        assert collected(kn.knn(vectors, queries, 3, **plan)) == {0: [(0.0, 1), (81.0, 0)], 1: [(0.0, 0), (81.0, 1)]}
+    with pytest.raises(Exception, match="see dim_violations"):
+        kn.knn(vectors, queries.where("query_id <> 1"), 2).collect()
+    with pytest.raises(Exception, match="longer than 2"):
+        kn.knn(vectors.limit(0), queries, 2).collect()
+    assert sorted(map(tuple, kn.dim_violations(vectors, 3).collect())) == [(2, 0)]
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_digits_survive_far_from_the_origin(spark, plan):
+    ids, vectors = clustered(4, n=300)
+    vectors = vectors + 1e5
+    got = kn.knn(frame(spark, "doc_id", ids, vectors), frame(spark, "query_id", ids, vectors), 4, 6, **PLANS[plan])
+    assert collected(got) == brute_force(ids, vectors, ids, vectors, 6)
 
 
 def test_cells_leave_out_most_of_well_separated_data(spark):
@@ -155,8 +168,8 @@ def test_approximate_search_reports_both_numbers(spark):
     vectors = rng.normal(size=(500, 8))
     points = frame(spark, "doc_id", range(500), vectors)
     queries = points.withColumnRenamed("doc_id", "query_id")
-    exact = kn.knn(points, queries, 10)
-    centres = kn.train_cells(points, 8)
+    exact = kn.knn(points, queries, 8, 10)
+    centres = kn.train_cells(points, 8, 8)
     quality = {}
     for probe in (1, 4, 8):
         approx = kn.knn_approx(points, queries, centres, probe)

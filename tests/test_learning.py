@@ -32,6 +32,16 @@ def test_topic_model_separates_two_vocabularies(spark, texts):
     }
 
 
+def test_no_word_is_lost(spark):
+    """More words than any usual limit, most of them in one document only, and every document counts."""
+    data = [(i, " ".join(f"w{i}x{j}" for j in range(700)) + " shared") for i in range(100)]
+    model = ml.fit_topic_model(spark.createDataFrame(data, "doc_id long, text string"), k=2, iterations=1)
+    assert model.topic_word.count() == 2 * 70_001
+    assert model.topic_doc.count() == 200
+    with pytest.raises(ValueError, match="vocabulary"):
+        ml.fit_topic_model(spark.createDataFrame(data, "doc_id long, text string"), k=2, iterations=1, most_cells=1000)
+
+
 def test_two_fits_agree(spark, texts):
     first, second = (ml.fit_topic_model(texts, k=2, iterations=5).topics for _ in range(2))
     assert rows(first) == rows(second)
@@ -64,5 +74,7 @@ def test_vector_search_by_text(spark, texts):
     queries = spark.createDataFrame([(0, "zinc iron"), (1, "plum")], "query_id long, text string")
     hits = pages.search_page(queries, documents, "Vector Search", vectors=ml.embed_hashed(texts), encode=ml.embed_hashed)
     assert hits.count() == 20
+    more = pages.search_page(queries, documents, "Vector Search", vectors=ml.embed_hashed(texts), encode=ml.embed_hashed, page=2)
+    assert {r["rank"] for r in more.collect()} == set(range(11, 21))
     assert {r["doc_id"] % 2 for r in hits.where("query_id = 0").collect()} == {0}
     assert {r["doc_id"] % 2 for r in hits.where("query_id = 1").collect()} == {1}

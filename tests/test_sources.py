@@ -60,6 +60,24 @@ def test_wide_tsv_drops_the_header_and_keeps_quotes(spark, tmp_path):
     assert [tuple(r) for r in got] == [(0, 'A "quoted', "x\\", [1, 2]), (1, "B", "", [3, 4])]
 
 
+def test_short_lines_keep_their_number(spark, tmp_path):
+    path = tmp_path / "wide.tsv"
+    head = "\t".join([*(f"c{i}" for i in range(12)), "vector_bert"])
+    full = "\t".join(["0", "A", "", "", "", "text", *[""] * 6, "[1, 2]"])
+    path.write_text(f"{head}\n{full}\nonly\ttwo\n\n{full}\n")
+    got = lines.wide_tsv(spark, str(path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(0, "A", "text", [1, 2]), (1, "two", None, None), (2, None, None, None), (3, "A", "text", [1, 2])]
+    assert sorted(map(tuple, lines.short_lines(spark, str(path)).collect())) == [(1, 2), (2, 1)]
+
+
+def test_parts_are_ordered_by_number(spark, tmp_path):
+    names = ["part-99999-x", "part-100000-x", "part-00002-x"]
+    for i, name in enumerate(names):
+        (tmp_path / name).write_text(f"{i}a\n{i}b\n")
+    got = lines.numbered_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [tuple(r) for r in got] == [(0, "2a"), (1, "2b"), (2, "0a"), (3, "0b"), (4, "1a"), (5, "1b")]
+
+
 def make_model(spark, word, weight):
     topics = spark.createDataFrame([(0, [word])], "topic_id long, words array<string>")
     topic_doc = spark.createDataFrame([(0, 7, weight)], "topic_id long, doc_id long, weight double")

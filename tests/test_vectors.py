@@ -39,7 +39,9 @@ def test_score(spark):
 def test_dimension(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0, 3.0])], "doc_id long, embedding array<float>")
     assert sorted(map(tuple, dim_violations(df, 2).collect())) == [(1, 1), (3, 3)]
-    fitted = df.where("doc_id > 1").select(vx.fit_dimension(F.col("embedding"), 2)).collect()
-    assert [r[0] for r in fitted] == [[1, 2], [1, 2]]
-    with pytest.raises(Exception, match="shorter than 2"):
-        df.select(vx.fit_dimension(F.col("embedding"), 2)).collect()
+    assert df.where("doc_id = 2").select(vx.of_dimension(F.col("embedding"), 2)).first()[0] == [1, 2]
+    with pytest.raises(Exception, match="not of dimension 2"):
+        df.select(vx.of_dimension(F.col("embedding"), 2)).collect()
+    assert [r[0] for r in df.where("doc_id < 3").orderBy("doc_id").select(vx.filled_up(F.col("embedding"), 2)).collect()] == [[1, 0], [1, 2]]
+    with pytest.raises(Exception, match="longer than 2"):
+        df.select(vx.filled_up(F.col("embedding"), 2)).collect()

@@ -24,11 +24,18 @@ def parse_query_vector(text: Column, dim: int) -> Column:
     return F.when(F.size(values) > dim, too_long).otherwise(padded)
 
 
-def fit_dimension(vector: Column, dim: int) -> Column:
-    """Values beyond ``dim`` are ignored, a shorter vector is an error."""
-    too_short = F.raise_error(F.concat(F.lit(f"vector shorter than {dim}: "), F.size(vector)))
-    exact = F.when(F.size(vector) == dim, vector)
-    return F.coalesce(exact, F.when(F.size(vector) > dim, F.slice(vector, 1, dim)).otherwise(too_short))
+def of_dimension(vector: Column, dim: int) -> Column:
+    """A stored vector has to have exactly ``dim`` values; ``knn.dim_violations`` lists those that have not."""
+    text = F.concat(F.lit(f"stored vector is not of dimension {dim}, see dim_violations: "), F.size(vector))
+    return F.when(F.size(vector) == dim, vector).otherwise(F.raise_error(text))
+
+
+def filled_up(vector: Column, dim: int) -> Column:
+    """A query vector shorter than ``dim`` is filled up with zeros, a longer one is an error."""
+    zeros = F.array_repeat(F.lit(0.0), F.lit(dim) - F.size(vector))
+    padded = F.concat(vector.cast("array<double>"), zeros)
+    too_long = F.raise_error(F.concat(F.lit(f"query vector longer than {dim}: "), F.size(vector)))
+    return F.when(F.size(vector) > dim, too_long).otherwise(padded)
 
 
 def squared_l2(a: Column, b: Column) -> Column:

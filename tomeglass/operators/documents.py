@@ -45,25 +45,23 @@ def with_documents(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return join_lookup(rows, shown, ["doc_id"], counts, hot_keys=100)
 
 
-def in_facets(
-    year_from: Column | int | None, year_to: Column | int | None, university: Column | str | None
-) -> Column:
-    """Year within the bounds and university equal after trimming; a bound that is None or NULL does not filter.
+def _bound(limit: Column | int | str | None, test) -> Column:
+    """``test`` where there is a limit; one that is None or NULL does not filter."""
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+    return limit.isNull() | F.coalesce(test(limit), F.lit(False))
 
-    Documents without a readable year pass only where neither bound is given.
-    """
 
-    def bound(limit: Column | int | None, test) -> Column:
-        limit = limit if isinstance(limit, Column) else F.lit(limit)
-        return limit.isNull() | F.coalesce(test(limit), F.lit(False))
+def in_years(year_from: Column | int | None, year_to: Column | int | None) -> Column:
+    """Year within the bounds. Documents without a readable year pass only where neither bound is given."""
+    year = F.col("year")
+    return _bound(year_from, lambda y: year >= y) & _bound(year_to, lambda y: year <= y)
 
-    def same(name: Column) -> Column:
-        return F.trim("university") == F.trim(name)
 
-    year = F.col("year")
-    lower = bound(year_from, lambda y: year >= y)
-    upper = bound(year_to, lambda y: year <= y)
-    return lower & upper & bound(university, same)
+def in_facets(
+    year_from: Column | int | None, year_to: Column | int | None, university: Column | str | None
+) -> Column:
+    """Year within the bounds and university equal after trimming."""
+    return in_years(year_from, year_to) & _bound(university, lambda name: F.trim("university") == F.trim(name))
 
 
 def faceted(
@@ -83,15 +81,21 @@ def faceted(
 
 
 def faceted_batch(topic_doc: DataFrame, documents: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, doc_id, year) for ``requests(request_id, topic_id, threshold, year_from, year_to, university)``."""
+    """(request_id, doc_id, year) for ``requests(request_id, topic_id, threshold, year_from, year_to, university)``.
+
+    Members meet their document's year and university first. Requests that name a university are then joined on topic and
+    university, the others on the topic alone, so that a row is not repeated for every request of its topic.
+    """
+    requests = cut_lineage(requests)
     lowest = requests.agg(F.min("threshold")).first()[0]
     heavy = topic_doc.where(F.col("weight") > F.lit(lowest))
-    asked = join_requests(heavy, requests, ["topic_id"], spread_by="doc_id")
-    members = asked.where(F.col("weight") > F.col("threshold")).select(
-        "request_id", "doc_id", "year_from", "year_to", F.col("university").alias("wanted_university")
-    )
-    inside = in_facets(F.col("year_from"), F.col("year_to"), F.col("wanted_university"))
-    return members.join(documents, "doc_id").where(inside).select("request_id", "doc_id", "year")
+    facts = documents.select("doc_id", "year", F.trim("university").alias("name"))
+    members = heavy.join(facts, "doc_id").select("topic_id", "doc_id", "weight", "year", "name")
+    asked = requests.withColumn("name", F.trim("university")).select("request_id", "topic_id", "threshold", "year_from", "year_to", "name")
+    named = join_requests(members, asked.where("name is not null"), ["topic_id", "name"], spread_by="doc_id")
+    unnamed = join_requests(members.drop("name"), asked.where("name is null").drop("name"), ["topic_id"], spread_by="doc_id")
+    found = named.drop("name").unionByName(unnamed).where(F.col("weight") > F.col("threshold"))
+    return found.where(in_years(F.col("year_from"), F.col("year_to"))).select("request_id", "doc_id", "year")
 
 
 def faceted_counts(found: DataFrame, requests: DataFrame) -> DataFrame:
@@ -142,7 +146,8 @@ def similar_documents(
     groups = cut_lineage(ids.join(sizes, on).withColumn("group_id", F.col("ids")[0]))
 
     points = groups.select(F.col("group_id").alias("doc_id"), F.col("weights").alias("embedding"))
-    near = cut_lineage(knn(points, points.withColumnRenamed("doc_id", "query_id"), reach, **search))
+    topics = _topics(groups)
+    near = cut_lineage(knn(points, points.withColumnRenamed("doc_id", "query_id"), topics, reach, **search))
     members = groups.select(F.col("group_id").alias("doc_id"), "ids")
     # One group may be near to very many.
     hubs = near.groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -160,8 +165,14 @@ def similar_documents(
     )
 
 
+def _topics(weights: DataFrame) -> int:
+    """All weights have as many values as the model has topics; ``knn`` checks that."""
+    row = weights.where(F.col("weights").isNotNull()).select(F.size("weights").alias("n")).first()
+    return 0 if row is None else row["n"]
+
+
 def _similar_to(weights: DataFrame, wanted: DataFrame, k: int, **search) -> DataFrame:
     points = weights.select("doc_id", F.col("weights").alias("embedding"))
     asked = points.join(wanted.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
-    near = knn(points, asked, k, exclude_self=True, **search)
+    near = knn(points, asked, _topics(weights), k, exclude_self=True, **search)
     return near.select(F.col("query_id").alias("doc_id"), "rank", F.col("doc_id").alias("similar_id"), "d2")

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,15 @@ SLACK = 1e-9
 
 
 def dim_violations(vectors: DataFrame, dim: int) -> DataFrame:
-    """Rows whose vector has not exactly ``dim`` values."""
-    return vectors.select("doc_id", F.size("embedding").alias("dim")).where(F.col("dim") != dim)
+    """Rows whose vector has not exactly ``dim`` values; a missing vector has none."""
+    size = F.when(F.col("embedding").isNull(), 0).otherwise(F.size("embedding"))
+    return vectors.select("doc_id", size.alias("dim")).where(F.col("dim") != dim)
 
 
 def knn(
     vectors: DataFrame,
     queries: DataFrame,
+    dim: int,
     k: int = HITS,
     exclude_self: bool = False,
     digits: int = 6,
@@ -47,13 +51,11 @@ def knn(
 ) -> DataFrame:
     """Exact hits (query_id, rank, doc_id, d2, score) for vectors(doc_id, embedding), queries(query_id, embedding).
 
-    The dimension is that of the queries. d2 is rounded before ranking and equal distances rank by doc_id.
+    A stored vector has to have ``dim`` values. A query with fewer is filled up with zeros, one with more is an error, and
+    missing vectors and queries are left out. d2 is rounded before ranking and equal distances rank by doc_id.
     ``exclude_self`` leaves out the vector whose doc_id is the query_id.
     """
-    dim = _dimension(queries)
-    if dim is None:
-        return _ranked(_no_hits(vectors), k, digits)
-    vectors, queries = _of_dimension(vectors, "doc_id", dim), _of_dimension(queries, "query_id", dim)
+    vectors, queries = _stored(vectors, dim), _asked(queries, dim)
     few = broadcast_bytes // (8 * (dim + 2 * k + 1))
     gathered = queries.limit(few + 1).toArrow()
     if gathered.num_rows <= few:
@@ -63,18 +65,14 @@ def knn(
     return _ranked(hits, k, digits)
 
 
-def _dimension(queries: DataFrame) -> int | None:
-    row = queries.where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("dim")).first()
-    return None if row is None else row["dim"]
-
-
-def _of_dimension(vectors: DataFrame, key: str, dim: int) -> DataFrame:
+def _stored(vectors: DataFrame, dim: int) -> DataFrame:
     present = vectors.where(F.col("embedding").isNotNull())
-    return present.select(F.col(key).cast("bigint"), vx.fit_dimension(F.col("embedding"), dim).alias("embedding"))
+    return present.select(F.col("doc_id").cast("bigint"), vx.of_dimension(F.col("embedding"), dim).alias("embedding"))
 
 
-def _no_hits(vectors: DataFrame) -> DataFrame:
-    return vectors.sparkSession.createDataFrame([], nn.SCHEMA)
+def _asked(queries: DataFrame, dim: int) -> DataFrame:
+    present = queries.where(F.col("embedding").isNotNull())
+    return present.select(F.col("query_id").cast("bigint"), vx.filled_up(F.col("embedding"), dim).alias("embedding"))
 
 
 def _ranked(hits: DataFrame, k: int, digits: int) -> DataFrame:
@@ -237,14 +235,17 @@ def _by_blocks(
     rows per query: neither a large cell nor a popular one ends up in a single task.
     """
     m = len(cells.pivots)
+    # Rows routed at once: the bounds of a route take rows x pivots x neighbours numbers.
+    step = max(1, 65536 // m)
     spark = assigned.sparkSession
     shared = spark.sparkContext.broadcast(route)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         visits = np.zeros(m, dtype=np.int64)
         for batch in batches:
-            if batch.num_rows:
-                visits += shared.value(nn.as_matrix(batch.column("embedding"), dim)).sum(axis=0)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                visits += shared.value(nn.as_matrix(part.column("embedding"), dim)).sum(axis=0)
         yield pa.RecordBatch.from_pydict({"cell": np.arange(m, dtype=np.int32), "visits": visits})
 
     visits = queries.mapInArrow(count, "cell int, visits bigint").groupBy("cell").agg(F.sum("visits").alias("visits"))
@@ -259,7 +260,6 @@ def _by_blocks(
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, 65536 // m)
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 row, cell = np.nonzero(shared.value(nn.as_matrix(part.column("embedding"), dim)))
@@ -318,14 +318,33 @@ class ApproximateHits:
     work: DataFrame
 
 
-def train_cells(vectors: DataFrame, cells: int, seed: int = 42, iterations: int = 10) -> np.ndarray:
-    """k-means centres of the vectors; as many rows as cells."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def train_cells(vectors: DataFrame, cells: int, dim: int, steps: int = 3) -> np.ndarray:
+    """Centres of cells: the vectors with the lowest doc_ids, then ``steps`` times the means of what is nearest to each.
 
-    features = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(features)
-    return np.array(model.clusterCenters())
+    Means are rounded, so the result does not depend on how the vectors are partitioned. A centre that nothing is nearest to
+    stays. Each step adds up one row per cell in every task and hands the driver as many rows as there are cells.
+    """
+    stored = _stored(vectors, dim)
+    centres = np.round(nn.as_matrix(stored.orderBy("doc_id").limit(cells).toArrow()["embedding"], dim), 6)
+    for _ in range(steps):
+        shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+        def add_up(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums, n = np.zeros(shared.value.shape), np.zeros(len(shared.value), dtype=np.int64)
+            for batch in batches:
+                rows = nn.as_matrix(batch.column("embedding"), dim)
+                nearest = np.round(nn.squared_distances(rows, shared.value), 9).argmin(axis=1)
+                np.add.at(sums, nearest, rows)
+                n += np.bincount(nearest, minlength=len(n))
+            yield pa.RecordBatch.from_pydict({"cell": np.arange(len(n)), "n": n, "sums": list(sums)})
+
+        added = stored.mapInArrow(add_up, "cell bigint, n bigint, sums array<double>").where("n > 0")
+        total = Summarizer.sum(array_to_vector("sums"))
+        means = added.groupBy("cell").agg(F.sum("n").alias("n"), vector_to_array(total).alias("sums")).collect()
+        centres = centres.copy()
+        for row in means:
+            centres[row["cell"]] = np.round(np.array(row["sums"]) / row["n"], 6)
+    return centres
 
 
 def knn_approx(
@@ -340,7 +359,7 @@ def knn_approx(
 ) -> ApproximateHits:
     """The nearest vectors among those in the ``probe`` cells nearest to each query. All of a cell is compared."""
     dim = centres.shape[1]
-    vectors, queries = _of_dimension(vectors, "doc_id", dim), _of_dimension(queries, "query_id", dim)
+    vectors, queries = _stored(vectors, dim), _asked(queries, dim)
     assigned = cut_lineage(assign_cells(vectors, centres, dim))
     cells = _describe(assigned, centres, 1)
     hits, work = _by_blocks(

@@ -6,13 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeglass.functions import text as tx
+from tomeglass.functions.joins import join_lookup
 from tomeglass.operators.ranking import best_per_group
 from tomeglass.session import cut_lineage
 from tomeglass.sources.models import TopicModel
@@ -28,39 +31,71 @@ def fit_topic_model(
     documents: DataFrame,
     k: int,
     text: str = "text",
-    vocabulary: int = 1 << 16,
-    min_docs: int = 2,
+    vocabulary: int | None = None,
+    min_docs: int = 1,
     iterations: int = 20,
     seed: int = 42,
+    most_cells: int = 1 << 27,
 ) -> TopicModel:
-    """Fit LDA to whole texts. The words of a model are bounded by ``vocabulary``, its topics by ``k``.
+    """Fit LDA to whole texts: every iteration takes all documents, and all words count unless the caller limits them.
 
-    The vocabulary is put in a fixed order, words of equal spread by name, so that a seed gives the same model again.
+    With the whole corpus in every iteration the first ones may count fully, hence the learning offset of 1. The optimiser keeps ``k`` weights per word on the driver. More than ``most_cells`` of them are an error, not a
+    cut: the caller then has to choose ``vocabulary`` or ``min_docs``. Words get their places by a join, in the order of
+    spread and name, so that a seed gives the same model again.
     """
-    spark = documents.sparkSession
-    texts = documents.select("doc_id", text).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    words = cut_lineage(texts.select("doc_id", tx.tokens(F.col(text)).alias("words")))
-    spread = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    known = spread.where(F.col("n") >= min_docs).orderBy(F.desc("n"), "term").limit(vocabulary)
-    counter = CountVectorizerModel.from_vocabulary(
-        [row["term"] for row in known.collect()], inputCol="words", outputCol="features"
-    )
-    counted = counter.transform(words)
-    lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online").fit(counted)
-
-    terms = spark.createDataFrame(list(enumerate(counter.vocabulary)), "term_at int, term string")
-    described = lda.describeTopics(len(counter.vocabulary)).select(
+    words = cut_lineage(documents.select("doc_id", tx.tokens(F.col(text)).alias("words")))
+    counted = words.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    spread = counted.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    if vocabulary is not None:
+        spread = spread.orderBy(F.desc("n"), "term").limit(vocabulary)
+    terms = numbered(cut_lineage(spread))
+    size = terms.count()
+    if size * k > most_cells:
+        raise ValueError(f"{size} words and {k} topics exceed {most_cells} weights: limit the vocabulary or min_docs")
+
+    hot = spread.select("term", "n")
+    placed = join_lookup(counted, terms, ["term"], hot).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "tf"))).alias("used"))
+    features = words.select("doc_id").distinct().join(placed, "doc_id", "left").select("doc_id", _sparse(max(size, 1))("used").alias("features"))
+    features = cut_lineage(features)
+    lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0, learningOffset=1.0).fit(features)
+
+    described = lda.describeTopics(max(size, 1)).select(
         F.col("topic").alias("topic_id"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")
     )
     topic_word = described.select(
-        "topic_id", F.col("t.termIndices").alias("term_at"), F.col("t.termWeights").alias("weight")
-    ).join(terms, "term_at").select("topic_id", "term", "weight")
+        "topic_id", F.col("t.termIndices").alias("place"), F.col("t.termWeights").alias("weight")
+    ).join(terms, "place").select("topic_id", "term", "weight")
 
     share = vector_to_array("topicDistribution")
-    topic_doc = lda.transform(counted).select("doc_id", F.posexplode(share).alias("topic_id", "weight"))
+    topic_doc = lda.transform(features).select("doc_id", F.posexplode(share).alias("topic_id", "weight"))
     return TopicModel(heaviest_words(topic_word), topic_doc.select("topic_id", "doc_id", "weight"), topic_word)
 
 
+def numbered(spread: DataFrame) -> DataFrame:
+    """(term, place): places from 0 without gaps, widest spread first. Rows are sorted into ranges and counted per range."""
+    ranged = cut_lineage(
+        spread.repartitionByRange(F.desc("n"), F.asc("term"))
+        .sortWithinPartitions(F.desc("n"), "term")
+        .select("term", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"))
+    )
+    parts = ranged.groupBy("part").agg(F.count("*").alias("rows"), F.min("seq").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", "first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    place = F.col("start") + F.col("seq") - F.col("first")
+    return ranged.join(F.broadcast(starts), "part").select("term", place.cast("int").alias("place"))
+
+
+def _sparse(size: int):
+    """A column of (place, tf) pairs in order of place as sparse vectors; a missing one is a zero vector."""
+
+    @F.udf(VectorUDT())
+    def vector(used):
+        used = used or []
+        return SparseVector(size, [u[0] for u in used], [float(u[1]) for u in used])
+
+    return vector
+
+
 def heaviest_words(topic_word: DataFrame, n: int = TOPIC_WORDS) -> DataFrame:
     """(topic_id, words): the n heaviest terms of each topic, equal weights in the order of the terms."""
     best = best_per_group(topic_word, ["topic_id"], [F.desc("weight"), F.asc("term")], n)
@@ -69,14 +104,24 @@ def heaviest_words(topic_word: DataFrame, n: int = TOPIC_WORDS) -> DataFrame:
 
 
 def embed_hashed(documents: DataFrame, text: str = "text", dim: int = DIMENSION) -> DataFrame:
-    """(doc_id, embedding): term counts hashed to ``dim`` places and scaled to length 1.
+    """(doc_id, embedding): word counts at places given by the first digits of the word's MD5, scaled to length 1.
 
     A stand-in that needs no weights, not a language model: texts are close if they share words.
     """
-    words = documents.select("doc_id", tx.tokens(F.col(text)).alias("words"))
-    counts = HashingTF(inputCol="words", outputCol="counts", numFeatures=dim).transform(words)
-    unit = Normalizer(inputCol="counts", outputCol="unit", p=2.0).transform(counts)
-    return unit.select("doc_id", vector_to_array("unit", "float32").alias("embedding"))
+    place = F.transform(tx.tokens(F.col(text)), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column("places")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+            counts = np.zeros((batch.num_rows, dim))
+            np.add.at(counts, (row, places.flatten().to_numpy(zero_copy_only=False)), 1)
+            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            unit = (counts / np.where(length > 0, length, 1)).astype(np.float32)
+            at = pa.array(np.arange(0, unit.size + 1, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "embedding": pa.ListArray.from_arrays(at, pa.array(unit.ravel()))})
+
+    return documents.select("doc_id", place.alias("places")).mapInArrow(count, "doc_id bigint, embedding array<float>")
 
 
 def embed(documents: DataFrame, load_encoder: Callable[[], Encoder], text: str = "text") -> DataFrame:

@@ -81,14 +81,33 @@ class Nearest(Best):
                 self._add_tile(slice(top, top + height), ids[left : left + width], vectors[left : left + width])
 
     def _add_tile(self, rows: slice, ids: np.ndarray, vectors: np.ndarray) -> None:
-        d2 = np.round(squared_distances(self.queries[rows], vectors), self.digits)
+        queries = self.queries[rows]
+        d2 = squared_distances(queries, vectors)
         if self.exclude_self:
             order = np.argsort(ids)
             at = np.searchsorted(ids, self.query_ids[rows], sorter=order)
             column = order[np.minimum(at, len(ids) - 1)]
             own = ids[column] == self.query_ids[rows]
             d2[np.nonzero(own)[0], column[own]] = np.inf
-        self.offer(rows, ids, d2)
+        self.offer(rows, ids, self._exact_where_it_matters(rows, d2, queries, vectors))
+
+    def _exact_where_it_matters(self, rows: slice, d2: np.ndarray, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """The product form is fast but loses digits where vectors lie far from the origin.
+
+        What it says for certain, that a vector is beyond the k-th so far, is kept; all others, k and those that tie with
+        the last of them, are computed anew from their differences before rounding.
+        """
+        size = (queries * queries).sum(axis=1)[:, None] + (vectors * vectors).sum(axis=1).max()
+        slack = 1e-13 * queries.shape[1] * size + 10.0**-self.digits
+        limit = self.cost[rows, -1:]
+        if d2.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(d2, self.k - 1, axis=1)[:, self.k - 1 : self.k] + slack)
+        row, col = np.nonzero((d2 <= limit + slack) & np.isfinite(d2))
+        exact = np.full(d2.shape, np.inf)
+        for begin in range(0, len(row), CELLS // max(1, queries.shape[1])):
+            i, j = row[begin : begin + CELLS // max(1, queries.shape[1])], col[begin : begin + CELLS // max(1, queries.shape[1])]
+            exact[i, j] = np.round(((queries[i] - vectors[j]) ** 2).sum(axis=1), self.digits)
+        return exact
 
 
 class HighestScores(Best):

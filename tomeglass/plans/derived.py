@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tomeglass.functions import text as tx
 from tomeglass.functions.joins import broadcast_within
 from tomeglass.operators import nearest as nn
-from tomeglass.operators.learning import heaviest_words
+from tomeglass.operators.learning import embed_hashed, heaviest_words
 from tomeglass.operators.lexical import TextIndex
 from tomeglass.session import cut_lineage, fresh_path
 from tomeglass.sources.index_store import write_index
@@ -107,6 +107,11 @@ class Corpus:
         """The text index of whole texts as one field."""
         return write_index(self.documents, ["text"], fresh_path(self.spark, "text-index"))
 
+    @cached_property
+    def text_vectors(self) -> DataFrame:
+        """(doc_id, embedding) of whole texts, written once like the index."""
+        return cut_lineage(embed_hashed(self.documents))
+
     @property
     def topic_word(self) -> DataFrame:
         """(topic_id, term, weight): share of a term among the words of a topic's documents.

@@ -89,6 +89,12 @@ pairs AS (
   FROM vec q JOIN vec v ON q.doc_id <> v.doc_id)""",
 }
 
+_CTE["hashed"] = f"""
+hashed AS (
+  SELECT doc_id, pos, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS value
+  FROM (SELECT doc_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 768 AS pos, count(*) AS n
+        FROM (SELECT doc_id, unnest({_tokens("text")}) AS term FROM documents) GROUP BY ALL))"""
+
 _BM25 = "q.qtf * ln(1 + (s.n_docs - d.df + 0.5) / (d.df + 0.5)) * p.tf / (p.tf + {k1} * (1 - {b} + {b} * l.dl / s.avg_dl))"
 _TF_IDF = "p.tf * (ln(s.n_all / (d.df + 1)) + 1)"
 
@@ -129,6 +135,32 @@ def _ranked(source: str, by: str, order: str, k: int) -> str:
 
 _TW = "meta vec fields tok post tw"
 
+def _approximate(cells: int, steps: int, probe: int) -> str:
+    """Neighbours within the nearest cells, whose centres start from the lowest ids and move ``steps`` times."""
+    parts = [f"""
+m0 AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS cell, list_transform(embedding, lambda x: round(x, 6)) AS centre
+       FROM vec ORDER BY doc_id LIMIT {cells})"""]
+    for i in range(steps):
+        parts.append(f"""
+n{i} AS (SELECT doc_id, arg_min(cell, {{'gap': gap, 'cell': cell}}) AS cell
+         FROM (SELECT v.doc_id, m.cell, round(pow(list_distance(v.embedding, m.centre), 2), 9) AS gap FROM vec v CROSS JOIN m{i} m) GROUP BY doc_id),
+u{i} AS (SELECT cell, list(mean ORDER BY pos) AS centre FROM (
+           SELECT cell, pos, round(avg(value), 6) AS mean FROM (
+             SELECT cell, unnest(embedding) AS value, generate_subscripts(embedding, 1) AS pos FROM n{i} JOIN vec USING (doc_id)) GROUP BY ALL) GROUP BY cell),
+m{i + 1} AS (SELECT cell, coalesce(u.centre, m.centre) AS centre FROM m{i} m LEFT JOIN u{i} u USING (cell))""")
+    return _with(
+        "vec",
+        "," + ",".join(parts) + f"""
+, gaps AS (SELECT v.doc_id, c.cell, round(pow(list_distance(v.embedding, c.centre), 2), 9) AS gap FROM vec v CROSS JOIN m{steps} c),
+near AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gap, cell) AS r FROM gaps),
+pairs AS (SELECT q.doc_id AS query_id, n.doc_id, round(pow(list_distance(a.embedding, b.embedding), 2), 6) AS d2
+          FROM near q JOIN near n ON q.cell = n.cell AND q.r <= {probe} AND n.r = 1 AND q.doc_id <> n.doc_id
+          JOIN vec a ON a.doc_id = q.doc_id JOIN vec b ON b.doc_id = n.doc_id)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, d2, round(1 / (1 + d2), 6) AS score FROM """
+        + _ranked("pairs", "query_id", "d2, doc_id", 10),
+    )
+
+
 ORACLES: dict[str, str] = {
     "corpus_line_aligned": _with(
         "meta",
@@ -137,10 +169,13 @@ FROM meta""",
     ),
     "corpus_wide_tsv": _with(
         "meta vec",
-        f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, {_ONE_LINE.format("title")} AS title,
-       {_ONE_LINE.format("abstract")} AS abstract, CAST(coalesce(len(embedding), 0) AS INT) AS dim,
-       round(coalesce(list_sum(embedding), 0), 5) AS total
-FROM meta LEFT JOIN vec USING (doc_id)""",
+        f"""SELECT doc_id, CASE WHEN pos <= 0 THEN title ELSE '' END AS title, CASE WHEN pos <= 0 THEN abstract ELSE '' END AS abstract,
+       dim, CAST(pos AS INT) AS pos, value
+FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, {_ONE_LINE.format("title")} AS title,
+             {_ONE_LINE.format("abstract")} AS abstract, CAST(coalesce(len(embedding), 0) AS INT) AS dim,
+             unnest(CASE WHEN len(embedding) > 0 THEN list_transform(embedding, lambda x: round(x, 6)) ELSE [0.0::DOUBLE] END) AS value,
+             unnest(CASE WHEN len(embedding) > 0 THEN range(0, len(embedding)) ELSE [-1] END) AS pos
+      FROM meta LEFT JOIN vec USING (doc_id))""",
     ),
     "parse_vector_text": _with(
         "vec",
@@ -299,6 +334,47 @@ pairs AS (SELECT q.doc_id AS query_id, n.doc_id, round(pow(list_distance(a.embed
 SELECT query_id, CAST(rank AS INT) AS rank, doc_id, d2, round(1 / (1 + d2), 6) AS score FROM """
         + _ranked("pairs", "query_id", "d2, doc_id", 10),
     ),
+    "topic_word_long": _with(_TW, "SELECT topic_id, term, weight FROM tw WHERE weight > 0"),
+    "fit_topic_model": f"""
+SELECT 'document' AS kind, doc_id AS id, CAST(10 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS total FROM documents
+UNION ALL SELECT 'topic', t.topic_id, w.n, 1 FROM (SELECT unnest(range(0, 10)) AS topic_id) t,
+  (SELECT count(DISTINCT term) AS n FROM (SELECT unnest({_tokens("text")}) AS term FROM documents)) w
+UNION ALL SELECT 'words shown', topic_id, 10, 0 FROM (SELECT unnest(range(0, 10)) AS topic_id)""",
+    "embed_corpus": _with("hashed", "SELECT doc_id, CAST(pos AS INT) AS pos, round(CAST(value AS DOUBLE), 5) AS value FROM hashed"),
+    "embed_with_encoder": """
+SELECT doc_id, CAST(pos AS INT) AS pos, CAST(value AS DOUBLE) AS value FROM (
+  SELECT doc_id, unnest([0, 1, 2]) AS pos,
+         unnest([length(text), length(text) - length(replace(text, ' ', '')), length(text) - length(replace(text, 'e', ''))]) AS value
+  FROM documents)""",
+    "vector_text_search": _with(
+        "meta hashed passages",
+        f""", asked AS (SELECT query_id AS doc_id, text FROM queries),
+words AS (SELECT doc_id, unnest({_tokens("text")}) AS term FROM asked),
+counts AS (SELECT doc_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 768 AS pos, count(*) AS n FROM words GROUP BY ALL),
+wanted AS (SELECT doc_id AS query_id, pos, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS value FROM counts),
+dots AS (SELECT query_id, doc_id, sum(CAST(w.value AS DOUBLE) * h.value) AS dot FROM wanted w JOIN hashed h USING (pos) GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(CAST(value AS DOUBLE) * value) AS own FROM hashed GROUP BY doc_id),
+asks AS (SELECT query_id, sum(CAST(value AS DOUBLE) * value) AS own FROM wanted GROUP BY query_id),
+pairs AS (SELECT a.query_id, m.doc_id, round(a.own + coalesce(l.own, 0) - 2 * coalesce(dot, 0), 6) AS d2
+          FROM asks a CROSS JOIN meta m LEFT JOIN lengths l ON l.doc_id = m.doc_id
+          LEFT JOIN dots ON dots.query_id = a.query_id AND dots.doc_id = m.doc_id),
+hits AS (SELECT * FROM """
+        + _ranked("pairs", "query_id", "d2, doc_id", 10)
+        + f")\nSELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(d2, 4) AS d2, {_NO_TITLE}, abstract FROM hits JOIN meta USING (doc_id)",
+    ),
+    "knn_approx_quality": _with(
+        "vec centre neighbours",
+        """, gaps AS (SELECT v.doc_id, c.label AS cell, round(pow(list_distance(v.embedding, c.centre), 2), 9) AS gap
+         FROM vec v CROSS JOIN centre c),
+near AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gap, cell) AS r FROM gaps),
+close AS (SELECT q.doc_id AS query_id, n.doc_id FROM near q JOIN near n ON q.cell = n.cell AND q.r <= 3 AND n.r = 1),
+exact AS (SELECT * FROM """
+        + _ranked("pairs", "query_id", "d2, doc_id", 10)
+        + """)
+SELECT round((SELECT count(*) FROM exact JOIN close USING (query_id, doc_id)) / (SELECT count(*) FROM exact), 6) AS recall,
+       round((SELECT count(*) FROM close) / pow((SELECT count(*) FROM vec), 2), 6) AS candidate_share""",
+    ),
+    "knn_approx": _approximate(cells=16, steps=3, probe=4),
 }
 ORACLES["parse_query_vector"] = ORACLES["parse_vector_text"]
 ORACLES["knn_batch_by_cells"] = ORACLES["knn_batch"]

@@ -11,7 +11,8 @@ from tomeglass.functions import text as tx
 from tomeglass.operators import documents as docs
 from tomeglass.operators import lexical as lex
 from tomeglass.operators import topics as tp
-from tomeglass.operators.knn import knn
+from tomeglass.operators.knn import HITS, knn
+from tomeglass.operators.learning import DIMENSION
 from tomeglass.sources.models import TopicModel
 
 # The search methods offered.
@@ -86,11 +87,13 @@ def search_page(
     index: lex.TextIndex | None = None,
     vectors: DataFrame | None = None,
     encode=None,
+    dim: int = DIMENSION,
+    page: int = 1,
 ) -> DataFrame:
     """Hits with title and abstract for ``queries(query_id, text)`` by one of ``METHODS``.
 
     "TF-IDF" ranks by BM25 with the usual parameters; for real TF-IDF call ``search`` with ``tf_idf()``. A vector
-    search needs ``encode``, which turns (doc_id, text) into (doc_id, embedding).
+    search needs ``encode``, which turns (doc_id, text) into (doc_id, embedding) of ``dim`` values. ``page`` counts from 1.
     """
     if method == "BM25":
         hits = lex.search(index, queries)
@@ -98,7 +101,8 @@ def search_page(
         hits = lex.search(index, queries, scoring=lex.bm25(lex.DEFAULT_K1, lex.DEFAULT_B))
     elif method == "Vector Search":
         texts = queries.select(F.col("query_id").alias("doc_id"), tx.query_or_default(F.col("text")).alias("text"))
-        hits = knn(vectors, encode(texts).withColumnRenamed("doc_id", "query_id"))
+        near = knn(vectors, encode(texts).withColumnRenamed("doc_id", "query_id"), dim, page * HITS)
+        hits = near.where(F.col("rank") > (page - 1) * HITS)
     else:
         raise ValueError(f"method must be one of {METHODS}")
     return docs.with_documents(hits, documents)

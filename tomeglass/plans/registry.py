@@ -85,9 +85,15 @@ def corpus_wide_tsv(c: Corpus) -> DataFrame:
     names = "\t".join([*(f"col{i}" for i in range(12)), lines.HEADER_WORD])
     header = c.spark.range(1).select(F.lit(-1).cast("bigint").alias("doc_id"), F.lit(names).alias("line"))
     header.unionByName(rows).orderBy("doc_id").select("line").write.text(path)
-    total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))
-    return lines.wide_tsv(c.spark, path).select(
-        "doc_id", "title", "abstract", F.size("embedding").alias("dim"), F.round(total, 5).alias("total")
+    read = lines.wide_tsv(c.spark, path)
+    values = F.posexplode_outer("embedding").alias("pos", "value")
+    return read.select("doc_id", "title", "abstract", F.size("embedding").alias("dim"), values).select(
+        "doc_id",
+        F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("title")).otherwise("").alias("title"),
+        F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("abstract")).otherwise("").alias("abstract"),
+        "dim",
+        F.coalesce("pos", F.lit(-1)).alias("pos"),
+        F.round(F.coalesce(F.col("value").cast("double"), F.lit(0.0)), 6).alias("value"),
     )
 
 
@@ -121,7 +127,7 @@ def topic_model_long(c: Corpus) -> DataFrame:
 @query
 def postings_write(c: Corpus) -> DataFrame:
     """Write the postings twice to one place, read them back and count."""
-    path, buckets = fresh_path(c.spark, "postings"), 8
+    path, buckets = fresh_path(c.spark, "postings"), index_store.buckets_for(c.documents, FIELDS)
     rows = lex.postings(lex.token_arrays(lex.by_document(c.documents, FIELDS, buckets), FIELDS))
     for _ in range(2):
         index_store.write_postings(rows, path, buckets)
@@ -194,8 +200,7 @@ def l2_score(c: Corpus) -> DataFrame:
 def vector_dim_check(c: Corpus) -> DataFrame:
     """Documents whose vector is missing or of the wrong dimension."""
     vectors = c.documents.select("doc_id").join(c.vectors, "doc_id", "full")
-    empty = F.array().cast("array<float>")
-    return kn.dim_violations(vectors.select("doc_id", F.coalesce("embedding", empty).alias("embedding")), DIM)
+    return kn.dim_violations(vectors, DIM)
 
 
 # Joins
@@ -338,19 +343,19 @@ def search_batch(c: Corpus) -> DataFrame:
 
 @query
 def vector_knn(c: Corpus) -> DataFrame:
-    return kn.knn(c.vectors, c.centres)
+    return kn.knn(c.vectors, c.centres, DIM)
 
 
 @query
 def knn_batch(c: Corpus) -> DataFrame:
-    return kn.knn(c.vectors, c.vectors.withColumnRenamed("doc_id", "query_id"), exclude_self=True)
+    return kn.knn(c.vectors, c.vectors.withColumnRenamed("doc_id", "query_id"), DIM, exclude_self=True)
 
 
 @query
 def knn_batch_by_cells(c: Corpus) -> DataFrame:
     """The same search by the plan for query sets too large to broadcast."""
     everything = c.vectors.withColumnRenamed("doc_id", "query_id")
-    return kn.knn(c.vectors, everything, exclude_self=True, broadcast_bytes=0, block_rows=512, pivots=16)
+    return kn.knn(c.vectors, everything, DIM, exclude_self=True, broadcast_bytes=0, block_rows=512, pivots=16)
 
 
 @query
@@ -377,7 +382,7 @@ def knn_approx_given_cells(c: Corpus) -> DataFrame:
 @query
 def knn_approx(c: Corpus) -> DataFrame:
     """Approximate neighbours within the four nearest of sixteen k-means cells."""
-    centres = kn.train_cells(c.vectors, 16)
+    centres = kn.train_cells(c.vectors, 16, DIM)
     return kn.knn_approx(c.vectors, c.vectors.withColumnRenamed("doc_id", "query_id"), centres, 4, exclude_self=True).hits
 
 
@@ -385,20 +390,39 @@ def knn_approx(c: Corpus) -> DataFrame:
 def knn_approx_quality(c: Corpus) -> DataFrame:
     """Recall and share of candidates of the approximate search, always together."""
     everything = c.vectors.withColumnRenamed("doc_id", "query_id")
-    exact = kn.knn(c.vectors, everything, exclude_self=True)
+    exact = kn.knn(c.vectors, everything, DIM, exclude_self=True)
     return kn.recall_and_share(_label_cells(c), exact, c.vectors, everything)
 
 
 @query
 def embed_corpus(c: Corpus) -> DataFrame:
-    return ml.embed_hashed(spread(c.documents))
+    """Places and values of each document's hashed vector that are not zero."""
+    values = ml.embed_hashed(spread(c.documents)).select("doc_id", F.posexplode("embedding").alias("pos", "value"))
+    return values.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
+def _load_letter_counts():
+    """A caller's encoder: length, blanks and the letter e."""
+    import numpy as np
+
+    def encode(texts):
+        return np.stack([texts.str.len(), texts.str.count(" "), texts.str.count("e")], axis=1)
+
+    return encode
+
+
+@query
+def embed_with_encoder(c: Corpus) -> DataFrame:
+    """Vectors by an encoder that the caller brings along."""
+    vectors = ml.embed(spread(c.documents.select("doc_id", "text")), _load_letter_counts)
+    return vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 @query
 def vector_text_search(c: Corpus) -> DataFrame:
     """Vector search by text: passages and documents through one encoder, then the nearest documents."""
-    vectors = ml.embed_hashed(spread(c.documents))
-    return pages.search_page(c.passages, c.documents, "Vector Search", vectors=vectors, encode=ml.embed_hashed)
+    hits = pages.search_page(c.passages, c.documents, "Vector Search", vectors=c.text_vectors, encode=ml.embed_hashed)
+    return hits.select("query_id", "rank", "doc_id", F.round("d2", 4).alias("d2"), "title", "abstract")
 
 
 # Topic-model production
@@ -406,5 +430,29 @@ def vector_text_search(c: Corpus) -> DataFrame:
 
 @query
 def fit_topic_model(c: Corpus) -> DataFrame:
+    """What a fit has to satisfy over all texts: every document shares out a weight of 1 over all topics, and every topic
+    over all words of the corpus."""
     model = ml.fit_topic_model(c.documents, k=10, iterations=5)
-    return tp.topics_ranked(tp.topic_sizes(model.topic_doc, 0.3), model.topics)
+
+    def sums(table: DataFrame, kind: str, key: str) -> DataFrame:
+        found = table.groupBy(key).agg(F.count("*").alias("n"), F.sum("weight").alias("total"))
+        return found.select(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("id"), "n", F.round("total", 6).alias("total"))
+
+    words = model.topics.select(F.lit("words shown").alias("kind"), F.col("topic_id").cast("bigint").alias("id"), F.size("words").cast("bigint").alias("n"), F.lit(0.0).alias("total"))
+    return sums(model.topic_doc, "document", "doc_id").unionByName(sums(model.topic_word, "topic", "topic_id")).unionByName(words)
+
+
+@query
+def topic_word_long(c: Corpus) -> DataFrame:
+    """A model handed over as a matrix whose columns are positions in a vocabulary, in blocks of 1,000 positions."""
+    given = c.model()
+    counted = given.topic_word.groupBy("term").agg(F.count("*").alias("n"))
+    vocabulary = ml.numbered(counted).select(F.col("place").alias("position"), "term")
+    topics = F.array(*(F.lit(r["topic_id"]) for r in given.topics.select("topic_id").collect()))
+    cells = vocabulary.select("*", F.explode(topics).alias("topic_id")).join(given.topic_word, ["topic_id", "term"], "left")
+    cells = cells.select("topic_id", "position", (F.col("position") - F.col("position") % 1000).alias("first"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    ordered = F.sort_array(F.collect_list(F.struct("position", "weight")))
+    blocks = cells.groupBy("topic_id", "first").agg(F.transform(ordered, lambda w: w["weight"]).alias("weights"))
+    no_rows, no_documents = blocks.limit(0), c.documents.select(F.col("doc_id").alias("position"), "doc_id").limit(0)
+    model = models.model_from_matrices(given.topics, no_rows, blocks, no_documents, vocabulary, offset="first")
+    return model.topic_word.where("weight > 0")

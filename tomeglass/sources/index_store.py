@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tomeglass.operators.lexical import TextIndex, by_document, field_stats, postings, term_counts, token_arrays
 
 
+BUCKET_BYTES = 256 << 20
+
+
 def _table(path: str, buckets: int) -> str:
     return "postings_" + hashlib.md5(f"{path}#{buckets}".encode()).hexdigest()
 
@@ -40,10 +45,16 @@ def read_postings(spark: SparkSession, path: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def buckets_for(documents: DataFrame, fields: Sequence[str]) -> int:
+    """Buckets by the size of the text: one per ``BUCKET_BYTES``, but enough to keep all cores busy."""
+    size = documents.agg(F.sum(sum((F.octet_length(F.coalesce(f, F.lit(""))) for f in fields), F.lit(0)))).first()[0] or 0
+    return max(documents.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+
+
 def write_index(documents: DataFrame, fields: list[str], path: str, buckets: int | None = None) -> TextIndex:
     """Build the index of ``fields`` once and return it read back from ``path``."""
     spark = documents.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or buckets_for(documents, fields)
     arrays = token_arrays(by_document(documents, fields, buckets), fields)
     write_postings(postings(arrays), f"{path}/postings", buckets)
     spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/layout")

@@ -19,7 +19,10 @@ HEADER_WORD = "vector_bert"
 
 
 def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
-    """(line_no, line), numbered from 0 in file order without gaps; a folder counts through its files by name.
+    """(line_no, line), numbered from 0 in file order without gaps.
+
+    A folder counts through its files by the number in their part name, which may have more digits than the usual five,
+    and by name where there is none.
 
     ``keep`` is a condition on ``line``; lines failing it are not counted. Rows are numbered inside each file split
     by the scan itself. Only one row per split is gathered to add the lengths of the splits before it.
@@ -34,7 +37,7 @@ def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -
         lines = lines.where(keep)
     lines = lines.withColumn("seq", F.monotonically_increasing_id())
     splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
-    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*part_order(F.col("file")), "start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         "file", "start", "first_seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
@@ -47,6 +50,12 @@ def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -
     )
 
 
+def part_order(file: Column) -> list[Column]:
+    """Folder, number of the part, name: ``part-100000`` follows ``part-99999``."""
+    number = F.regexp_extract(file, r"part-(\d+)[^/]*$", 1)
+    return [F.regexp_extract(file, r"^(.*/)?", 0), F.when(number != "", number.cast("bigint")), file]
+
+
 def line_aligned(spark: SparkSession, paths: Mapping[str, str], index: DataFrame) -> DataFrame:
     """Join text files by line number for the lines listed in ``index(doc_id, line_no)``.
 
@@ -76,12 +85,26 @@ def corpus_from_lines(spark: SparkSession, paths: Mapping[str, str], index: Data
 def wide_tsv(
     spark: SparkSession, path: str, title_at: int = TITLE_AT, abstract_at: int = ABSTRACT_AT, vector_at: int = VECTOR_AT
 ) -> DataFrame:
-    """(doc_id, title, abstract, embedding) by position; doc_id counts the lines from 0 without the header."""
+    """(doc_id, title, abstract, embedding) by position; doc_id counts the lines from 0 without the header.
+
+    A line with too few cells keeps its number and has NULLs for what it lacks; ``short_lines`` lists such lines.
+    """
     cells = F.split("line", "\t")
-    is_data = F.split("line", "\t")[vector_at] != HEADER_WORD
-    return numbered_lines(spark, path, keep=is_data).select(
+    return numbered_lines(spark, path, keep=_is_data(vector_at)).select(
         F.col("line_no").alias("doc_id"),
-        cells[title_at].alias("title"),
-        cells[abstract_at].alias("abstract"),
-        vx.parse_vector(cells[vector_at]).alias("embedding"),
+        F.get(cells, F.lit(title_at)).alias("title"),
+        F.get(cells, F.lit(abstract_at)).alias("abstract"),
+        vx.parse_vector(F.get(cells, F.lit(vector_at))).alias("embedding"),
     )
+
+
+def short_lines(spark: SparkSession, path: str, vector_at: int = VECTOR_AT) -> DataFrame:
+    """(doc_id, cells) of the lines of a wide TSV that end before the vector's cell."""
+    cells = F.size(F.split("line", "\t"))
+    lines = numbered_lines(spark, path, keep=_is_data(vector_at))
+    return lines.select(F.col("line_no").alias("doc_id"), cells.alias("cells")).where(F.col("cells") <= vector_at)
+
+
+def _is_data(vector_at: int) -> Column:
+    """Not the header; a line without that cell is data."""
+    return ~F.get(F.split("line", "\t"), F.lit(vector_at)).eqNullSafe(F.lit(HEADER_WORD))

@@ -58,3 +58,17 @@ def matrix_to_long(matrix: DataFrame, key: str, values: str, position: str, offs
     else:
         long = matrix.select(key, F.col(offset).alias("_first"), F.posexplode(values).alias("_at", "weight"))
     return long.select(key, (F.col("_first") + F.col("_at")).cast("bigint").alias(position), "weight")
+
+
+def model_from_matrices(
+    topics: DataFrame, topic_doc: DataFrame, topic_word: DataFrame, documents: DataFrame, vocabulary: DataFrame, offset: str | None = None
+) -> TopicModel:
+    """A finished model as other tools hand it over: word lists and two dense matrices that count positions.
+
+    ``topics(topic_id, words)``; ``topic_doc`` and ``topic_word(topic_id, weights)``, one row per topic or, with ``offset``,
+    per block of a topic; ``documents(position, doc_id)`` and ``vocabulary(position, term)`` say what a position means. A
+    position without document or term is left out.
+    """
+    docs = matrix_to_long(topic_doc, "topic_id", "weights", "position", offset).join(documents.select("position", "doc_id"), "position")
+    words = matrix_to_long(topic_word, "topic_id", "weights", "position", offset).join(vocabulary.select("position", "term"), "position")
+    return TopicModel(topics.select("topic_id", "words"), docs.select("topic_id", "doc_id", "weight"), words.select("topic_id", "term", "weight"))
