@@ -198,3 +198,17 @@ def assert_one_shuffle(found):
     above_scan = plan[: plan.index("Bucketed: true")]
     assert above_scan.count("Exchange hashpartitioning") == 1
     assert above_scan.index("Exchange hashpartitioning(query_id") < above_scan.index("WindowGroupLimit", above_scan.index("Exchange hashpartitioning"))
+
+
+def test_all_plans_agree_when_weights_have_any_sign(spark, monkeypatch, tmp_path):
+    """A score that is not positive is still a score: the plan, which depends on the batch, decides no hit."""
+    documents = spark.createDataFrame([(i, f"a{' b' * (i % 3)} w{i}") for i in range(30)], "doc_id long, title string")
+    index = write_index(documents, ["title"], str(tmp_path / "index"), buckets=3)
+    falling = lex.Scoring(F.col("tf") * (F.col("df") - 40).cast("double") / 10, repeats=True)
+    queries = spark.createDataFrame([(0, "a b"), (1, "b w3")], "query_id long, text string")
+    apart = [lex.search(index, queries.where(f"query_id = {i}"), scoring=falling) for i in range(2)]
+    own = sorted(tuple(r) for df in apart for r in df.collect())
+    assert len(own) == 20 and any(r[3] <= 0 for r in own)
+    assert sorted(map(tuple, lex.search(index, queries, scoring=falling).collect())) == own
+    monkeypatch.setattr(lex, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, lex.search(index, queries, scoring=falling).collect())) == own

@@ -126,6 +126,8 @@ def test_shared_folder_follows_the_setting(spark, monkeypatch):
             return "/shared/checkpoints/" if key == "spark.checkpoint.dir" else default
 
     class Context:
+        applicationId = "app-1"
+
         def getConf(self):
             return Conf()
 
@@ -136,7 +138,7 @@ def test_shared_folder_follows_the_setting(spark, monkeypatch):
         conf, sparkContext = Conf(), Context()
 
     assert session.shared_dir(Named()) == "/shared/checkpoints"
-    assert session.fresh_path(Named(), "x").startswith("/shared/checkpoints/tomeglass/x-")
+    assert session.fresh_path(Named(), "x").startswith("/shared/checkpoints/tomeglass/app-1/x-")
 
 
 def test_no_local_folder_on_a_cluster():
@@ -158,3 +160,17 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Cluster())
+
+
+def test_clean_up_deletes_what_this_application_wrote(spark, tmp_path, monkeypatch):
+    own = str(tmp_path / "shared" / "tomeglass" / "app")
+    monkeypatch.setattr(session, "_own_dir", lambda _: own)
+    documents = spark.createDataFrame([(1, "a b")], "doc_id long, title string")
+    index_store.write_index(documents, ["title"], f"{own}/index", buckets=2)
+    kept = index_store.write_index(documents, ["title"], str(tmp_path / "kept"), buckets=2)
+    session.cut_lineage(documents)
+    entries = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("postings_")}
+    before = entries()
+    session.clean_up(spark)
+    assert not (tmp_path / "shared" / "tomeglass" / "app").exists() and len(before) - len(entries()) == 1
+    assert kept.postings.count() == 2

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeglass.functions import text as tx
-from tomeglass.functions.joins import BROADCAST_ROWS, join_lookup, join_requests
+from tomeglass.functions.joins import BROADCAST_ROWS, is_within, join_lookup, join_requests
 from tomeglass.operators.nearest import SCHEMA, HighestScores, as_ids
 from tomeglass.operators.ranking import best_per_group
 from tomeglass.session import cut_lineage
@@ -98,8 +98,7 @@ def term_stats(index: TextIndex) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scoring:
-    """The positive weight of a posting over tf, dl, df, n_docs, n_all and avg_dl; whether a repeated query word
-    counts again."""
+    """The weight of a posting over tf, dl, df, n_docs, n_all and avg_dl; whether a repeated query word counts again."""
 
     weight: Column
     repeats: bool
@@ -242,7 +241,78 @@ def _score_by_blocks(index: TextIndex, wanted: DataFrame, scoring: Scoring, k: i
 
 
 def _as_scores(best: DataFrame) -> DataFrame:
-    return best.select("query_id", "doc_id", F.abs("cost").alias("score"))
+    return best.select("query_id", "doc_id", (0.0 - F.col("cost")).alias("score"))
+
+
+# Query syntax
+
+# A clause: an optional sign, an optional field, then a phrase in quotes or a word.
+CLAUSE = r"([+-]?)(?:(\w+):)?(?:\"([^\"]*)\"|([^\s\"]+))"
+
+
+def parse_clauses(queries: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(query_id, clause, sign, field, words) of ``queries(query_id, text)``; one row per clause and field it looks in.
+
+    ``+`` marks a clause that has to match, ``-`` one that must not; of the others any may. ``title:word`` looks in one field, a
+    clause without a field, or with one that is not among ``fields``, in all of them. Quoted words have to follow each
+    other. A clause without words is left out.
+    """
+    found = F.regexp_extract_all("text", F.lit(CLAUSE), F.lit(0))
+    rows = queries.select("query_id", F.posexplode(found).alias("clause", "raw"))
+    part = lambda i: F.regexp_extract("raw", CLAUSE, i)
+    known = F.lower(part(2)).isin(*fields)
+    named = F.when(known, F.array(F.lower(part(2)))).otherwise(F.array(*map(F.lit, fields)))
+    # A prefix that is no field is text.
+    body = F.concat_ws(" ", F.when(known | (part(2) == ""), F.lit(None)).otherwise(part(2)), part(3), part(4))
+    rows = rows.select("query_id", "clause", part(1).alias("sign"), F.explode(named).alias("field"), tx.tokens(body).alias("words"))
+    return rows.where(F.size("words") > 0)
+
+
+def search_syntax(
+    index: TextIndex,
+    documents: DataFrame,
+    queries: DataFrame,
+    k: int = HITS,
+    fields: Sequence[str] = ("title",),
+    scoring: Scoring | None = None,
+    digits: int = 6,
+) -> DataFrame:
+    """Hits (query_id, rank, doc_id, score) of queries with signs, fields and phrases, see ``parse_clauses``.
+
+    The words of all clauses but the excluded ones add to the score. A document is a hit if a clause matches, every ``+``
+    clause does and no ``-`` clause does. ``queries`` is a table of counted small size (``BROADCAST_ROWS`` words). Words are
+    matched on the postings; only phrases look at ``documents``, at the positions of the words that they use.
+    """
+    scoring = scoring or bm25()
+    clauses = cut_lineage(parse_clauses(queries, fields).withColumn("query_id", F.col("query_id").cast("bigint")))
+    words = clauses.select("query_id", "clause", "sign", "field", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
+    if not is_within(words, BROADCAST_ROWS):
+        raise ValueError(f"queries with more than {BROADCAST_ROWS} words and fields")
+    terms = [r["term"] for r in words.select("term").distinct().limit(PRUNE_TERMS + 1).collect()]
+    asked = F.col("field").isin(*fields) & (F.col("term").isin(terms) if len(terms) <= PRUNE_TERMS else F.lit(True))
+
+    single = words.where("n = 1").select("query_id", "clause", "field", "term")
+    by_word = index.postings.where(asked).join(F.broadcast(single), ["field", "term"]).select("query_id", "clause", "doc_id")
+    long = words.where("n > 1")
+    placed = token_arrays(documents, fields).select("doc_id", "field", F.posexplode("tokens").alias("pos", "term")).where(asked)
+    runs = placed.join(F.broadcast(long), ["field", "term"]).withColumn("start", F.col("pos") - F.col("at"))
+    whole = runs.groupBy("query_id", "clause", "doc_id", "field", "start").agg(F.count("*").alias("found"), F.first("n").alias("n"))
+    by_phrase = whole.where("found = n").select("query_id", "clause", "doc_id")
+    matched = by_word.unionByName(by_phrase).distinct()
+
+    kinds = clauses.select("query_id", "clause", "sign").distinct()
+    needed = kinds.groupBy("query_id").agg(F.count(F.when(F.col("sign") == "+", 1)).alias("needed"))
+    met = matched.join(F.broadcast(kinds), ["query_id", "clause"]).groupBy("query_id", "doc_id")
+    count = lambda sign: F.count(F.when(F.col("sign") == sign, 1))
+    met = met.agg(count("+").alias("has"), count("-").alias("bad"), count("").alias("any")).join(F.broadcast(needed), "query_id")
+    allowed = met.where("bad = 0 and has = needed and has + any > 0").select("query_id", "doc_id")
+
+    factor = (F.count("*") if scoring.repeats else F.lit(1)).cast("double").alias("factor")
+    scored = words.where("sign <> '-'").groupBy("query_id", "field", "term").agg(factor)
+    weighed = index.postings.where(asked).join(F.broadcast(_weighted(TextIndex(index.postings, index.term_stats.where(asked), index.field_stats), scored)), ["field", "term"])
+    scores = weighed.select("query_id", "doc_id", (F.col("factor") * scoring.weight).alias("part")).groupBy("query_id", "doc_id")
+    scores = scores.agg(F.round(F.sum("part"), digits).alias("score")).join(allowed, ["query_id", "doc_id"])
+    return best_per_group(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 
 
 def search_page(

@@ -111,8 +111,9 @@ class Nearest(Best):
 
 
 class HighestScores(Best):
-    """The k documents with the highest sum of term weights, rounded before comparing. Weights are positive.
+    """The k documents with the highest sum of term weights, rounded before comparing, whatever the signs of the weights.
 
+    A document is a hit of a query if it has one of its terms.
     Queries are given as one entry per query and term: the position of the query, the term's id, and a factor.
     """
 
@@ -157,4 +158,10 @@ class HighestScores(Best):
             weights = np.zeros((len(terms), len(here)))
             weights[at[low:high], row[low:high] - left] = weight[low:high]
             score = factors @ weights
-            self.offer(rows, here, np.where(score > 0, -np.round(score, self.digits), np.inf))
+            if min(weight[low:high].min(), self.factor.min()) > 0:
+                met = score > 0
+            else:
+                present = np.zeros(weights.shape)
+                present[at[low:high], row[low:high] - left] = 1
+                met = (factors != 0).astype(float) @ present > 0
+            self.offer(rows, here, np.where(met, -np.round(score, self.digits), np.inf))

@@ -334,6 +334,33 @@ pairs AS (SELECT q.doc_id AS query_id, n.doc_id, round(pow(list_distance(a.embed
 SELECT query_id, CAST(rank AS INT) AS rank, doc_id, d2, round(1 / (1 + d2), 6) AS score FROM """
         + _ranked("pairs", "query_id", "d2, doc_id", 10),
     ),
+    "search_syntax": _with(
+        "meta fields lens tok post stats",
+        """, clauses(query_id, clause, sign, field, words) AS (VALUES
+  (0, 0, '+', 'title', ['the']), (0, 0, '+', 'abstract', ['the']), (0, 1, '', 'title', ['of']),
+  (0, 2, '-', 'title', ['of', 'the']), (0, 2, '-', 'abstract', ['of', 'the']),
+  (1, 0, '', 'title', ['of', 'the']), (1, 0, '', 'abstract', ['of', 'the']), (1, 1, '', 'title', ['heit']), (1, 1, '', 'abstract', ['heit']),
+  (2, 0, '+', 'title', ['the', 'the']), (2, 0, '+', 'abstract', ['the', 'the']), (2, 1, '+', 'title', ['in']), (2, 1, '+', 'abstract', ['in']),
+  (3, 0, '', 'title', ['the']), (3, 1, '-', 'abstract', ['of']), (3, 2, '', 'title', ['und', 'der']), (3, 2, '', 'abstract', ['und', 'der'])),
+bags AS (SELECT field, doc_id, """
+        + _tokens("content")
+        + """ AS tokens FROM fields),
+matched AS (SELECT DISTINCT query_id, clause, sign, doc_id FROM clauses JOIN bags USING (field)
+  WHERE CASE len(words) WHEN 1 THEN list_contains(tokens, words[1])
+    ELSE len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = words[1] AND tokens[i + 1] = words[2])) > 0 END),
+needed AS (SELECT query_id, count(DISTINCT clause) FILTER (WHERE sign = '+') AS needed FROM clauses GROUP BY query_id),
+allowed AS (SELECT query_id, doc_id FROM matched JOIN needed USING (query_id) GROUP BY query_id, doc_id, needed
+  HAVING count(*) FILTER (WHERE sign = '-') = 0 AND count(*) FILTER (WHERE sign = '+') = needed AND count(*) FILTER (WHERE sign <> '-') > 0),
+q AS (SELECT query_id, field, term, count(*) AS qtf FROM (SELECT query_id, field, unnest(words) AS term FROM clauses WHERE sign <> '-') GROUP BY ALL),
+scored AS (SELECT q.query_id, p.doc_id, round(sum("""
+        + _BM25.format(k1="1.0", b="0.65")
+        + """), 6) AS score
+  FROM q JOIN post p USING (field, term) JOIN dfs d USING (field, term) JOIN stats s USING (field) JOIN lens l USING (field, doc_id)
+  GROUP BY q.query_id, p.doc_id),
+kept AS (SELECT * FROM scored JOIN allowed USING (query_id, doc_id))
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, doc_id, score FROM """
+        + _ranked("kept", "query_id", "score DESC, doc_id", 10),
+    ),
     "topic_word_long": _with(_TW, "SELECT topic_id, term, weight FROM tw WHERE weight > 0"),
     "fit_topic_model": f"""
 SELECT 'document' AS kind, doc_id AS id, CAST(10 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS total FROM documents

@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 
 QUERY_TEXT = "the the que heit"
 DEFAULT_TEXT = "the nation"
+SYNTAX_TEXTS = ('+the title:of -"of the"', '"of the" heit', '+"the the" +in', "title:the -abstract:of und:der")
 
 
 def query(run: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
@@ -327,6 +328,13 @@ def search_multifield(c: Corpus) -> DataFrame:
     return lex.search(c.index, c.one_query(QUERY_TEXT), fields=FIELDS)
 
 
+@query
+def search_syntax(c: Corpus) -> DataFrame:
+    """Signs, fields and phrases."""
+    asked = c.spark.createDataFrame(list(enumerate(SYNTAX_TEXTS)), "query_id bigint, text string")
+    return lex.search_syntax(c.index, c.documents, asked, fields=FIELDS)
+
+
 @query
 def search_default_query(c: Corpus) -> DataFrame:
     """An empty query. The invented texts know no machine learning, so the default is one they do know."""

@@ -63,7 +63,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has written to yet."""
-    return f"{shared_dir(spark)}/tomeglass/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tomeglass/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, and the catalogue's entries of indexes among them.
+
+    For the end of a job, or for when no DataFrame that was made before is read again. Indexes and models that were written
+    to a path of the caller's stay.
+    """
+    own = _own_dir(spark)
+    for table in spark.catalog.listTables():
+        if table.name.startswith("postings_") and not table.isTemporary:
+            rows = spark.sql(f"DESCRIBE FORMATTED {table.name}").where("col_name = 'Location'").collect()
+            if rows and f"/{own.split(':', 1)[-1].strip('/')}/" in rows[0]["data_type"]:
+                spark.sql(f"DROP TABLE {table.name}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
