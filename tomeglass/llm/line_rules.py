@@ -108,7 +108,7 @@ def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     lines = F.transform(_text_lines(F.col("text")), normal_line)
     hashed = docs.select("source", lines.alias("lines")).where("size(lines) > 0")
     longest = F.array_max(F.transform("lines", lambda x: F.struct(F.char_length(x).alias("length"), x.alias("line"))))["line"]
-    hashed = hashed.select("source", F.xxhash64(longest).alias("told"), F.array_distinct(F.transform("lines", F.xxhash64)).alias("lines"))
+    hashed = hashed.select("source", F.xxhash64(longest).alias("told"), F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("lines"))
     sizes = hashed.groupBy("source").agg(F.count("*").alias("docs"))
     # The second aggregation sees a line once for each distinct document.
     once = hashed.select("source", "told", F.explode("lines").alias("line")).groupBy("source", "line", "told").agg(F.lit(1).alias("_"))

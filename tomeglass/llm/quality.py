@@ -171,11 +171,11 @@ def fit(measured: DataFrame, labels: DataFrame, how: Settings = Settings()) -> M
     """
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("y in (0, 1)")
     rows = cut_lineage(measured.join(labels, "doc_id").withColumn("fold", fold()).where("fold <> 1").select("fold", "x", "y"))
-    vector = array_to_vector("x")
-    summary = rows.agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(vector)).alias("m"), vector_to_array(Summarizer.std(vector)).alias("s")).first()
-    if not summary.n:
+    if rows.isEmpty():
         zeros = np.zeros(len(STATISTICS))
         return Model(Fourier(zeros, zeros, how), np.zeros(how.features + 1), np.array([0.0]), np.array([0.5]))
+    vector = array_to_vector("x")
+    summary = rows.agg(vector_to_array(Summarizer.mean(vector)).alias("m"), vector_to_array(Summarizer.std(vector)).alias("s")).first()
     features = Fourier(np.array(summary.m), np.array(summary.s), how)
     width = how.features + 1
 
