@@ -69,15 +69,21 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     ``path`` is a tokenizer file whose pre-tokens hold no white space, so a run without ASCII white space is tokenized alone
     as it is within its text; such runs are the pre-tokens here. Their pieces are counted once each over the whole corpus
-    and joined to the frequencies in each document. The ``FREQUENT`` commonest short ones, a table of bounded size, go to
+    and joined to the frequencies in each document. The commonest short ones, at most ``FREQUENT``, go to
     every task, where their share of a document is summed at once; only the rare rest is shuffled for the join, so that no
     common token makes a hot key. A missing text is an empty one. Rows that repeat or lack a doc_id are counted like any
     other. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     pieces = cut_lineage(_pieces(_used(docs), path))
-    short = pieces.where(F.octet_length("token") <= FREQUENT_BYTES).orderBy(F.desc("n"), "token").limit(FREQUENT)
-    known = docs.sparkSession.sparkContext.broadcast({bytes(r.token): r.pieces for r in short.select("token", "pieces").collect()})
+    short = pieces.where(F.octet_length("token") <= FREQUENT_BYTES).withColumn("level", F.floor(F.log2("n") * 64))
+    least, room = 1 << 20, FREQUENT
+    for r in short.groupBy("level").agg(F.count("*").alias("size")).orderBy(F.desc("level")).collect():  # some thousand levels
+        if r.size > room:
+            break
+        least, room = r.level, room - r.size
+    common = short.where(F.col("level") >= least).select("token", "pieces").collect()
+    known = docs.sparkSession.sparkContext.broadcast({bytes(r.token): r.pieces for r in common})
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of, task, row = known.value, TaskContext.get().partitionId() if TaskContext.get() else 0, 0
