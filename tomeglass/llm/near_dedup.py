@@ -107,7 +107,7 @@ def _signed(docs: DataFrame, how: Method) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """(key, node) to (key, hub, node): the hub of each key with every other node.
+    """(key, band, node) with the hub of each key; the hub itself is one of the rows.
 
     The hub is the node with the most neighbours over all its keys, of equals the greatest. In a group of edited copies that
     is the one nearest to all others, so one comparison each finds most links.
@@ -177,11 +177,11 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _unsettled(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label, main, n, n_other) of the keys whose nodes are not one component; main: that of the hub."""
+    """(key, band, node, label, main, n, n_other) of the keys whose nodes are not one component; main: that of the hub."""
     label = F.coalesce("label", "node").alias("label")
     hub_label = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     rows = stars.join(labels, "node", "left").join(hub_label, "hub", "left")
-    rows = rows.select("key", "node", label, (label == F.coalesce("hub_label", "hub")).alias("main"))
+    rows = rows.select("key", "band", "node", label, (label == F.coalesce("hub_label", "hub")).alias("main"))
     # In a key of two nodes their pair has been compared.
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum((~F.col("main")).cast("long")).alias("n_other"))
     return rows.join(counts.where("n > 2 and n_other > 0"), "key")
@@ -212,15 +212,15 @@ def _across(unsettled: DataFrame, sigs: DataFrame, how: Method, best: int | None
     steps, fine_steps = how.first_steps(), how.fine_steps()
     blocks = lambda n: F.ceil(F.col(n) / TILE)
     rows = unsettled.join(sigs, "node")
-    rows = rows.select("key", "node", "label", "main", "sig", "fine", blocks("n").alias("n_right"), blocks("n_other").alias("n_left"))
+    rows = rows.select("key", "band", "node", "label", "main", "sig", "fine", blocks("n").alias("n_right"), blocks("n_other").alias("n_left"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     left = rows.where("not main").withColumn("l", own("n_left")).withColumn("r", every("n_right")).withColumn("side", F.lit(0))
     right = rows.withColumn("r", own("n_right")).withColumn("l", every("n_left")).withColumn("side", F.lit(1))
-    tiles = left.unionByName(right).select("key", "l", "r", "side", "node", "label", "sig", "fine")
+    tiles = left.unionByName(right).select("key", "l", "r", "side", "band", "node", "label", "sig", "fine")
 
     def meet(tile: pa.Table) -> tuple[list, list]:
-        side = tile.column("side").to_numpy()
+        side, band = tile.column("side").to_numpy(), tile.column("band")[0].as_py()
         nodes, names = np.array(tile.column("node").to_pylist(), object), np.array(tile.column("label").to_pylist(), object)
         number = {name: i for i, name in enumerate(dict.fromkeys(names))}
         of = np.array([number[name] for name in names])
@@ -238,6 +238,10 @@ def _across(unsettled: DataFrame, sigs: DataFrame, how: Method, best: int | None
                     matches = matches + (signature[i, done:n] == signature[j, done:n]).sum(axis=1)
                     alive = matches >= least
                     i, j, matches, done = i[alive], j[alive], matches[alive], n
+            # A pair that shares several keys is reported by the first of them alone.
+            same = (values[i] == values[j]).reshape(len(i), how.bands, how.band).all(axis=2)
+            first = same.argmax(axis=1) == band
+            i, j, matches = i[first], j[first], matches[first]
             if best:
                 order = np.lexsort((-matches, i))
                 i, j = i[order], j[order]
@@ -286,7 +290,7 @@ def near_duplicates(docs: DataFrame, how: Method = Method()) -> DataFrame:
     nodes = real.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     width = 4 * how.band
     band_keys = F.expr(f"transform(sequence(0, {how.bands - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))")
-    keyed = real.select("node", F.explode(band_keys).alias("key"))
+    keyed = real.select("node", F.posexplode(band_keys).alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key")
     members = cut_lineage(keyed.join(shared, "key").distinct())
     stars = cut_lineage(_stars(members))
