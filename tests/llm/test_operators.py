@@ -174,6 +174,21 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert cleaned == own[1]
 
 
+def test_a_shared_line_that_is_the_longest_of_its_documents(spark):
+    notice = " ".join(VOCABULARY[:60])
+    rows = [(i, f"{notice}\n{VOCABULARY[i]} {i}", "h") for i in range(40)]
+    rows += [(100 + i, f"{notice}\n{PROSE[0]}\nown line {i}", "g") for i in range(40)]
+    rows += [(200 + i, f"{PROSE[1]}\ncopied", "c") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = by_id(line_rules.clean_lines(df))
+    assert not any(found[i]["kept"] or found[i]["base_failed"] for i in range(40))
+    assert all(len(found[100 + i]["removed"]) == 2 for i in range(40))
+    assert all(found[200 + i]["kept"] and not found[200 + i]["removed"] for i in range(40))
+    # 60 copies are one more document of the host, so 31 of 32 have the notice, not 31 of 91.
+    host = spark.createDataFrame([*rows[:31], *[(300 + i, PROSE[2], "h") for i in range(60)]], df.schema)
+    assert len(line_rules.frequent_lines(host, line_rules.Limits(share=0.5)).collect()) == 1
+
+
 def test_personal_data(spark, docs, nothing):
     assert len(dicts(pii.find_pii(docs))) == len(ROWS) and pii.find_pii(nothing).count() == 0
     text = "é call a.b@c.de or (375) 555-4393, account DE89 3704 0044 0532 0130 00 ok, 4111 1111 1111 1111 or 4111 1111 1111 1112, ssn 123-45-6789"

@@ -18,7 +18,7 @@ SYMBOLS = b"#*$%&|<>"
 
 
 class Limits(NamedTuple):
-    """A line is boilerplate on a host if more than ``min_docs`` documents and ``share`` of the host's documents have it.
+    """A line is boilerplate on a host if more than ``min_docs`` distinct documents and ``share`` of the host's distinct documents have it.
 
     A document is depleted if less than ``left`` of its words stay. ``min_words`` and ``repeated`` (percent of words in
     repeated runs of three) are limits on the document alone.
@@ -102,14 +102,13 @@ def _text_lines(text: Column) -> Column:
 def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(source, line, n): hashes of lines that more distinct documents of a host have than ``limits`` allow.
 
-    Documents are told apart by their longest line (of equally long ones the last in byte order), so that copies of a document
-    and most near copies, which share it, count once: they are not boilerplate but duplicates, and other operators' business.
+    Documents are told apart by the sequence of all their lines, so that copies count once, here and among the documents of the
+    host: they are not boilerplate but duplicates, and other operators' business.
     """
     lines = F.transform(_text_lines(F.col("text")), normal_line)
-    hashed = docs.select("source", lines.alias("lines")).where("size(lines) > 0")
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.char_length(x).alias("length"), x.alias("line"))))["line"]
-    hashed = hashed.select("source", F.xxhash64(longest).alias("told"), F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("lines"))
-    sizes = hashed.groupBy("source").agg(F.count("*").alias("docs"))
+    hashed = docs.select("source", F.transform(lines, lambda x: F.xxhash64(x)).alias("lines")).where("size(lines) > 0")
+    hashed = hashed.select("source", F.xxhash64("lines").alias("told"), F.array_distinct("lines").alias("lines"))
+    sizes = hashed.select("source", "told").distinct().groupBy("source").agg(F.count("*").alias("docs"))
     # The second aggregation sees a line once for each distinct document.
     once = hashed.select("source", "told", F.explode("lines").alias("line")).groupBy("source", "line", "told").agg(F.lit(1).alias("_"))
     counted = once.groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") > limits.min_docs)
