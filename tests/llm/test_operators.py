@@ -1,6 +1,7 @@
 """Operators on small tables with missing values, empty and long texts, ties, repeated rows and clashing columns."""
 
 import random
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -315,6 +316,45 @@ def test_licenses(spark, docs, nothing):
     assert len(dicts(license_rules.find_licenses(docs))) == len(ROWS) and license_rules.find_licenses(nothing).count() == 0
 
 
+OFFICIAL = {
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "GPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+}
+
+
+def test_licence_texts_as_they_are_written(spark):
+    texts, expected = [], []
+    for name, paragraphs in OFFICIAL.items():
+        for prefix in ("", " * ", "# "):
+            texts += ["\n".join(prefix + line for p in paragraphs for line in [*textwrap.wrap(p, 72), ""]), f"{prefix}Intro.\r\n" + "\r\n\r\n".join(paragraphs)]
+            expected += [[name]] * 2
+    for text, name in (("# SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: Apache-2.0\nx", "Apache-2.0"), ("a\nLicense: MIT\nb", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0")):
+        texts.append(text)
+        expected.append([name])
+    texts += ["License:\n\nMIT", "No license: MIT", "all rights\n \nreserved", ". " * 50_000 + "all rights reserved", None]
+    expected += [[], [], [], ["All-Rights-Reserved"], []]
+    found = by_id(license_rules.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert [found[i]["licenses"] for i in range(len(texts))] == expected
+
+
+def test_every_known_sentence_is_found_wrapped_or_not(spark):
+    forms = list(license_rules.IDENTIFIER.items())
+    rows = [(2 * i + j, form if j else "\n".join(textwrap.wrap(form, 30))) for i, (form, _) in enumerate(forms) for j in range(2)]
+    found = by_id(license_rules.find_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert all(found[2 * i + j]["sentence_ids"] == [name] for i, (_, name) in enumerate(forms) for j in range(2))
+
+
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 

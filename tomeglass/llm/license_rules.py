@@ -100,7 +100,7 @@ RULES = (
 )
 
 IDENTIFIER = {sentence: name for name, forms in SENTENCES.items() for sentence in forms}
-SENTENCE_END = r"\n|[.!?:;]+[ \t\r\n]"
+SOFT, HARD = "\x01", "\x02"
 
 
 def in_order(sentences: tuple[str, ...]) -> str:
@@ -108,9 +108,20 @@ def in_order(sentences: tuple[str, ...]) -> str:
     return ".*".join(f" {s} " for s in sentences)
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, with every run of anything but letters and digits as one blank."""
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """Words in lower case between single marks: a blank, SOFT for the end of a sentence or line, HARD for that of a paragraph."""
+    plain = F.translate(text, UPPER + SOFT + HARD, LOWER + "--")
+    ended = F.regexp_replace(F.regexp_replace(plain, "\r\n", "\n"), r"[.!?:;]+([ \t\r\n])", SOFT + "$1")
+    words = F.regexp_replace(F.concat(F.lit("\n"), ended, F.lit("\n")), rf"[^a-z0-9{SOFT}\n]+", " ")
+    # Single blanks, then single soft ends, then line breaks without either beside them; lines without words end a paragraph.
+    joined = F.regexp_replace(F.regexp_replace(words, rf"[ {SOFT}]{{2,}}", SOFT), rf"[ {SOFT}]?\n[ {SOFT}]?", "\n")
+    return F.translate(F.regexp_replace(joined, "\n{2,}", HARD), "\n", SOFT)
+
+
+def known_sentence() -> str:
+    """A pattern for any known sentence from mark to mark, whatever ends of lines and sentences it holds."""
+    forms = "|".join(s.replace(" ", f"[ {SOFT}]") for s in sorted(IDENTIFIER, key=len, reverse=True))
+    return f"(?<=[{SOFT}{HARD}])({forms})(?=[{SOFT}{HARD}])"
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:
@@ -118,11 +129,12 @@ def find_licenses(docs: DataFrame) -> DataFrame:
 
     ``sentence_ids`` are the identifiers of the known sentences in order of the text, with repeats; ``licenses`` holds the
     licence of the first matching rule of each family, in order of the families. Sentences end at a line break, or at a
-    stop, colon or semicolon before white space. A missing text has none of either. Rows that repeat or lack a doc_id are
-    read like any other; other columns are ignored. Nothing is shuffled.
+    stop, colon or semicolon before white space; a known sentence may run over such ends, as wrapped texts do, but not over
+    a line without words. A missing text has none of either. Rows that repeat or lack a doc_id are read like any other;
+    other columns are ignored. Nothing is shuffled.
     """
-    sentences = F.transform(F.split(F.coalesce("text", F.lit("")), SENTENCE_END), normalised)
-    known = F.filter(sentences, lambda s: s.isin(list(IDENTIFIER)))
+    known = F.regexp_extract_all(marked(F.coalesce("text", F.lit(""))), F.lit(known_sentence()), F.lit(1))
+    known = F.transform(known, lambda s: F.translate(s, SOFT, " "))
     names = F.create_map(*(F.lit(x) for pair in IDENTIFIER.items() for x in pair))
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.transform(known, lambda s: F.element_at(names, s)).alias("sentence_ids"))
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
