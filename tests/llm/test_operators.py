@@ -149,6 +149,21 @@ def test_containment(spark, docs, nothing):
     assert decontaminate.contained_items(docs, benchmark.limit(0)).count() == 0
 
 
+def test_short_items_inside_long_documents(spark):
+    rng = random.Random(3)
+    known = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    items = [(i, known(1 + i % 12)) for i in range(600)]
+    shuffled = rng.sample(items, len(items))
+    texts = [" ".join(f"{known(150)} {t}" for _, t in shuffled[k : k + 50]) for k in range(0, 600, 50)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = dicts(decontaminate.contained_items(documents, spark.createDataFrame(items, "item_id bigint, text string")))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == sorted((at // 50, i) for at, (i, _) in enumerate(shuffled))
+    # Four of five shingles of nine words, the first or the last one changed.
+    long = known(9).split()
+    near = spark.createDataFrame([(1, " ".join(["x", *long[1:]])), (2, " ".join([*long[:-1], "x"])), (3, " ".join(["x", *long[1:-1], "x"]))], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in dicts(decontaminate.contained_items(near, spark.createDataFrame([(1, " ".join(long))], "item_id bigint, text string")))} == {1, 2}
+
+
 def test_line_rules(spark, docs, nothing):
     rows = dicts(line_rules.clean_lines(docs))
     assert len(rows) == len(ROWS)

@@ -20,7 +20,8 @@ class Method(NamedTuple):
     Class c holds the items of more than half of c and at most c shingles. Documents are cut into windows of two blocks
     of c shingles, every block in two windows, so an item inside a document lies in one window whatever the length of the
     document, and makes up at least a fifth of its shingles. One equal value of ``hashes`` proposes the pair: a contiguous
-    item is missed with a chance below (1 - 0.19)^64, one in 700,000.
+    item is missed with a chance below (1 - 0.19)^64, one in 700,000. Items of at most half of the least class would be too
+    small a part of its windows; they are looked up by their shingles and never missed.
     """
 
     shingle: int = 5
@@ -61,8 +62,28 @@ class Partition:
                     yield int(w), int(i)
 
 
+class Lookup:
+    """The items of one shingle length that are too short for windows, by so many of their shingles that no match holds none."""
+
+    def __init__(self, items: list[Item], how: Method) -> None:
+        self.items = items
+        # Of n shingles at least ``needed`` have to be in a document, so one of any n - needed + 1.
+        needed = [max(1, -(-how.percent * len(i.shingles) // 100)) for i in items]
+        keys = [i.shingles[: len(i.shingles) - n + 1] for i, n in zip(items, needed)]
+        values, number = np.concatenate(keys), np.repeat(np.arange(len(items)), [len(k) for k in keys])
+        order = np.argsort(values, kind="stable")
+        self.values, self.number = values[order], number[order]
+
+    def matches(self, hashes: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item number) of equal shingles."""
+        at = np.flatnonzero(np.isin(hashes, self.values))
+        doc = np.searchsorted(first, at, "right") - 1
+        low, high = np.searchsorted(self.values, hashes[at], "left"), np.searchsorted(self.values, hashes[at], "right")
+        return {(d, int(i)) for d, a, b in set(zip(doc.tolist(), low.tolist(), high.tolist())) for i in self.number[a:b]}
+
+
 def _items(rows: list[tuple[int, str]], how: Method) -> dict[int, dict[int, list[Item]]]:
-    """Items by shingle length, then by size class; an item shorter than a shingle is one shingle of its own length."""
+    """Items by shingle length, then by size class, 0 for those at most half of the least; an item shorter than a shingle is one shingle of its own length."""
     found: dict[int, dict[int, list[Item]]] = {}
     for texts in sh.text_slices(pa.array([t for _, t in rows], pa.string())):
         split = sh.words(texts, sh.letter_words())
@@ -72,8 +93,8 @@ def _items(rows: list[tuple[int, str]], how: Method) -> dict[int, dict[int, list
             own = np.unique(whole.hashes[whole.first[d] : whole.first[d + 1]])
             if not len(own):
                 continue
-            size = how.least_class
-            while size < len(own):
+            size = how.least_class if 2 * len(own) > how.least_class else 0
+            while 0 < size < len(own):
                 size *= 2
             item = Item(rows[texts.first + d][0], n_words, own)
             found.setdefault(min(n_words, how.shingle), {}).setdefault(size, []).append(item)
@@ -94,7 +115,7 @@ def _window_minima(hashes: np.ndarray, first: np.ndarray, size: int, n: int) ->
 
 
 def _search(docs: DataFrame, rows: list[tuple[int, str]], how: Method) -> DataFrame:
-    groups = {length: {size: Partition(items, how) for size, items in by_size.items()} for length, by_size in _items(rows, how).items()}
+    groups = {length: {size: Partition(items, how) if size else Lookup(items, how) for size, items in by_size.items()} for length, by_size in _items(rows, how).items()}
     shared = docs.sparkSession.sparkContext.broadcast(groups)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +127,11 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], how: Method) -> DataFr
                 for length, by_size in shared.value.items():
                     found = sh.shingles(split, length)
                     for size, part in by_size.items():
-                        values, doc = _window_minima(found.hashes, found.first, size, how.hashes)
-                        proposed = {(int(doc[w]), i) for w, i in part.matches(values)}
+                        if isinstance(part, Lookup):
+                            proposed = part.matches(found.hashes, found.first)
+                        else:
+                            values, doc = _window_minima(found.hashes, found.first, size, how.hashes)
+                            proposed = {(int(doc[w]), i) for w, i in part.matches(values)}
                         for d, i in sorted(proposed):
                             if split.first[d + 1] - split.first[d] < length:
                                 continue  # fewer words than a shingle make a shingle of another kind
