@@ -416,6 +416,14 @@ def test_blocks_of_broken_pages():
     assert cut("<title>t</title><style>p{}") == [] and cut("<p title='a>b'>c</p>") == ["c"]
 
 
+def test_head_without_an_end():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("<html><head><title>t</title><body><article><p>one</article>") == ["one"]
+    assert texts("<head><meta charset=x><script>var a</script><div>two<p>three") == ["two", "three"]
+    assert texts("<html><head><title>t</title><noscript>n</noscript><link rel=x>stray</head><body><p>four") == ["four"]
+    assert html_blocks.blocks("<html><head><title>t</title><body><p>x")[0].path == ("html", "body", "p")
+
+
 def test_main_text(spark):
     article = "".join(f"<p>{' '.join(VOCABULARY[i : i + 40]).capitalize()}.</p>" for i in range(0, 200, 40))
     page = f"<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/x>More</a></li></ul></nav><article><h1>One title</h1>{article}</article><footer>&copy; us</footer></body></html>"

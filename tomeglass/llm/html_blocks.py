@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe object svg math title textarea select canvas audio video".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta".split()) | RAW - {"iframe", "svg", "math", "textarea", "select", "canvas", "audio", "video", "object"}
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
@@ -98,6 +99,13 @@ def blocks(page: str) -> list[Block]:
             elif tag not in INLINE:
                 flush()
             continue
+        if "head" in path and tag not in IN_HEAD:
+            # The end tag of head may be left out: what cannot stand in it ends it.
+            flush()
+            while path:
+                names.pop()
+                if path.pop() == "head":
+                    break
         if tag == "br":
             parts.append(" ")
             continue
