@@ -424,6 +424,24 @@ def test_head_without_an_end():
     assert html_blocks.blocks("<html><head><title>t</title><body><p>x")[0].path == ("html", "body", "p")
 
 
+def test_every_word_digit_and_name_counts():
+    block = lambda text, names: html_blocks.vectors([html_blocks.Block(text, ("div", "p"), names, 0)])[0]
+    plain = block("word " * 400 + "end", ("x",) * 20)
+    assert (block("word " * 400 + "© reply", ("x",) * 20)[html_blocks.PATH_WIDTH : html_blocks.PATH_WIDTH + html_blocks.WORD_WIDTH] != plain[html_blocks.PATH_WIDTH : html_blocks.PATH_WIDTH + html_blocks.WORD_WIDTH]).any()
+    assert (block("word " * 400 + "end", ("comments",) + ("x",) * 20) != plain).any()
+    assert block("word " * 400 + "123456", ("x",) * 20)[-5] > 0 == plain[-5]
+
+
+def test_outer_names_decide_below_many_classes():
+    utility = " ".join(html_blocks.UTILITY[:16])
+    prose = html_blocks.Author(77).prose
+    inside = lambda low, high: "".join(f'<div class="{utility}"><p>{prose(low, high)}</p></div>' for _ in range(3))
+    for name in ("sidebar", "cookie notice", "comments"):
+        pages = [f'<body><article><h1>{prose(3, 9)}</h1>{inside(20, 60)}</article><div class="{name}">{inside(10, 30)}</div></body>' for _ in range(20)]
+        found = html_blocks.labels(html_blocks.train(), [html_blocks.vectors(html_blocks.blocks(p)) for p in pages])
+        assert np.mean([f == ([True] * 4 + [False] * 3) for f in found]) > 0.95
+
+
 def test_main_text(spark):
     article = "".join(f"<p>{' '.join(VOCABULARY[i : i + 40]).capitalize()}.</p>" for i in range(0, 200, 40))
     page = f"<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/x>More</a></li></ul></nav><article><h1>One title</h1>{article}</article><footer>&copy; us</footer></body></html>"

@@ -155,17 +155,16 @@ def vectors(found: list[Block]) -> np.ndarray:
             row[_slot("tag", tag, PATH_WIDTH)] = 1
         if block.path:
             row[_slot("leaf", block.path[-1], PATH_WIDTH)] += 1
-        for name in set(block.names[-12:]):
+        for name in set(block.names):
             row[_slot("name", name, PATH_WIDTH)] += 1
         words = block.text.lower().split(" ")
-        for word in words[:40]:
-            row[PATH_WIDTH + _word_slot(word)] = 1
         used = row[PATH_WIDTH : PATH_WIDTH + WORD_WIDTH]
+        np.add.at(used, [_word_slot(word) for word in words], 1)
         used /= max(float(np.sqrt((used**2).sum())), 1.0)
         n, size = len(words), max(len(block.text), 1)
         row[-PLAIN:] = (
             np.log1p(n) / 4, block.linked / size, block.text[-1] in ".!?", sum(map(block.text.count, ",.;")) / n, any(c in block.text for c in "©|·»"),
-            sum(map(str.isdigit, block.text[:200])) / min(size, 200), i / max(len(found) - 1, 1), float(before[i]), len(block.path) / 10, n < 4,
+            sum(map(str.isdigit, block.text)) / size, i / max(len(found) - 1, 1), float(before[i]), len(block.path) / 10, n < 4,
         )
     return rows
 
@@ -278,6 +277,8 @@ def labels(model: Labeller, pages: list[np.ndarray], at_once: int = 20_000) -> l
 
 
 SYLLABLES = "an at be da de el en er es ga ha in ia ka la le lo ma mi na ne no on or ra re ri sa se si ta te ti to un ver wo ze".split()
+# Names that say how an element looks, not what it holds.
+UTILITY = "flex grid row col container px py mx my text bg border rounded shadow md lg xl hidden block center gap items justify leading font bold gray white".split()
 MAIN = [("article", ""), ("main", ""), ("article", "post"), ("div", "content"), ("div", "article body"), ("div", "entry content"), ("section", "story"), ("div", "post text"), ("td", "main")]
 # Surroundings of a main text: element, class or id, and words that are typical of it.
 AROUND = {
@@ -299,6 +300,20 @@ class Author:
         self.rng = np.random.default_rng(seed)
         self.main: set[str] = set()
         self.oddness = 0.0
+        self.utility = 0
+
+    def named(self, name: str) -> str:
+        """A class list: on some pages its own names stand among many that say nothing."""
+        if not self.utility or self.rng.random() < 0.3:
+            return name
+        some = [self.pick(UTILITY) for _ in range(int(self.rng.integers(1, self.utility)))]
+        return " ".join([name, *some] if self.rng.random() < 0.5 else [*some, name]).strip()
+
+    def wrapped(self, inner: str) -> str:
+        """``inner``, on some pages inside nested elements without a meaning."""
+        for _ in range(int(self.rng.integers(0, 4)) if self.utility else 0):
+            inner = f'<div class="{self.named("")}">{inner}</div>'
+        return inner
 
     def pick(self, options):
         return options[int(self.rng.integers(len(options)))]
@@ -349,9 +364,9 @@ class Author:
         for _ in range(int(self.rng.integers(0, 9))):
             kind = self.rng.random()
             if kind < 0.82:
-                text = self.prose(1, 8) if self.rng.random() < 0.25 else self.prose(8, 90)
+                text = self.prose(1, 8) if self.rng.random() < 0.25 else self.prose(8, 90) if self.rng.random() < 0.97 else self.prose(200, 800)
                 self.main.add(SPACE.sub(" ", text).strip())
-                out.append(self.paragraph(text))
+                out.append(self.wrapped(self.paragraph(text)))
             elif kind < 0.9:
                 out.append(f"<h2>{self.note(' '.join(self.words(int(self.rng.integers(1, 6)))))}</h2>")
             elif kind < 0.95:
@@ -362,7 +377,7 @@ class Author:
                 out.append(self.around("advert"))
         if not self.main:
             out.append(f"<p>{self.note(self.prose(2, 40))}</p>")
-        return f'<{tag} class="{name}">' + "".join(out) + f"</{tag}>"
+        return f'<{tag} class="{self.named(name)}">' + self.wrapped("".join(out)) + f"</{tag}>"
 
     def note(self, text: str) -> str:
         self.main.add(SPACE.sub(" ", text).strip())
@@ -378,16 +393,18 @@ class Author:
         elif kind == "form":
             inner = f"<label>{plain(1, 4)}</label><input name=q><button>{plain(1, 3)}</button><p>{plain(2, 12)}</p>"
         elif kind == "comments":
-            inner = f"<h3>{plain(1, 4)}</h3>" + "".join(f'<div class="comment"><span>{plain(1, 3)}</span><p>{self.prose(3, 40)}</p></div>' for _ in range(int(self.rng.integers(1, 5))))
+            inner = self.pick([f"<h3>{plain(1, 4)}</h3>", ""]) + "".join(f'<div class="{self.named(self.pick(["comment", "comment", ""]))}">{self.pick([f"<span>{plain(1, 3)}</span>", ""])}{self.wrapped(f"<p>{self.prose(3, 40) if self.rng.random() < 0.95 else self.prose(100, 400)}</p>")}</div>' for _ in range(int(self.rng.integers(1, 5))))
         elif self.rng.random() < 0.6:
             inner = self.pick(["{}", "<p>{}</p>", "<span>{}</span>", "&copy; {}", "&copy; name.example &middot; {}"]).format(html.escape(self.prose(2, 25)))
         else:
             inner = self.pick(["{}", "<p>{}</p>", "<h3>{}</h3>"]).format(plain(2, 20))
+        name, inner = self.named(name), self.wrapped(inner)
         return f'<{tag} class="{name}">{inner}</{tag}>' if name else f"<{tag}>{inner}</{tag}>"
 
     def page(self) -> tuple[list[Block], np.ndarray]:
         self.main = set()
         self.oddness = self.pick([0.0, 0.1, 0.5, 0.9])
+        self.utility = self.pick([0, 0, 8, 30])
         body = self.body()
         before = "".join(self.around(k) for k in ("notice", "head", "menu", "advert", "side", "form") if self.rng.random() < 0.45)
         after = "".join(self.around(k) for k in ("comments", "side", "advert", "form", "notice", "foot") if self.rng.random() < 0.45)
