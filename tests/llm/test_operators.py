@@ -216,6 +216,12 @@ def test_personal_data(spark, docs, nothing):
     assert masked.columns == docs.columns and sorted(map(str, dicts(masked))) == sorted(map(str, dicts(docs)))
 
 
+@pytest.mark.parametrize("word", pii.AGAINST)
+def test_words_against_a_kind_do_not_outweigh_a_checksum(word):
+    assert pii.masked(f"{word} 7: DE89 3704 0044 0532 0130 00") == f"{word} 7: <IBAN>"
+    assert pii.masked(f"{word} DE88370400440532013000, 123-45-6789") == f"{word} DE88370400440532013000, 123-45-6789"
+
+
 def test_spans_agree_with_plain_patterns():
     import re
 

@@ -30,13 +30,14 @@ class Scores(NamedTuple):
     least: float = 0.7
 
 
-# Words that make a kind likelier nearby, and words that make any kind less likely.
+# Words that make a kind likelier nearby, words that make a kind less likely, and kinds whose checksum outweighs the latter.
 NEARBY = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security", "taxpayer", "sozialversicherung"),
     "local_phone": ("phone", "tel", "telephone", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
 }
 AGAINST = ("order", "invoice", "isbn", "version", "serial", "tracking", "example")
+CHECKED = frozenset(["iban"])
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -116,7 +117,9 @@ def more_spans(text: str, taken: list[tuple[int, int, int]], scores: Scores) ->
     out = []
     for start, kind, end, score in proposed:
         near = {w.lower() for w in _WORD.findall(text[max(0, start - scores.reach) : start] + " " + text[end : end + scores.reach])}
-        score += scores.word * bool(near & set(NEARBY[KINDS[kind]])) + scores.against * bool(near & set(AGAINST))
+        score += scores.word * bool(near & set(NEARBY[KINDS[kind]]))
+        if KINDS[kind] not in CHECKED:
+            score += scores.against * bool(near & set(AGAINST))
         if score >= scores.least and not any(s < end and start < e for s, _, e in taken):
             out.append((start, kind, end, score))
     return out
