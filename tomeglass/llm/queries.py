@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeglass.llm import decontaminate, html_blocks, license_rules, line_rules, near_dedup, packing, pii, quality, token_counts, url_filter
+from tomeglass.llm import (
+    conversation_repair,
+    decontaminate,
+    html_blocks,
+    language_labels,
+    license_rules,
+    line_rules,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    resampling,
+    token_counts,
+    url_filter,
+)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -87,3 +101,34 @@ def op9_containment(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(given(spark, folder, "documents"), near_dedup.Method(shingle=2))
+
+
+@query
+def op11_word_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each document by its words' labels, learnt without the documents of fold 2."""
+    docs = given(spark, folder, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
+    model = language_labels.fit(docs.where(~held_out).select("text", "lang"))
+    return language_labels.languages(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
+@query
+def op12_role_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damage every conversation by a fixed rule, repair it at the least cost, and state the faults, edits and a digest."""
+    given_rows = given(spark, folder, "conversations")
+    repaired = conversation_repair.repair(conversation_repair.damaged(given_rows))
+    every = given_rows.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct()
+    reports = repaired.reports.withColumnRenamed("conv_id", "_report")
+    digests = conversation_repair.digests(repaired.rows).withColumnRenamed("conv_id", "_digest")
+    joined = every.join(reports, F.col("conv_id").eqNullSafe(F.col("_report")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("_digest")), "left")
+    counts = [F.coalesce(name, F.lit(0)).cast("bigint").alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256"))
+
+
+@query
+def op13_target_draw(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents weighed by the benchmark's word runs, a quarter of them drawn."""
+    drawn = resampling.resample(given(spark, folder, "documents"), given(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

@@ -81,8 +81,8 @@ class Texts(NamedTuple):
         return len(self.begins) - 1
 
 
-def text_slices(column: pa.Array) -> Iterator[Texts]:
-    """Cut a column of texts into slices of about a megabyte; a missing text is an empty one."""
+def text_slices(column: pa.Array, size: int = SLICE) -> Iterator[Texts]:
+    """Cut a column of texts into slices of about a megabyte, or of ``size`` bytes; a missing text is an empty one."""
     if not len(column):
         return
     column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "").cast(pa.large_binary())
@@ -91,7 +91,7 @@ def text_slices(column: pa.Array) -> Iterator[Texts]:
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         last = min(last, len(column))
         yield Texts(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
