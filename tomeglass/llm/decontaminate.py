@@ -114,37 +114,76 @@ def _window_minima(hashes: np.ndarray, first: np.ndarray, size: int, n: int) ->
     return both, doc
 
 
+Groups = dict[int, dict[int, "Partition | Lookup"]]
+
+
+def _grouped(rows: list[tuple[int, str]], how: Method) -> Groups:
+    return {length: {size: Partition(items, how) if size else Lookup(items, how) for size, items in by_size.items()} for length, by_size in _items(rows, how).items()}
+
+
+def _held(groups: Groups, column: pa.Array, how: Method) -> Iterator[tuple[int, Item, int]]:
+    """(row, item, common shingles) for every item that a text of ``column`` holds, by rows."""
+    for texts in sh.text_slices(column):
+        split = sh.words(texts, sh.letter_words())
+        for length, by_size in groups.items():
+            found = sh.shingles(split, length)
+            for size, part in by_size.items():
+                if isinstance(part, Lookup):
+                    proposed = part.matches(found.hashes, found.first)
+                else:
+                    values, doc = _window_minima(found.hashes, found.first, size, how.hashes)
+                    proposed = {(int(doc[w]), i) for w, i in part.matches(values)}
+                for d, i in sorted(proposed):
+                    if split.first[d + 1] - split.first[d] < length:
+                        continue  # fewer words than a shingle make a shingle of another kind
+                    item = part.items[i]
+                    inside = int(np.isin(item.shingles, found.hashes[found.first[d] : found.first[d + 1]]).sum())
+                    if 100 * inside >= how.percent * len(item.shingles):
+                        yield texts.first + d, item, inside
+
+
 def _search(docs: DataFrame, rows: list[tuple[int, str]], how: Method) -> DataFrame:
-    groups = {length: {size: Partition(items, how) if size else Lookup(items, how) for size, items in by_size.items()} for length, by_size in _items(rows, how).items()}
-    shared = docs.sparkSession.sparkContext.broadcast(groups)
+    shared = docs.sparkSession.sparkContext.broadcast(_grouped(rows, how))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            out: list[tuple] = []
-            for texts in sh.text_slices(batch.column("text")):
-                split = sh.words(texts, sh.letter_words())
-                for length, by_size in shared.value.items():
-                    found = sh.shingles(split, length)
-                    for size, part in by_size.items():
-                        if isinstance(part, Lookup):
-                            proposed = part.matches(found.hashes, found.first)
-                        else:
-                            values, doc = _window_minima(found.hashes, found.first, size, how.hashes)
-                            proposed = {(int(doc[w]), i) for w, i in part.matches(values)}
-                        for d, i in sorted(proposed):
-                            if split.first[d + 1] - split.first[d] < length:
-                                continue  # fewer words than a shingle make a shingle of another kind
-                            item = part.items[i]
-                            inside = int(np.isin(item.shingles, found.hashes[found.first[d] : found.first[d + 1]]).sum())
-                            if 100 * inside >= how.percent * len(item.shingles):
-                                out.append((ids[texts.first + d].as_py(), item.item_id, len(item.shingles), inside))
+            out = [(ids[row].as_py(), item.item_id, len(item.shingles), inside) for row, item, inside in _held(shared.value, batch.column("text"), how)]
             columns = list(zip(*out)) or [()] * 4
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_item", "n_shared"])
 
     return docs.mapInArrow(search, "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint")
 
 
+def _blocks(benchmark: DataFrame, how: Method) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most ``how.block_items`` and 16 MB of text."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = items.dropDuplicates(["item_id", "text"])
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // how.block_items), -(-size // (16 << 20)))
+    for block in range(blocks):
+        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield [(r.item_id, r.text) for r in some.collect()]
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, how: Method = Method()) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` holds no item of ``benchmark`` (see ``contained_items``), with all their columns.
+
+    Each row is judged by its own text, whatever its doc_id or other columns; a missing text holds nothing. Nothing is shuffled.
+    """
+    for rows in _blocks(benchmark, how):
+        shared = docs.sparkSession.sparkContext.broadcast(_grouped(rows, how))
+
+        def choose(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                clean[[row for row, _, _ in _held(shared.value, batch.column("text"), how)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(choose, docs.schema)
+    return docs
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame, how: Method = Method()) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of every item that a document holds.
 
@@ -157,12 +196,5 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, how: Method = Method(
     ``how.block_items`` and 16 MB of text, one pass for each block.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
-    items = items.dropDuplicates(["item_id", "text"])
-    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-count // how.block_items), -(-size // (16 << 20)))
-    found = []
-    for block in range(blocks):
-        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        found.append(_search(docs, [(r.item_id, r.text) for r in some.collect()], how))
+    found = [_search(docs, rows, how) for rows in _blocks(benchmark, how)]
     return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("n_shared") / F.col("n_item"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tomeglass.llm.license_rules import IDENTIFIER, RULES, in_order
 from tomeglass.llm.line_rules import Limits as LineLimits
 from tomeglass.llm.queries import URL_RULES
+from tomeglass.llm.resampling import Draw
 from tomeglass.llm.url_filter import Limits as UrlLimits
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,12 +84,12 @@ def line_frequency(limits: LineLimits = LineLimits()) -> str:
         g AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS run FROM p),
         twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, run) > 1),
         covered AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY r),
-        raw_lines AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d),
-        lines AS (SELECT r, source, line, lower(trim(regexp_replace(line, '{space}', ' ', 'g'), ' ')) AS norm,
+        raw_lines AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+        lines AS (SELECT r, source, k, line, lower(trim(regexp_replace(line, '{space}', ' ', 'g'), ' ')) AS norm,
             len(regexp_extract_all(line, '[^ \t\x0B\f\r]+')) AS n FROM raw_lines WHERE regexp_matches(line, '[^ \t\x0B\f\r]')),
         dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
-        told AS (SELECT r, source, max({{'length': length(norm), 'line': norm}}).line AS told FROM lines GROUP BY r, source),
-        sizes AS (SELECT source, count(*) AS docs FROM told GROUP BY source),
+        told AS (SELECT r, source, list(norm ORDER BY k) AS told FROM lines GROUP BY r, source),
+        sizes AS (SELECT source, count(DISTINCT told) AS docs FROM told GROUP BY source),
         counted AS (SELECT l.source, l.norm, count(DISTINCT told) AS n FROM lines l JOIN told USING (r) GROUP BY ALL),
         frequent AS (SELECT c.source, norm FROM counted c JOIN sizes s USING (source) WHERE n > {limits.min_docs} AND n > {limits.share} * docs),
         gone AS (SELECT r, sum(l.n) AS n FROM lines l JOIN frequent f USING (source, norm) GROUP BY r),
@@ -137,10 +138,106 @@ def near_copies(percent: int = 80) -> str:
         FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)"""
 
 
+def _crc32(text: str) -> str:
+    """The CRC of the UTF-8 bytes of ``text``, with ``crc_table.t`` in the FROM clause."""
+    byte = f"CAST('0x' || substr(hex({text}), 2 * k + 1, 2) AS BIGINT)"
+    data = f"list_transform(range(0, len(hex({text})) // 2), lambda k: {byte})"
+    step = "xor(c >> 8, crc_table.t[1 + (xor(c, b) & 255)])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) AS r(i)))"""
+
+
+def role_repair() -> str:
+    """Rows one by one over the four places in the role order, each with its cheapest way: cost, letters, repaired rows."""
+    space = r"\x20\x09-\x0D"
+
+    def edited(way: str, cost: str, letter: str, line: str = "") -> str:
+        out = f"{way}.o || {line} || chr(10)" if line else f"{way}.o"
+        return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 'o': {out}}} END"
+
+    def deleted(way: str) -> str:
+        return edited(way, "3", "D")
+
+    def kept(way: str, initial: str) -> str:
+        return f"CASE WHEN NOT bad AND left(role, 1) = '{initial}' THEN {edited(way, 'late', 'K', 'role || chr(58) || text')} END"
+
+    def reroled(way: str, role: str) -> str:
+        line = f"'{role}:' || text"
+        return f"CASE WHEN NOT bad THEN {edited(way, '2 + late', 'R', line)} END"
+
+    def inserted(way: str, role: str) -> str:
+        return edited(way, "2", "I", f"'{role}:'")
+
+    def least(*ways: str) -> str:
+        return f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+
+    at_user = [f(w, x) for w in ("p0", "p1", "p3") for f, x in ((kept, "u"), (reroled, "user"))]
+    return rf"""
+        WITH RECURSIVE {CRC_TABLE},
+        ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+        plain AS (SELECT ids.c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(v.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations v JOIN ids ON v.conv_id IS NOT DISTINCT FROM ids.conv_id),
+        kinds AS (SELECT c, turn, role, text, {_crc32("key")} % 20 AS kind FROM plain, crc_table),
+        harmed AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+        seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) AS n FROM harmed),
+        judged AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text), n) AS pos,
+            CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 'blank' WHEN n > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][{space}]*\z') THEN 'truncated' END AS fault FROM seen),
+        rows AS MATERIALIZED (SELECT c, pos, turn, role, text, fault, coalesce(fault IN ('blank', 'duplicate'), false) AS bad,
+            CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS late,
+            coalesce(left(lag(role) OVER (PARTITION BY c ORDER BY pos), 1) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS odd FROM judged),
+        walk AS (SELECT c, 0::BIGINT AS pos, {{'c': 0, 'a': '', 'o': ''}} AS p0, NULL::STRUCT(c INTEGER, a VARCHAR, o VARCHAR) AS p1,
+                {{'c': 2, 'a': 'I', 'o': 'user:' || chr(10)}} AS p2, {{'c': 4, 'a': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS p3 FROM ids
+            UNION ALL SELECT c, pos, q0, q1, r2, {least("q3", inserted("r2", "assistant"))} FROM
+                (SELECT *, {least("q2", inserted("q0", "user"), inserted("q1", "user"), inserted("q3", "user"))} AS r2 FROM
+                    (SELECT walk.c, rows.pos, {deleted("p0")} AS q0, {least(deleted("p1"), kept("p0", "s"))} AS q1,
+                        {least(deleted("p2"), *at_user)} AS q2, {least(deleted("p3"), kept("p2", "a"), reroled("p2", "assistant"))} AS q3
+                        FROM walk JOIN rows ON rows.c = walk.c AND rows.pos = walk.pos + 1))),
+        sums AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+            count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal FROM rows GROUP BY c),
+        ends AS (SELECT walk.c, {least("p0", "p3")} AS way FROM walk JOIN sums ON sums.c = walk.c AND sums.n = walk.pos)
+        SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, coalesce(way.c, 0)::BIGINT AS cost, coalesce(way.a, '') AS audit,
+            sha256(regexp_replace(coalesce(way.o, ''), '\n\z', '')) AS repaired_sha256
+        FROM ids LEFT JOIN sums USING (c) LEFT JOIN ends USING (c)"""
+
+
+def target_draw(how: Draw = Draw()) -> str:
+    assert how.order == 2
+    words = f"regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = "unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS run"
+    return rf"""
+        WITH {CRC_TABLE},
+        d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+        f AS MATERIALIZED (SELECT r, run, count(*) AS n FROM (SELECT r, {runs} FROM d) GROUP BY ALL),
+        g AS MATERIALIZED (SELECT run, count(*) AS n FROM (SELECT {runs} FROM (SELECT {words} AS w FROM benchmark)) GROUP BY ALL),
+        coded AS MATERIALIZED (SELECT run, {_crc32("run")} % {how.buckets} AS bucket FROM (SELECT run FROM f UNION SELECT run FROM g), crc_table),
+        s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM f JOIN coded USING (run) GROUP BY bucket),
+        t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM g JOIN coded USING (run) GROUP BY bucket),
+        sums AS (SELECT coalesce((SELECT sum(s) FROM s), 0) + {how.buckets} AS s_all, coalesce((SELECT sum(t) FROM t), 0) + {how.buckets} AS t_all),
+        gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * s_all / ((s + 1) * t_all)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), sums),
+        weights AS (SELECT r, sum(n) AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)) AS weight FROM f JOIN coded USING (run) JOIN gain USING (bucket) GROUP BY r),
+        noise AS (SELECT r, CAST('0x' || substr(sha256('{how.seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT)::DOUBLE AS h FROM d),
+        scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+            coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM d JOIN noise USING (r) LEFT JOIN weights USING (r)),
+        able AS (SELECT *, n_words >= {how.least_words} AS able FROM scored),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+            {how.percent} * count(*) OVER (PARTITION BY able) // 100 AS drawn FROM able)
+        SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= drawn THEN place END AS rank FROM placed"""
+
+
 LLM_ORACLES: dict[str, str] = {
     "op1_url_templates": url_templates(),
     "op2_license_rules": license_rules(),
     "op4_line_frequency": line_frequency(),
     "op9_containment": containment(),
     "op10_near_copies": near_copies(),
+    "op12_role_repair": role_repair(),
+    "op13_target_draw": target_draw(),
 }

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone", "secret")
 BASE_KINDS = KINDS[:4]
 
 
 class Scores(NamedTuple):
-    """A proposal's score starts with its kind's, gains or loses by the words within ``reach`` characters before and after it.
+    """A proposal's score starts with its kind's, gains or loses by the words within ``reach`` characters before and after it. A
+    secret gains if an equals sign, a colon or 'bearer' stands before it, and its characters have to carry ``entropy`` bits each.
 
     Those that pass ``least`` are reported. Proposals of the base kinds that pass their check are always reported.
     """
@@ -24,20 +26,24 @@ class Scores(NamedTuple):
     iban: float = 0.9
     ssn: float = 0.4
     local_phone: float = 0.3
+    secret: float = 0.2
+    assigned: float = 0.3
     word: float = 0.4
     against: float = -0.4
     reach: int = 40
     least: float = 0.7
+    entropy: float = 3.0
 
 
 # Words that make a kind likelier nearby, words that make a kind less likely, and kinds whose checksum outweighs the latter.
 NEARBY = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security", "taxpayer", "sozialversicherung"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "passphrase", "key", "apikey", "bearer", "authorization", "credential", "credentials"),
     "local_phone": ("phone", "tel", "telephone", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
 }
 AGAINST = ("order", "invoice", "isbn", "version", "serial", "tracking", "example")
-CHECKED = frozenset(["iban"])
+CHECKED = frozenset(["iban", "secret"])
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,6 +54,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+_ASSIGNED = re.compile(r"(?:[=:]|\bbearer)\s*[\"'`]?$", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -62,6 +70,11 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def entropy(found: str) -> float:
+    """Bits per character, by how often each occurs."""
+    return -sum(n / len(found) * math.log2(n / len(found)) for n in Counter(found).values())
+
+
 def _digits(found: str) -> str:
     return "".join(c for c in found if "0" <= c <= "9")
 
@@ -105,7 +118,10 @@ def _iban_end(found: str) -> int:
 
 
 def more_spans(text: str, taken: list[tuple[int, int, int]], scores: Scores) -> list[tuple[int, int, int, float]]:
-    """(start, kind number, end, score) beyond the base kinds, none of which overlaps a span already taken."""
+    """(start, kind number, end, score) beyond the base kinds, of which none but a secret overlaps a span already taken.
+
+    A secret is a run of 16 or more letters, digits and ``+/_-``, with letters and digits both, that looks random.
+    """
     proposed = []
     for m in _IBAN.finditer(text):
         if length := _iban_end(m[0]):
@@ -114,13 +130,18 @@ def more_spans(text: str, taken: list[tuple[int, int, int]], scores: Scores) ->
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             proposed.append((m.start(), 5, m.end(), scores.ssn))
     proposed += [(m.start(), 6, m.end(), scores.local_phone) for m in _LOCAL_PHONE.finditer(text)]
+    for m in _SECRET.finditer(text):
+        run = m[0].rstrip("=")
+        if any(map(str.isdigit, run)) and any(map(str.isalpha, run)) and entropy(run) >= scores.entropy:
+            assigned = _ASSIGNED.search(text[max(0, m.start() - 12) : m.start()])
+            proposed.append((m.start(), 7, m.end(), scores.secret + scores.assigned * bool(assigned)))
     out = []
     for start, kind, end, score in proposed:
         near = {w.lower() for w in _WORD.findall(text[max(0, start - scores.reach) : start] + " " + text[end : end + scores.reach])}
         score += scores.word * bool(near & set(NEARBY[KINDS[kind]]))
         if KINDS[kind] not in CHECKED:
             score += scores.against * bool(near & set(AGAINST))
-        if score >= scores.least and not any(s < end and start < e for s, _, e in taken):
+        if score >= scores.least and (KINDS[kind] == "secret" or not any(s < end and start < e for s, _, e in taken)):
             out.append((start, kind, end, score))
     return out
 
