@@ -8,7 +8,7 @@ approximate search uses the same cells and visits the nearest few.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -229,12 +229,36 @@ def _by_blocks(
     exclude_self: bool,
     block_rows: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """Nearest vectors within the visited cells, and the size of the work per cell (cell, n, visits).
+    """Nearest vectors within the visited cells, and the size of the work per cell (cell, n, visits)."""
 
-    A cell with n vectors and v visits becomes about n/block_rows times v/block_rows tasks, each of which reports k
-    rows per query: neither a large cell nor a popular one ends up in a single task.
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        best = nn.Nearest(
+            nn.as_ids(right["query_id"]), nn.as_matrix(right["embedding"], dim), k, digits, exclude_self
+        )
+        if left.num_rows and right.num_rows:
+            best.add(nn.as_ids(left["doc_id"]), nn.as_matrix(left["embedding"], dim))
+        return pa.Table.from_pydict(best.columns())
+
+    return blocks_of_cells(assigned, queries, cells.n, route, dim, block_rows, ["doc_id", "embedding"], block, nn.SCHEMA)
+
+
+def blocks_of_cells(
+    assigned: DataFrame,
+    queries: DataFrame,
+    n: np.ndarray,
+    route: Route,
+    dim: int,
+    block_rows: int,
+    columns: Sequence[str],
+    compare: Callable[[pa.Table, pa.Table], pa.Table],
+    schema: str,
+) -> tuple[DataFrame, DataFrame]:
+    """``compare`` the rows of every visited cell, ``columns`` of ``assigned`` (cell, doc_id, ...), with its queries, block by block.
+
+    A cell with n rows and v visits becomes about n/block_rows times v/block_rows tasks: neither a large cell nor a popular
+    one ends up in a single task. The second result is the size of the work per cell (cell, n, visits).
     """
-    m = len(cells.pivots)
+    m = len(n)
     # Rows routed at once: the bounds of a route take rows x pivots x neighbours numbers.
     step = max(1, 65536 // m)
     spark = assigned.sparkSession
@@ -249,7 +273,7 @@ def _by_blocks(
         yield pa.RecordBatch.from_pydict({"cell": np.arange(m, dtype=np.int32), "visits": visits})
 
     visits = queries.mapInArrow(count, "cell int, visits bigint").groupBy("cell").agg(F.sum("visits").alias("visits"))
-    work = [(r["cell"], int(cells.n[r["cell"]]), r["visits"]) for r in visits.collect() if r["visits"]]
+    work = [(r["cell"], int(n[r["cell"]]), r["visits"]) for r in visits.collect() if r["visits"]]
     plan = spark.createDataFrame(work, "cell int, n bigint, visits bigint").select(
         "*",
         F.ceil(F.col("n") / block_rows).alias("v_blocks"),
@@ -289,20 +313,11 @@ def _by_blocks(
         .withColumn("q_block", all_blocks("q_blocks"))
     )
     key = ["cell", "v_block", "q_block"]
-
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = nn.Nearest(
-            nn.as_ids(right["query_id"]), nn.as_matrix(right["embedding"], dim), k, digits, exclude_self
-        )
-        if left.num_rows and right.num_rows:
-            best.add(nn.as_ids(left["doc_id"]), nn.as_matrix(left["embedding"], dim))
-        return pa.Table.from_pydict(best.columns())
-
     hits = (
-        answering.select(*key, "doc_id", "embedding")
+        answering.select(*key, *columns)
         .groupBy(*key)
         .cogroup(asking.select(*key, "query_id", "embedding").groupBy(*key))
-        .applyInArrow(block, nn.SCHEMA)
+        .applyInArrow(compare, schema)
     )
     return hits, plan.select("cell", "n", "visits")
 

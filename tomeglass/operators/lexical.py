@@ -28,11 +28,13 @@ BLOCK_ENTRIES = 2_000_000
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings(doc_id, field, term, tf, dl), term_stats(field, term, df), field_stats(field, n_docs, n_all, avg_dl)."""
+    """postings(doc_id, field, term, tf, dl, positions), term_stats(field, term, df), field_stats(field, n_docs, n_all, avg_dl), and
+    grams(gram, term): pairs of letters of all terms, see ``term_grams``."""
 
     postings: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
+    grams: DataFrame
 
 
 # Tokens and statistics
@@ -57,21 +59,26 @@ def tokenize(documents: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def postings(arrays: DataFrame) -> DataFrame:
-    """(doc_id, field, term, tf, dl), counted inside each row: the words are sorted, and every run of equal words is
-    one posting. No word is a key of anything, so neither a shuffle nor a table of counts is needed."""
-    words = arrays.where(F.col("dl") > 0).withColumn("words", F.sort_array("tokens")).drop("tokens")
+    """(doc_id, field, term, tf, dl, positions), counted inside each row: the words are sorted with their places, and every run
+    of equal words is one posting. No word is a key of anything, so neither a shuffle nor a table of counts is needed."""
+    placed = F.transform("tokens", lambda term, place: F.struct(term.alias("term"), place.alias("place")))
+    words = arrays.where(F.col("dl") > 0).withColumn("words", F.sort_array(placed)).drop("tokens")
+
+    def word(i: Column) -> Column:
+        return F.get("words", i)["term"]
 
     def begins_run(i: Column) -> Column:
-        return (i == 0) | (F.get("words", i) != F.get("words", i - 1))
+        return (i == 0) | (word(i) != word(i - 1))
 
     runs = words.withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), begins_run))
 
     def posting(start: Column, number: Column) -> Column:
-        end = F.coalesce(F.get("starts", number + 1), F.col("dl"))
-        return F.struct(F.get("words", start).alias("term"), (end - start).cast("bigint").alias("tf"))
+        n = F.coalesce(F.get("starts", number + 1), F.col("dl")) - start
+        places = F.slice("words", start + 1, n)["place"]
+        return F.struct(word(start).alias("term"), n.cast("bigint").alias("tf"), places.alias("positions"))
 
     entries = runs.select("doc_id", "field", F.explode(F.transform("starts", posting)).alias("p"), "dl")
-    return entries.select("doc_id", "field", "p.term", "p.tf", "dl")
+    return entries.select("doc_id", "field", "p.term", "p.tf", "dl", "p.positions")
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -79,6 +86,19 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
+def pairs_of_letters(term: Column) -> Column:
+    """Neighbouring letters of a term with a mark at both ends; a pair that comes again is numbered, so that sets of pairs compare
+    like bags."""
+    marked = F.concat(F.lit("^"), term, F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.char_length(term) + 1), lambda i: F.substring(marked, i, F.lit(2)))
+    return F.transform(pairs, lambda pair, i: F.concat(pair, F.size(F.filter(F.slice(pairs, 1, i + 1), lambda other: other == pair)).cast("string")))
+
+
+def term_grams(stats: DataFrame) -> DataFrame:
+    """(gram, term) for every different term of ``stats`` (field, term, df)."""
+    return stats.select("term").distinct().select(F.explode(pairs_of_letters(F.col("term"))).alias("gram"), "term")
+
+
 def field_stats(rows: DataFrame, n_all: int) -> DataFrame:
     """Per field of the postings: documents with a term, all ``n_all`` documents, average length over the former."""
     per_document = rows.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
@@ -161,7 +181,7 @@ def _only_asked(index: TextIndex, gathered: pd.DataFrame, fields: Sequence[str])
     words = gathered["term"].unique().tolist()
     if len(words) <= PRUNE_TERMS:
         condition = condition & F.col("term").isin(words)
-    return TextIndex(index.postings.where(condition), index.term_stats.where(condition), index.field_stats)
+    return TextIndex(index.postings.where(condition), index.term_stats.where(condition), index.field_stats, index.grams)
 
 
 def _weighted(index: TextIndex, terms: DataFrame) -> DataFrame:
@@ -270,7 +290,6 @@ def parse_clauses(queries: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def search_syntax(
     index: TextIndex,
-    documents: DataFrame,
     queries: DataFrame,
     k: int = HITS,
     fields: Sequence[str] = ("title",),
@@ -280,41 +299,63 @@ def search_syntax(
     """Hits (query_id, rank, doc_id, score) of queries with signs, fields and phrases, see ``parse_clauses``.
 
     The words of all clauses but the excluded ones add to the score. A document is a hit if a clause matches, every ``+``
-    clause does and no ``-`` clause does. ``queries`` is a table of counted small size (``BROADCAST_ROWS`` words). Words are
-    matched on the postings; only phrases look at ``documents``, at the positions of the words that they use.
+    clause does and no ``-`` clause does. Words and phrases are matched on the postings of their words alone. Tables of
+    queries are broadcast if they are small by count; others meet the postings in salted shuffles.
     """
     scoring = scoring or bm25()
     clauses = cut_lineage(parse_clauses(queries, fields).withColumn("query_id", F.col("query_id").cast("bigint")))
     words = clauses.select("query_id", "clause", "sign", "field", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
-    if not is_within(words, BROADCAST_ROWS):
-        raise ValueError(f"queries with more than {BROADCAST_ROWS} words and fields")
+    few = is_within(words, BROADCAST_ROWS)
     terms = [r["term"] for r in words.select("term").distinct().limit(PRUNE_TERMS + 1).collect()]
     asked = F.col("field").isin(*fields) & (F.col("term").isin(terms) if len(terms) <= PRUNE_TERMS else F.lit(True))
+    read = index.postings.where(asked)
+    small = F.broadcast if few else lambda df: df
+
+    def met_by(wanted: DataFrame) -> DataFrame:
+        return join_requests(read, wanted, ["field", "term"], spread_by="doc_id", few=few)
 
     single = words.where("n = 1").select("query_id", "clause", "field", "term")
-    by_word = index.postings.where(asked).join(F.broadcast(single), ["field", "term"]).select("query_id", "clause", "doc_id")
-    long = words.where("n > 1")
-    placed = token_arrays(documents, fields).select("doc_id", "field", F.posexplode("tokens").alias("pos", "term")).where(asked)
-    runs = placed.join(F.broadcast(long), ["field", "term"]).withColumn("start", F.col("pos") - F.col("at"))
-    whole = runs.groupBy("query_id", "clause", "doc_id", "field", "start").agg(F.count("*").alias("found"), F.first("n").alias("n"))
-    by_phrase = whole.where("found = n").select("query_id", "clause", "doc_id")
+    by_word = met_by(single).select("query_id", "clause", "doc_id")
+    long = words.where("n > 1").select("query_id", "clause", "field", "term", "n", "at")
+    by_phrase = phrase_counts(met_by(long), ["query_id", "clause"]).select("query_id", "clause", "doc_id")
     matched = by_word.unionByName(by_phrase).distinct()
 
     kinds = clauses.select("query_id", "clause", "sign").distinct()
     needed = kinds.groupBy("query_id").agg(F.count(F.when(F.col("sign") == "+", 1)).alias("needed"))
-    met = matched.join(F.broadcast(kinds), ["query_id", "clause"]).groupBy("query_id", "doc_id")
+    met = matched.join(small(kinds), ["query_id", "clause"]).groupBy("query_id", "doc_id")
     count = lambda sign: F.count(F.when(F.col("sign") == sign, 1))
-    met = met.agg(count("+").alias("has"), count("-").alias("bad"), count("").alias("any")).join(F.broadcast(needed), "query_id")
+    met = met.agg(count("+").alias("has"), count("-").alias("bad"), count("").alias("any")).join(small(needed), "query_id")
     allowed = met.where("bad = 0 and has = needed and has + any > 0").select("query_id", "doc_id")
 
     factor = (F.count("*") if scoring.repeats else F.lit(1)).cast("double").alias("factor")
     scored = words.where("sign <> '-'").groupBy("query_id", "field", "term").agg(factor)
-    weighed = index.postings.where(asked).join(F.broadcast(_weighted(TextIndex(index.postings, index.term_stats.where(asked), index.field_stats), scored)), ["field", "term"])
-    scores = weighed.select("query_id", "doc_id", (F.col("factor") * scoring.weight).alias("part")).groupBy("query_id", "doc_id")
+    known = index.term_stats.where(asked).join(small(scored), ["field", "term"]).join(F.broadcast(index.field_stats), "field")
+    scores = met_by(known).select("query_id", "doc_id", (F.col("factor") * scoring.weight).alias("part")).groupBy("query_id", "doc_id")
     scores = scores.agg(F.round(F.sum("part"), digits).alias("score")).join(allowed, ["query_id", "doc_id"])
     return best_per_group(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 
 
+def phrase_counts(met: DataFrame, key: Sequence[str], slop: Column | None = None) -> DataFrame:
+    """(*key, field, doc_id, tf, dl): how often documents have the phrases of ``met``, postings with the place ``at`` in a phrase of ``n`` words.
+
+    A word at place p of the text and ``at`` of the phrase stands for a beginning p - at. An occurrence is a beginning of one
+    word such that every word has one not before it, and at most ``slop`` after it; without ``slop`` all words have the
+    same. The postings of a document lie together, so nothing is shuffled but the queries.
+    """
+    begins = F.transform("positions", lambda p: p - F.col("at"))
+    kept = [F.first("n").alias("n"), F.max("dl").alias("dl"), *([F.first(slop).alias("_slop")] if slop is not None else [])]
+    grouped = met.withColumn("begins", begins).groupBy(*key, "field", "doc_id").agg(F.collect_list("begins").alias("words"), *kept)
+    whole = grouped.where(F.size("words") == F.col("n"))
+    exact = F.aggregate("words", F.col("words")[0], F.array_intersect)
+    if slop is None:
+        found = exact
+    else:
+        every = F.array_distinct(F.flatten("words"))
+        near = F.filter(every, lambda m: F.forall("words", lambda w: F.exists(w, lambda b: (b >= m) & (b <= m + F.col("_slop")))))
+        found = F.when(F.col("_slop") == 0, exact).otherwise(near)
+    return whole.withColumn("tf", F.size(found).cast("bigint")).where("tf > 0").select(*key, "field", "doc_id", "tf", "dl")
+
+
 def search_page(
     index: TextIndex, queries: DataFrame, page: int, size: int = HITS, fields: Sequence[str] = ("title",)
 ) -> DataFrame:

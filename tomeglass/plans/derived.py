@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from tomeglass.functions import text as tx
 from tomeglass.functions.joins import broadcast_within
 from tomeglass.operators import nearest as nn
+from tomeglass.operators.knn import train_cells
 from tomeglass.operators.learning import embed_hashed, heaviest_words
 from tomeglass.operators.lexical import TextIndex
+from tomeglass.operators.quantised import VectorIndex, write_vector_index
 from tomeglass.session import cut_lineage, fresh_path
 from tomeglass.sources.index_store import write_index
 from tomeglass.sources.models import TopicModel, matrix_to_long, read_model, write_model
@@ -112,6 +114,17 @@ class Corpus:
         """(doc_id, embedding) of whole texts, written once like the index."""
         return cut_lineage(embed_hashed(self.documents))
 
+    @cached_property
+    def codes(self) -> VectorIndex:
+        """Codes of all vectors around sixteen k-means cells, written once like the index."""
+        return write_vector_index(self.vectors, fresh_path(self.spark, "codes"), DIM, train_cells(self.vectors, 16, DIM))
+
+    @cached_property
+    def codes_by_label(self) -> VectorIndex:
+        """Codes of all vectors around the centres of their labels, written once."""
+        centres = nn.as_matrix(self.centres.orderBy("query_id").toArrow()["embedding"], DIM)
+        return write_vector_index(self.vectors, fresh_path(self.spark, "codes"), DIM, centres)
+
     @property
     def topic_word(self) -> DataFrame:
         """(topic_id, term, weight): share of a term among the words of a topic's documents.

@@ -14,9 +14,12 @@ from tomeglass.operators import documents as docs
 from tomeglass.operators import knn as kn
 from tomeglass.operators import learning as ml
 from tomeglass.operators import lexical as lex
+from tomeglass.operators import matching as mt
+from tomeglass.operators import quantised as qz
 from tomeglass.operators import topics as tp
 from tomeglass.operators.ranking import best_overall
 from tomeglass.plans import pages
+from tomeglass.plans.conditions import NESTED, PHRASES, WORD_FORMS
 from tomeglass.plans.derived import DIM, FIELDS, Corpus, corpus
 from tomeglass.session import fresh_path, spread
 from tomeglass.sources import index_store, lines, models
@@ -332,7 +335,30 @@ def search_multifield(c: Corpus) -> DataFrame:
 def search_syntax(c: Corpus) -> DataFrame:
     """Signs, fields and phrases."""
     asked = c.spark.createDataFrame(list(enumerate(SYNTAX_TEXTS)), "query_id bigint, text string")
-    return lex.search_syntax(c.index, c.documents, asked, fields=FIELDS)
+    return lex.search_syntax(c.index, asked, fields=FIELDS)
+
+
+@query
+def search_phrases(c: Corpus) -> DataFrame:
+    """Phrases, some of whose words may stand apart."""
+    return mt.search(c.index, PHRASES, fields=FIELDS)
+
+
+@query
+def term_expansion(c: Corpus) -> DataFrame:
+    """The terms that prefixes, patterns and similar words stand for."""
+    return mt.expanded_terms(c.index, WORD_FORMS, FIELDS).withColumn("leaf", F.col("leaf").cast("bigint"))
+
+
+@query
+def search_word_forms(c: Corpus) -> DataFrame:
+    return mt.search(c.index, WORD_FORMS, fields=FIELDS)
+
+
+@query
+def search_nested(c: Corpus) -> DataFrame:
+    """Conditions within conditions."""
+    return mt.search(c.index, NESTED, fields=FIELDS)
 
 
 @query
@@ -376,27 +402,36 @@ def similar_topics(c: Corpus) -> DataFrame:
     return tp.similar_topics(c.model().topic_word)
 
 
-def _label_cells(c: Corpus) -> kn.ApproximateHits:
-    centres = kn.nn.as_matrix(c.centres.orderBy("query_id").toArrow()["embedding"], DIM)
-    return kn.knn_approx(c.vectors, c.vectors.withColumnRenamed("doc_id", "query_id"), centres, 3, exclude_self=True)
+# Label centres visited by a query of the search within given cells, of ten.
+GIVEN_PROBE = 9
+
+
+def _label_cells(c: Corpus) -> qz.CodeHits:
+    return qz.search(c.codes_by_label, c.vectors.withColumnRenamed("doc_id", "query_id"), probe=GIVEN_PROBE, exclude_self=True)
 
 
 @query
 def knn_approx_given_cells(c: Corpus) -> DataFrame:
-    """Approximate neighbours within the three nearest label centres."""
+    """Neighbours by their codes, within the label centres nearest to each query."""
     return _label_cells(c).hits
 
 
 @query
 def knn_approx(c: Corpus) -> DataFrame:
-    """Approximate neighbours within the four nearest of sixteen k-means cells."""
-    centres = kn.train_cells(c.vectors, 16, DIM)
-    return kn.knn_approx(c.vectors, c.vectors.withColumnRenamed("doc_id", "query_id"), centres, 4, exclude_self=True).hits
+    """Neighbours by their codes around sixteen k-means cells, all of which are visited."""
+    return qz.search(c.codes, c.vectors.withColumnRenamed("doc_id", "query_id"), exclude_self=True).hits
+
+
+@query
+def knn_approx_by_blocks(c: Corpus) -> DataFrame:
+    """The same by the plan for query sets too large to broadcast."""
+    everything = c.vectors.withColumnRenamed("doc_id", "query_id")
+    return qz.search(c.codes, everything, exclude_self=True, broadcast_bytes=0, block_rows=512).hits
 
 
 @query
 def knn_approx_quality(c: Corpus) -> DataFrame:
-    """Recall and share of candidates of the approximate search, always together."""
+    """Recall and share of candidates of the search within given cells, always together."""
     everything = c.vectors.withColumnRenamed("doc_id", "query_id")
     exact = kn.knn(c.vectors, everything, DIM, exclude_self=True)
     return kn.recall_and_share(_label_cells(c), exact, c.vectors, everything)

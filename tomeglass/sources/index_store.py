@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeglass.operators.lexical import TextIndex, by_document, field_stats, postings, term_counts, token_arrays
+from tomeglass.operators.lexical import TextIndex, by_document, field_stats, postings, term_counts, term_grams, token_arrays
 
 
 BUCKET_BYTES = 256 << 20
@@ -39,7 +39,7 @@ def read_postings(spark: SparkSession, path: str, buckets: int) -> DataFrame:
     """The postings with their bucketing; a catalogue entry is made where this catalogue has none for the path."""
     name, location = _table(path, buckets), path.replace("'", "\\'")
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} (doc_id BIGINT, field STRING, term STRING, tf BIGINT, dl INT) USING parquet "
+        f"CREATE TABLE IF NOT EXISTS {name} (doc_id BIGINT, field STRING, term STRING, tf BIGINT, dl INT, positions ARRAY<INT>) USING parquet "
         f"CLUSTERED BY (doc_id) SORTED BY (field, term) INTO {buckets} BUCKETS LOCATION '{location}'"
     )
     return spark.table(name)
@@ -60,6 +60,8 @@ def write_index(documents: DataFrame, fields: list[str], path: str, buckets: int
     spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/layout")
     stored = read_postings(spark, f"{path}/postings", buckets)
     term_counts(stored).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/term_stats")
+    grams = term_grams(spark.read.parquet(f"{path}/term_stats"))
+    grams.repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
     field_stats(stored, documents.count()).write.mode("overwrite").parquet(f"{path}/field_stats")
     return read_index(spark, path)
 
@@ -70,4 +72,5 @@ def read_index(spark: SparkSession, path: str) -> TextIndex:
         postings=read_postings(spark, f"{path}/postings", buckets),
         term_stats=spark.read.parquet(f"{path}/term_stats"),
         field_stats=spark.read.parquet(f"{path}/field_stats"),
+        grams=spark.read.parquet(f"{path}/grams"),
     )
