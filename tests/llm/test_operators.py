@@ -5,6 +5,7 @@ import textwrap
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -413,6 +414,21 @@ def test_templates_follow_the_labels(spark):
     assert {r["template"] for r in merged if r["page_id"] < 400} == {"/+/*/page.html"}
 
 
+def test_secrets_are_random_and_assigned():
+    found = lambda text: [(pii.KINDS[k], text[s:e]) for s, k, e, _ in pii.more_spans(text, pii.base_spans(text), pii.Scores())]
+    hexes, mixed = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "AKfj83kd0Lm2/xY7+qWe9rTz=="
+    assert found(f'token = "{hexes}"') == [("secret", hexes)] == found(f"API_KEY: {hexes}") == found(f"Authorization: Bearer {hexes}")
+    assert found(f"password={mixed}!") == [("secret", mixed)]
+    # Without a word or a sign before it, of few characters, of letters only, or repeating itself, a run is no secret.
+    for text in (f"see {hexes}", f"token {hexes} x", f"build = {hexes}", "token = abc123", "token = abcdefghijklmnopqrstuvwx", "key = " + "ab1" * 20, "key = 1234567890123456789012"):
+        assert found(text) == [], text
+    assert pii.masked(f'a token = "{hexes}" b') == 'a token = "<SECRET>" b'
+    # A card number may stand within it; the whole goes.
+    within = "0f4539578763621486aa9c3e7b"
+    assert pii.masked(f"secret: {within}.") == "secret: <SECRET>."
+    assert [kind for kind, _ in found(f"secret: {within}.")] == ["secret"]
+
+
 def test_blocks_of_broken_pages():
     cut = lambda page: [b.text for b in html_blocks.blocks(page)]
     assert cut("<p>a &amp; b&nbsp;c<br>d<p>e<script>var t='</p>';</script>f<!-- x --><div>g") == ["a & b c d", "e", "f", "g"] or cut(
@@ -431,7 +447,7 @@ def test_head_without_an_end():
 
 
 def test_every_word_digit_and_name_counts():
-    block = lambda text, names: html_blocks.vectors([html_blocks.Block(text, ("div", "p"), names, 0)])[0]
+    block = lambda text, names: html_blocks.vectors(html_blocks.measured([html_blocks.Block(text, ("div", "p"), (names, ()), 0)]))[0]
     plain = block("word " * 400 + "end", ("x",) * 20)
     assert (block("word " * 400 + "© reply", ("x",) * 20)[html_blocks.PATH_WIDTH : html_blocks.PATH_WIDTH + html_blocks.WORD_WIDTH] != plain[html_blocks.PATH_WIDTH : html_blocks.PATH_WIDTH + html_blocks.WORD_WIDTH]).any()
     assert (block("word " * 400 + "end", ("comments",) + ("x",) * 20) != plain).any()
@@ -444,7 +460,7 @@ def test_outer_names_decide_below_many_classes():
     inside = lambda low, high: "".join(f'<div class="{utility}"><p>{prose(low, high)}</p></div>' for _ in range(3))
     for name in ("sidebar", "cookie notice", "comments"):
         pages = [f'<body><article><h1>{prose(3, 9)}</h1>{inside(20, 60)}</article><div class="{name}">{inside(10, 30)}</div></body>' for _ in range(20)]
-        found = html_blocks.labels(html_blocks.train(), [html_blocks.vectors(html_blocks.blocks(p)) for p in pages])
+        found = html_blocks.labels(html_blocks.train(), [html_blocks.blocks(p) for p in pages])
         assert np.mean([f == ([True] * 4 + [False] * 3) for f in found]) > 0.95
 
 
@@ -463,10 +479,56 @@ def test_main_text(spark):
 def test_labeller_on_pages_it_has_not_seen():
     model, author = html_blocks.train(), html_blocks.Author(1234)
     made = [p for p in (author.page() for _ in range(150)) if p[0]]
-    guessed = html_blocks.labels(model, [html_blocks.vectors(found) for found, _ in made])
+    guessed = html_blocks.labels(model, [found for found, _ in made])
     assert np.mean(np.concatenate(guessed) == np.concatenate([y for _, y in made])) > 0.99
 
 
+def changed(change):
+    """The given pages with one change each; the article's own blocks are their main text."""
+    pages = ds.dataset("/root/testdata/sf0.01/pages.parquet").to_table(columns=["html"]).column("html").to_pylist()
+    wanted = [[b.text for b in html_blocks.blocks(p) if "article" in b.path] for p in pages]
+    return [html_blocks.blocks(change(p)) for p in pages], wanted
+
+
+LOOKS = '<article class="css-1ab z9k w-full"><p class="sc-foo lead-9">'
+AUTHOR = html_blocks.Author(99)
+CHANGES = {
+    "none": lambda p: p,
+    "look-only classes": lambda p: p.replace("<article>", LOOKS[:-len('<p class="sc-foo lead-9">')]).replace("<p>", '<p class="sc-foo lead-9">'),
+    "div with a plain id": lambda p: p.replace("<article>", '<div id="text">').replace("</article>", "</div>"),
+    "plain div": lambda p: p.replace("<article>", "<div>").replace("</article>", "</div>"),
+    "telling body": lambda p: p.replace("<body>", '<body class="home page-template-default single-post">'),
+    "more of a telling body": lambda p: p.replace("<body>", '<body class="blog has-sidebar comments-open archive logged-in">'),
+    "telling wrapper": lambda p: p.replace("<body>", '<body><div class="page has-sidebar">').replace("</body>", "</div></body>"),
+    "side bar inside": lambda p: p.replace("</article>", f'<aside class="related"><p>{AUTHOR.prose(5, 20)}</p></aside></article>'),
+    "side bar in the middle": lambda p: p.replace("</h1>", f'</h1><div class="relatedPosts"><ul><li><a href="/x">{AUTHOR.prose(3, 9)}</a></li></ul></div>', 1),
+    "thread of replies": lambda p: p.replace("</article>", f'</article><div id="disqus_thread"><div class="reply">{AUTHOR.prose(5, 30)}</div><div class="reply"><p>{AUTHOR.prose(5, 30)}</p></div></div>'),
+    "comments inside": lambda p: p.replace("</article>", f'<section id="comments"><div class="comment-body"><p>{AUTHOR.prose(5, 30)}</p></div></section></article>'),
+    "form inside": lambda p: p.replace("</article>", f"<form><label>{AUTHOR.prose(1, 4)}</label><p>{AUTHOR.prose(2, 12)}</p></form></article>"),
+    "wrapped": lambda p: p.replace("<article>", '<div class="content-area"><main id="main"><div class="wp-block x1"><article>').replace("</article>", "</article></div></main></div>"),
+    "notice before": lambda p: p.replace("<article>", f'<div id="CookieConsent" role="dialog"><p>{AUTHOR.prose(5, 30)}</p></div><article>'),
+}
+
+
+@pytest.mark.parametrize("change", CHANGES)
+def test_main_text_of_changed_pages(change):
+    found, wanted = changed(CHANGES[change])
+    main = html_blocks.labels(html_blocks.train(), found)
+    got = [[b.text for b, m in zip(f, ms) if m] for f, ms in zip(found, main)]
+    assert np.mean([g == w for g, w in zip(got, wanted)]) >= 0.98
+
+
+def test_a_page_looked_at_in_parts():
+    found = [html_blocks.blocks("<div>" + "".join(f"<p>{html_blocks.Author(i).prose(1, 9)}</p><nav>x</nav>" for i in range(n)) + "</div>") for n in (1, 7, 60)]
+    model = html_blocks.train()
+    pages = [html_blocks.measured(f) for f in found]
+    whole = model.page_chances(pages, 1000)
+    for at_once in (1, 17, 120):
+        parts = model.page_chances(pages, at_once)
+        for i, f in enumerate(found):
+            assert np.allclose(parts[: len(f), i], whole[: len(f), i], atol=1e-5)
+
+
 def test_gradients_of_the_labeller():
     how = html_blocks.Settings(cells=3)
     model = html_blocks.Labeller(how)

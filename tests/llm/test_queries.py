@@ -20,7 +20,7 @@ from tomeglass.llm import near_dedup
 from tomeglass.llm.oracles import LLM_ORACLES
 from tomeglass.llm.queries import LLM_QUERIES
 
-WITHOUT_SQL = {"op3_fourier_quality", "op5_checked_spans", "op6_block_labels", "op7_piece_counts", "op8_best_fit"}
+WITHOUT_SQL = {"op3_fourier_quality", "op5_checked_spans", "op6_block_labels", "op7_piece_counts", "op8_best_fit", "op11_word_languages"}
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +42,7 @@ def result(spark, name):
 
 def test_every_query_has_sql_or_a_reason():
     assert set(LLM_QUERIES) - set(LLM_ORACLES) == WITHOUT_SQL
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", name)[0] for name in LLM_QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", name)[0] for name in LLM_QUERIES}
     assert {"pipeline", *LLM_QUERIES} <= set(entry.queries())
 
 
@@ -177,6 +177,46 @@ def test_pipeline_stage_by_stage(spark, duck, texts):
     assert packed_right(kept["packing"].collect(), token_ids({i: r.text for i, r in masked.items()})) > 0.9
 
 
+def test_languages_of_documents_held_out(spark, duck):
+    rows = {r.doc_id: r for r in result(spark, "op11_word_languages").collect()}
+    given = dict(duck.execute("SELECT doc_id, lang FROM documents").fetchall())
+    assert rows.keys() == given.keys()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 for i, r in rows.items())
+    assert np.mean([rows[i].lang_pred == lang for i, lang in given.items() if rows[i].held_out]) > 0.97
+
+
+SECRET = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    """Rows that share or lack a doc_id, repeated rows, missing texts, and columns that are called like those of the stages."""
+    prose = [" ".join(f"w{(7 * i * (k + 1)) % 1009}" for i in range(60)) for k in range(4)]
+    rows = [(1, prose[0]), (1, prose[0]), (2, prose[0]), (2, prose[1]), (None, prose[1]), (None, prose[2]), (None, prose[2]), (3, None), (3, ""), (4, f'x token = "{SECRET}" y')]
+    docs = spark.createDataFrame([(*r, "en", "s", 5, "r", "c") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars int, row string, component_id string")
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["near_duplicates"](spark, docs, TINY)
+    assert kept.columns == docs.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert found == Counter({(1, prose[0]): 1, (2, prose[1]): 1, (None, prose[2]): 1, (3, None): 1, (3, ""): 1, rows[-1]: 1})
+    item = spark.read.parquet(f"{TINY}/benchmark.parquet").first().text
+    dirty = docs.limit(0).unionByName(spark.createDataFrame([(i, t, "en", "s", 5, "r", "c") for i, t in ((1, "a " + item), (1, prose[0]), (None, item), (None, None))], docs.schema))
+    clean = stage["decontamination"](spark, dirty, TINY)
+    assert clean.columns == docs.columns and Counter((r.doc_id, r.text) for r in clean.collect()) == Counter([(1, prose[0]), (None, None)])
+    masked = {r.text: r.n_chars for r in stage["pii"](spark, docs, TINY).collect()}
+    assert masked['x token = "<SECRET>" y'] == 22 and masked[None] == 5 and not any(SECRET in (t or "") for t in masked)
+    assert "n_chars" not in stage["pii"](spark, docs.drop("n_chars"), TINY).columns
+    for name, run in corpus_pipeline.STAGES:
+        assert run(spark, docs.limit(0), TINY).count() == 0, name
+        assert run(spark, docs, TINY).count() > 0, name
+
+
+def test_no_secret_is_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[0-9a-f]{40}'")
+    assert docs.count() > 5
+    left = dict(corpus_pipeline.STAGES)["pii"](spark, docs, TINY).where("text rlike '[0-9a-f]{40}'")
+    assert left.count() == 0
+
+
 def test_bands_hold_a_true_link():
     how = near_dedup.Method()
     assert (1 - 0.8**how.band) ** how.bands < 5e-6

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 import zlib
@@ -29,19 +28,44 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-PART = re.compile(r"[A-Za-z]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"[\s\x00]+")
 
-PATH_WIDTH, WORD_WIDTH, PLAIN = 512, 32, 10
+# Elements that have a place of their own in a block's vector; those of them that say what they hold; and the parts of
+# classes, ids and roles that do. Other names say how an element looks, or nothing, and count for nothing.
+TAGS = (
+    "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
+    " header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
+).split()
+TELLING_TAGS = frozenset("article aside dialog footer form header main menu nav".split())
+TELLING = (
+    "article blog body content entry main post prose story"
+    " breadcrumb menu nav navbar navigation pager pagination skip tab toolbar"
+    " banner header hero logo masthead topbar"
+    " colophon copyright footer imprint legal"
+    " archive aside category popular recent recommended related side sidebar tag trending widget"
+    " alert consent cookie gdpr modal newsletter notice overlay paywall popup subscribe"
+    " ad ads advert advertisement advertising promo promoted promotion sponsor sponsored"
+    " contact form login register search signup"
+    " comment commentlist discussion disqus feedback reply replies respond response review thread"
+    " author byline follow meta share social"
+).split()
+
+TAG_SLOT = {tag: i for i, tag in enumerate(TAGS)}
+NAME_SLOT = {name: i for i, name in enumerate(TELLING)}
+# A path's elements, its last one, all telling names on it, and the innermost telling element's tag and names.
+LEAF, NAMES = len(TAGS) + 1, 2 * (len(TAGS) + 1)
+NEAR_TAG, NEAR_NAME = NAMES + len(TELLING), NAMES + len(TELLING) + len(TAGS) + 1
+PATH_WIDTH, WORD_WIDTH, PLAIN = NEAR_NAME + len(TELLING), 32, 10
 WIDTH = PATH_WIDTH + WORD_WIDTH + PLAIN
 
 
 class Block(NamedTuple):
-    """Text of a leaf block, its elements from the root on, the names and classes on that path, and how much of it is links."""
+    """Text of a leaf block, its elements from the root on, the names and classes of each, and how much of it is links."""
 
     text: str
     path: tuple[str, ...]
-    names: tuple[str, ...]
+    names: tuple[tuple[str, ...], ...]
     linked: int
 
 
@@ -61,7 +85,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text and "head" not in path:
-            out.append(Block(text, tuple(path), tuple(n for some in names for n in some), min(linked, len(text))))
+            out.append(Block(text, tuple(path), tuple(names), min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -136,35 +160,59 @@ def blocks(page: str) -> list[Block]:
 
 
 @lru_cache(100_000)
-def _slot(kind: str, name: str, width: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{kind} {name}".encode("utf-8", "replace"), digest_size=4).digest()) % width
+def _name_slots(names: tuple[str, ...]) -> frozenset[int]:
+    """Places of the telling names among ``names``; a plural counts as its singular."""
+    slots = (NAME_SLOT.get(n, NAME_SLOT.get(n[:-1]) if n.endswith("s") else None) for n in names)
+    return frozenset(s for s in slots if s is not None)
+
+
+@lru_cache(100_000)
+def _path_slots(path: tuple[str, ...], names: tuple[tuple[str, ...], ...]) -> tuple[int, ...]:
+    slots = {TAG_SLOT.get(tag, len(TAGS)) for tag in path}
+    if path:
+        slots.add(LEAF + TAG_SLOT.get(path[-1], len(TAGS)))
+    near = False
+    for tag, own in zip(reversed(path), reversed(names)):
+        # What the page as a whole is called says nothing about its parts.
+        told = _name_slots(own) if tag not in ("html", "body") else frozenset()
+        slots.update(NAMES + i for i in told)
+        if not near and (told or tag in TELLING_TAGS):
+            near = True
+            slots.update(NEAR_NAME + i for i in told)
+            slots.add(NEAR_TAG + TAG_SLOT.get(tag, len(TAGS)))
+    return tuple(slots)
 
 
 def _word_slot(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % WORD_WIDTH
 
 
-def vectors(found: list[Block]) -> np.ndarray:
-    """One row per block: hashed elements and names of its path, hashed words, and plain measures."""
-    rows = np.zeros((len(found), WIDTH), np.float32)
+class Measured(NamedTuple):
+    """The blocks of a page, and the share of its text before the end of each."""
+
+    blocks: list[Block]
+    before: np.ndarray
+
+
+def measured(found: list[Block]) -> Measured:
     lengths = np.array([len(b.text) for b in found], np.float32)
-    before = np.cumsum(lengths) / max(float(lengths.sum()), 1.0)
-    for i, block in enumerate(found):
+    return Measured(found, np.cumsum(lengths) / max(float(lengths.sum()), 1.0))
+
+
+def vectors(page: Measured, first: int = 0, last: int | None = None) -> np.ndarray:
+    """One row per block from ``first`` to ``last``: elements and telling names of its path, hashed words, and plain measures."""
+    some = page.blocks[first:last]
+    rows = np.zeros((len(some), WIDTH), np.float32)
+    for i, block in enumerate(some):
         row = rows[i]
-        for tag in set(block.path):
-            row[_slot("tag", tag, PATH_WIDTH)] = 1
-        if block.path:
-            row[_slot("leaf", block.path[-1], PATH_WIDTH)] += 1
-        for name in set(block.names):
-            row[_slot("name", name, PATH_WIDTH)] += 1
+        row[list(_path_slots(block.path, block.names))] = 1
         words = block.text.lower().split(" ")
-        used = row[PATH_WIDTH : PATH_WIDTH + WORD_WIDTH]
-        np.add.at(used, [_word_slot(word) for word in words], 1)
-        used /= max(float(np.sqrt((used**2).sum())), 1.0)
+        used = np.bincount([_word_slot(word) for word in words], minlength=WORD_WIDTH).astype(np.float32)
+        row[PATH_WIDTH : PATH_WIDTH + WORD_WIDTH] = used / max(float(np.sqrt((used**2).sum())), 1.0)
         n, size = len(words), max(len(block.text), 1)
         row[-PLAIN:] = (
             np.log1p(n) / 4, block.linked / size, block.text[-1] in ".!?", sum(map(block.text.count, ",.;")) / n, any(c in block.text for c in "©|·»"),
-            sum(map(str.isdigit, block.text)) / size, i / max(len(found) - 1, 1), float(before[i]), len(block.path) / 10, n < 4,
+            sum(map(str.isdigit, block.text)) / size, (first + i) / max(len(page.blocks) - 1, 1), float(page.before[first + i]), len(block.path) / 10, n < 4,
         )
     return rows
 
@@ -199,10 +247,11 @@ class Labeller:
             self.w[f"{d}b"] = np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)])
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """States of one direction; x is (time, pages, width), rows beyond a page's end keep the state."""
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, begin: tuple[np.ndarray, np.ndarray] | None = None, keep: bool = True) -> tuple[np.ndarray, list, tuple]:
+        """States of one direction; x is (time, pages, width), rows beyond a page's end keep the state. Goes on from ``begin``, and keeps
+        what learning needs."""
         h, time = self.cells, range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        state = memory = np.zeros((x.shape[1], h), np.float32)
+        state, memory = begin or (np.zeros((x.shape[1], h), np.float32),) * 2
         inputs = x @ self.w[f"{d}x"] + self.w[f"{d}b"]
         out, tape = np.zeros((*x.shape[:2], h), np.float32), []
         for t in time:
@@ -211,11 +260,12 @@ class Labeller:
             new = f * memory + i * g
             bent = np.tanh(new)
             m = mask[t][:, None]
-            tape.append((t, i, f, o, g, memory, bent, state))
+            if keep:
+                tape.append((t, i, f, o, g, memory, bent, state))
             memory = np.where(m, new, memory)
             state = np.where(m, o * bent, state)
             out[t] = state
-        return out, tape
+        return out, tape, (state, memory)
 
     def _back(self, d: str, x: np.ndarray, mask: np.ndarray, tape: list, grad_out: np.ndarray, grads: dict) -> None:
         h = self.cells
@@ -237,9 +287,23 @@ class Labeller:
         grads[f"{d}b"] = d_inputs.sum(axis=(0, 1))
 
     def chances(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(d, x, mask)[0] for d in "fb"], axis=2)
+        both = np.concatenate([self._run(d, x, mask, keep=False)[0] for d in "fb"], axis=2)
         return _sigmoid((both @ self.w["o"])[..., 0] + self.w["ob"])
 
+    def page_chances(self, pages: list[Measured], at_once: int) -> np.ndarray:
+        """How likely each block is main text, as (time, pages); ``at_once`` blocks of the longest page are looked at together."""
+        longest = max(len(p.blocks) for p in pages)
+        score = np.full((longest, len(pages)), self.w["ob"][0])
+        starts, last = range(0, longest, at_once), None
+        for d, half in (("f", self.w["o"][: self.cells]), ("b", self.w["o"][self.cells :])):
+            begin = None
+            for first in starts if d == "f" else reversed(starts):
+                if last is None or last[0] != first:
+                    last = (first, *_padded([vectors(p, first, first + at_once) for p in pages]))
+                out, _, begin = self._run(d, last[1], last[2], begin, keep=False)
+                score[first : first + len(out)] += (out @ half)[..., 0]
+        return _sigmoid(score)
+
     def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross entropy over all blocks."""
         runs = {d: self._run(d, x, mask) for d in "fb"}
@@ -253,21 +317,22 @@ class Labeller:
 
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    longest = max(map(len, pages))
+    longest = max(1, *map(len, pages))
     x, mask = np.zeros((longest, len(pages), WIDTH), np.float32), np.zeros((longest, len(pages)), bool)
     for i, rows in enumerate(pages):
         x[: len(rows), i], mask[: len(rows), i] = rows, True
     return x, mask
 
 
-def labels(model: Labeller, pages: list[np.ndarray], at_once: int = 20_000) -> list[np.ndarray]:
-    """Whether each block belongs to the main text; pages of like length go together, at most ``at_once`` padded rows."""
+def labels(model: Labeller, pages: list[list[Block]], at_once: int = 20_000) -> list[np.ndarray]:
+    """Whether each block belongs to the main text. Pages of like length go together, at most ``at_once`` padded rows; of a longer
+    page so many rows are looked at together, with what came before and after handed on."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
     while order:
         some = order[-max(1, at_once // len(pages[order[-1]])) :]
         del order[-len(some) :]
-        chances = model.chances(*_padded([pages[i] for i in some]))
+        chances = model.page_chances([measured(pages[i]) for i in some], at_once)
         for column, i in enumerate(some):
             out[i] = chances[: len(pages[i]), column] >= 0.5
     return out
@@ -279,17 +344,20 @@ def labels(model: Labeller, pages: list[np.ndarray], at_once: int = 20_000) -> l
 SYLLABLES = "an at be da de el en er es ga ha in ia ka la le lo ma mi na ne no on or ra re ri sa se si ta te ti to un ver wo ze".split()
 # Names that say how an element looks, not what it holds.
 UTILITY = "flex grid row col container px py mx my text bg border rounded shadow md lg xl hidden block center gap items justify leading font bold gray white".split()
-MAIN = [("article", ""), ("main", ""), ("article", "post"), ("div", "content"), ("div", "article body"), ("div", "entry content"), ("section", "story"), ("div", "post text"), ("td", "main")]
+MAIN = [
+    ("article", ""), ("main", ""), ("article", "post"), ("div", "content"), ("div", "article body"), ("div", "entry content"), ("section", "story"), ("div", "post text"),
+    ("td", "main"), ("div", ""), ("div", "text"), ("section", ""), ("td", ""),
+]
 # Surroundings of a main text: element, class or id, and words that are typical of it.
 AROUND = {
     "menu": ([("nav", ""), ("div", "nav menu"), ("ul", "menu"), ("div", "navbar"), ("nav", "breadcrumb")], "home contact about news login search archive".split()),
     "head": ([("header", ""), ("div", "header banner"), ("div", "masthead")], "welcome subscribe home since".split()),
     "foot": ([("footer", ""), ("footer", ""), ("div", "footer"), ("div", "copyright legal")], "© · copyright rights reserved privacy terms imprint".split()),
-    "side": ([("aside", ""), ("div", "sidebar"), ("aside", "related"), ("div", "widget recent")], "related popular recent more read also tags".split()),
+    "side": ([("aside", ""), ("div", "sidebar"), ("aside", "related"), ("div", "widget recent"), ("div", "related posts"), ("section", "recommended")], "related popular recent more read also tags".split()),
     "notice": ([("div", "cookie notice"), ("div", "banner consent"), ("section", "notice alert"), ("div", "newsletter popup")], "cookies accept we use policy subscribe notice".split()),
     "advert": ([("div", "ad"), ("div", "ads sponsored"), ("aside", "advert promo"), ("div", "advertisement")], "buy now sponsored offer sale advertisement".split()),
     "form": ([("form", ""), ("form", "search"), ("form", "login comment")], "name email submit send password search".split()),
-    "comments": ([("section", "comments"), ("div", "comments"), ("div", "comment list"), ("ol", "commentlist")], "says reply commented on great thanks".split()),
+    "comments": ([("section", "comments"), ("div", "comments"), ("div", "comment list"), ("ol", "commentlist"), ("div", "disqus thread"), ("div", "replies"), ("section", "discussion"), ("div", "respond")], "says reply commented on great thanks".split()),
 }
 
 
@@ -301,6 +369,7 @@ class Author:
         self.main: set[str] = set()
         self.oddness = 0.0
         self.utility = 0
+        self.nested = 0.0
 
     def named(self, name: str) -> str:
         """A class list: on some pages its own names stand among many that say nothing."""
@@ -375,6 +444,8 @@ class Author:
                 out.append(f"<blockquote>{self.note(self.prose(5, 30))}</blockquote>")
             if self.rng.random() < 0.12:
                 out.append(self.around("advert"))
+            if self.rng.random() < self.nested:
+                out.append(self.around(self.pick(["side", "side", "form", "notice", "comments", "foot", "menu", "advert"])))
         if not self.main:
             out.append(f"<p>{self.note(self.prose(2, 40))}</p>")
         return f'<{tag} class="{self.named(name)}">' + self.wrapped("".join(out)) + f"</{tag}>"
@@ -393,7 +464,7 @@ class Author:
         elif kind == "form":
             inner = f"<label>{plain(1, 4)}</label><input name=q><button>{plain(1, 3)}</button><p>{plain(2, 12)}</p>"
         elif kind == "comments":
-            inner = self.pick([f"<h3>{plain(1, 4)}</h3>", ""]) + "".join(f'<div class="{self.named(self.pick(["comment", "comment", ""]))}">{self.pick([f"<span>{plain(1, 3)}</span>", ""])}{self.wrapped(f"<p>{self.prose(3, 40) if self.rng.random() < 0.95 else self.prose(100, 400)}</p>")}</div>' for _ in range(int(self.rng.integers(1, 5))))
+            inner = self.pick([f"<h3>{plain(1, 4)}</h3>", ""]) + "".join(f'<div class="{self.named(self.pick(["comment", "comment", "reply", "response", "", "post", "content body"]))}">{self.pick([f"<span>{plain(1, 3)}</span>", ""])}{self.wrapped(f"<p>{self.prose(3, 40) if self.rng.random() < 0.95 else self.prose(100, 400)}</p>")}</div>' for _ in range(int(self.rng.integers(1, 5))))
         elif self.rng.random() < 0.6:
             inner = self.pick(["{}", "<p>{}</p>", "<span>{}</span>", "&copy; {}", "&copy; name.example &middot; {}"]).format(html.escape(self.prose(2, 25)))
         else:
@@ -405,11 +476,16 @@ class Author:
         self.main = set()
         self.oddness = self.pick([0.0, 0.1, 0.5, 0.9])
         self.utility = self.pick([0, 0, 8, 30])
+        self.nested = self.pick([0.0, 0.0, 0.15, 0.4])
         body = self.body()
         before = "".join(self.around(k) for k in ("notice", "head", "menu", "advert", "side", "form") if self.rng.random() < 0.45)
         after = "".join(self.around(k) for k in ("comments", "side", "advert", "form", "notice", "foot") if self.rng.random() < 0.45)
         shell = self.pick(["{}{}{}", "{}{}{}", '<div class="wrapper">{}{}{}</div>', "<table><tr><td>{}</td><td>{}</td><td>{}</td></tr></table>", '<div id="page">{}{}</div>{}'])
-        found = blocks(f"<html><head><title>t</title></head><body>{shell.format(before, body, after)}</body></html>")
+        inner = shell.format(before, body, after)
+        if self.rng.random() < 0.3:
+            names = ["content", "main", "page", "post", "blog", "container", "with", "has", *(self.pick(TELLING) for _ in range(2))]
+            inner = f'<div class="{" ".join(self.pick(names) for _ in range(int(self.rng.integers(1, 5))))}">{inner}</div>'
+        found = blocks(f"<html><head><title>t</title></head><body>{inner}</body></html>")
         return found, np.array([b.text in self.main for b in found], np.float32)
 
 
@@ -418,7 +494,7 @@ def train(how: Settings = Settings()) -> Labeller:
     """A labeller that has learnt from ``how.pages`` made-up pages; the same settings give the same weights."""
     author, model = Author(how.seed), Labeller(how)
     made = [author.page() for _ in range(how.pages)]
-    made = [(vectors(found), y) for found, y in made if found]
+    made = [(vectors(measured(found)), y) for found, y in made if found]
     rng = np.random.default_rng(how.seed)
     mean = {k: np.zeros_like(v) for k, v in model.w.items()}
     square = {k: np.zeros_like(v) for k, v in model.w.items()}
@@ -456,7 +532,7 @@ def main_text(pages: DataFrame, how: Settings = Settings()) -> DataFrame:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 found = [blocks(p.as_py() or "") for p in part.column("html")]
-                main = labels(model.value, [vectors(f) for f in found])
+                main = labels(model.value, found)
                 texts = ["\n".join(b.text for b, m in zip(f, ms) if m) for f, ms in zip(found, main)]
                 rows = [[{"text": b.text, "path": "/".join(b.path), "main": bool(m)} for b, m in zip(f, ms)] for f, ms in zip(found, main)]
                 yield pa.record_batch(
