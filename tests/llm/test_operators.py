@@ -414,6 +414,24 @@ def test_templates_follow_the_labels(spark):
     assert {r["template"] for r in merged if r["page_id"] < 400} == {"/+/*/page.html"}
 
 
+def test_templates_of_deep_paths_and_a_hot_host(spark, monkeypatch):
+    """Nine tenths of all rows on one host, names below many wildcards, one very long URL, and tied rules."""
+    deep = "/".join(["a", "{0}", "c", "{0}", "e", "f", "{0}", "{1}", "x.html"])
+    rows = [(i, "https://hot.example/" + deep.format(i, "good" if i % 2 else "spam")) for i in range(360)]
+    rows += [(1000 + i, f"http://h{i}.example/p{i}") for i in range(40)] + [(2000, "http://long.example/" + "s/" * 300 + "x" * 200_000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    known = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(0, 360, 3)] + [(1000 + i, 0) for i in range(40)], "page_id bigint, bad int")
+    rules = [("example/p1", "block"), ("h1.example/", "allow")]
+    for limit in (url_filter.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+        found = {r["page_id"]: r for r in dicts(url_filter.judge_urls(df, known, rules))}
+        assert len(found) == len(rows)
+        assert {found[i]["template"] for i in range(360)} == {"/a/*/c/*/e/f/*/good/x.html", "/a/*/c/*/e/f/*/spam/x.html"}
+        assert all((found[i]["verdict"] == "block") == (i % 2 == 0) for i in range(360))
+        assert found[2000]["template"] == "/*" * 301 and found[2000]["verdict"] == "allow"
+        assert found[1010]["rule"] == "example/p1" and found[1001]["rule"] == "h1.example/"
+
+
 def test_secrets_are_random_and_assigned():
     found = lambda text: [(pii.KINDS[k], text[s:e]) for s, k, e, _ in pii.more_spans(text, pii.base_spans(text), pii.Scores())]
     hexes, mixed = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "AKfj83kd0Lm2/xY7+qWe9rTz=="

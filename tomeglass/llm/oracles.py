@@ -16,8 +16,8 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def url_templates(limits: UrlLimits = UrlLimits()) -> str:
-    """The tree unrolled to its greatest depth."""
+def url_templates(limits: UrlLimits = UrlLimits(), d: int = 6) -> str:
+    """The tree unrolled to ``d`` levels, more than a given path has."""
     rules = sorted(URL_RULES, key=lambda r: -len(r[0]))
     fits = [
         (f"(host = {_text(r.partition('/')[0])} OR ends_with(host, {_text('.' + r.partition('/')[0])})) AND starts_with(path, {_text('/' + r.partition('/')[2])})", r, v)
@@ -25,7 +25,6 @@ def url_templates(limits: UrlLimits = UrlLimits()) -> str:
     ]
     rule = "CASE " + " ".join(f"WHEN {f} THEN {_text(r)}" for f, r, _ in fits) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN {_text(v)}" for f, _, v in fits) + " END"
-    d = limits.depth
     parts = [
         "bads AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id)",
         r"""after AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
@@ -33,8 +32,7 @@ def url_templates(limits: UrlLimits = UrlLimits()) -> str:
         rf"""parsed AS (SELECT page_id, number, translate(regexp_extract(rest, '^[^/?#]*'), {LETTERS}) AS host,
             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM after)""",
         "cut AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS whole FROM parsed)",
-        f"""l0 AS (SELECT page_id, host, path, bad, '' AS template, CASE WHEN len(whole) > {d}
-            THEN list_append(whole[1:{d - 1}], array_to_string(whole[{d}:], '/')) ELSE whole END AS segs
+        """l0 AS (SELECT page_id, host, path, bad, '' AS template, whole AS segs
             FROM cut LEFT JOIN bads ON bads.doc_id = CASE WHEN number <> '' THEN CAST(number AS BIGINT) END)""",
     ]
     for i in range(d):

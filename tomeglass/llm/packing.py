@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -136,12 +137,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, g
     """Pieces of all ``docs`` (doc_id, text) with ``sequence_id`` and ``offset``: every id lies in exactly one piece.
 
     A document is its ids by ``tokenizer`` (a file that every executor can read) and ``end_id``; a missing text is an empty
-    one. Pieces are dealt evenly into groups of about ``group_rows`` documents, whatever their doc_id, and each
-    group is packed on its own, so that a task never holds more than a group; at that size the padding of best-fit
-    decreasing is well below one percent. Sequences are as long as their pieces, so whoever pads them needs no further length.
+    one. Pieces are dealt evenly into groups of at most about ``group_rows``, whatever their doc_id, and each group is packed on
+    its own, so that a task never holds more than a group, however long the documents are; at that size the padding of
+    best-fit decreasing is well below one percent. How many pieces there can be follows from the bytes, as a token has one at least. Sequences are as long as their pieces, so whoever pads them needs no further length.
     Rows that repeat or lack a doc_id are packed like any other. Other columns are ignored.
     """
-    groups = max(1, -(-docs.count() // group_rows))
+    most = F.sum(F.octet_length(F.coalesce("text", F.lit(""))) / window + 1)
+    groups = max(1, math.ceil((docs.agg(most).first()[0] or 0) / group_rows))
     pieces = token_pieces(docs, tokenizer, window, end_id, with_ids)
     pieces = pieces.withColumn("group", F.pmod("spread", F.lit(groups))).drop("spread")
     names = [f.name for f in pieces.schema if f.name != "group"]

@@ -102,7 +102,8 @@ def text_statistics(column: pa.Array) -> np.ndarray:
 
 
 class Fourier:
-    """Standardised statistics through cosines of random directions, which approximate a Gaussian kernel; and a constant."""
+    """Standardised statistics, none further than six deviations from the mean, through cosines of random directions, which
+    approximate a Gaussian kernel; and a constant."""
 
     def __init__(self, mean: np.ndarray, deviation: np.ndarray, how: Settings) -> None:
         rng = np.random.default_rng(how.seed)

@@ -8,11 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeglass.functions.joins import BROADCAST_ROWS, is_within
 from tomeglass.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MERGED = "+"
+BROADCAST_BYTES = 32 << 20
 
 
 class Limits(NamedTuple):
@@ -20,15 +20,13 @@ class Limits(NamedTuple):
 
     A segment keeps its name if at least ``support`` URLs and one in ``fanout`` of its parent's have it; all others are
     variable and become a wildcard, so a node has at most ``fanout`` named branches. Named branches whose share of bad URLs
-    lies within ``similar`` standard errors of their parent's are merged. What lies below ``depth`` segments is one
-    segment. A template is rejected if its share of good URLs, smoothed by ``weight`` URLs of the whole table's share, is below
+    lies within ``similar`` standard errors of their parent's are merged. A template is rejected if its share of good URLs, smoothed by ``weight`` URLs of the whole table's share, is below
     ``purity``.
     """
 
     support: int = 5
     fanout: int = 50
     similar: float = 2.58
-    depth: int = 6
     weight: float = 5.0
     purity: float = 0.5
 
@@ -58,10 +56,8 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return rule, verdict
 
 
-def _segments(path: Column, depth: int) -> Column:
-    whole = F.filter(F.split(path, "/"), lambda s: s != "")
-    tail = F.array(F.array_join(F.slice(whole, depth, F.greatest(F.size(whole), F.lit(1))), "/"))
-    return F.when(F.size(whole) > depth, F.concat(F.slice(whole, 1, depth - 1), tail)).otherwise(whole)
+def _segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
 def _wildcard(segment: Column) -> Column:
@@ -69,15 +65,25 @@ def _wildcard(segment: Column) -> Column:
     return F.concat(F.lit("*"), F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1))
 
 
-def _climb(rows: DataFrame, nodes: list[DataFrame]) -> DataFrame:
-    """Add ``template`` to rows with host and segs: names on the levels for which ``nodes`` has been found."""
-    rows = rows.withColumn("template", F.lit(""))
-    for level, named in enumerate(nodes):
-        segment = F.get("segs", F.lit(level))
-        rows = rows.join(named, ["host", "template"], "left")
-        step = F.concat("template", F.lit("/"), F.coalesce(F.element_at("names", segment), _wildcard(segment)))
-        rows = rows.withColumn("template", F.when(F.size("segs") > level, step).otherwise(F.col("template"))).drop("names")
-    return rows
+def _one_level(rows: DataFrame, named: DataFrame, level: int) -> DataFrame:
+    """Add the next step to ``template`` of rows with host and segs: a name, or a wildcard."""
+    segment = F.get("segs", F.lit(level))
+    step = F.concat("template", F.lit("/"), F.coalesce(F.element_at("names", segment), _wildcard(segment)))
+    rows = rows.join(named, ["host", "template"], "left")
+    return rows.withColumn("template", F.when(F.size("segs") > level, step).otherwise(F.col("template"))).drop("names")
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, spelled out, are few bytes; no more than 100,000 of them are looked at."""
+    spelled = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = df.limit(100_001).agg(F.count("*"), F.sum(spelled)).first()
+    return F.broadcast(df) if rows <= 100_000 and (size or 0) <= BROADCAST_BYTES else df
+
+
+def _below(level: Column | int) -> Column:
+    """Wildcards for all segments from ``level`` on."""
+    rest = F.slice("segs", level + 1, F.greatest(F.size("segs") - level, F.lit(0)))
+    return F.array_join(F.transform(rest, lambda s: F.concat(F.lit("/"), _wildcard(s))), "")
 
 
 def _named_branches(counted: DataFrame, level: int, limits: Limits) -> DataFrame:
@@ -103,29 +109,35 @@ def judge_urls(urls: DataFrame, known: DataFrame, rules: Sequence[tuple[str, str
     that repeat or lack a page_id are judged like any other, labels of a repeated page count as bad if one says so. Other
     columns are ignored; an empty table gives an empty result.
 
-    URLs are added up by host and path before anything is grouped by host, and each level of the tree is a table with at
-    most one row per ``limits.support`` URLs, so a host with most of the URLs is no group of its own anywhere.
+    URLs are added up by host and path before anything is grouped by host. The different paths climb the tree level by level, as long
+    as any node has ``limits.support`` URLs, and meet the pages once at the end, by host and path, so a host with most of the
+    URLs is no group of its own anywhere.
     """
     labels = known.groupBy("page_id").agg(F.max("bad").alias("bad"))
     parsed = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parsed = parsed.withColumn("segs", _segments(F.col("path"), limits.depth))
+    parsed = parsed.withColumn("segs", _segments(F.col("path")))
     counted = parsed.join(labels, "page_id", "left").groupBy("host", "segs")
     counted = counted.agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    counted = cut_lineage(counted)
-    deepest, n_known, n_bad = counted.agg(F.max(F.size("segs")), F.sum("known"), F.sum("bad")).first()
-
-    nodes: list[DataFrame] = []
-    for level in range(deepest or 0):
-        named = cut_lineage(_named_branches(_climb(counted, nodes), level, limits))
-        nodes.append(F.broadcast(named) if is_within(named, BROADCAST_ROWS // 10) else named)
+    rows = cut_lineage(counted.withColumn("template", F.lit("")))
+    deepest, n_known, n_bad = rows.agg(F.max(F.size("segs")), F.sum("known"), F.sum("bad")).first()
+
+    level = 0
+    while level < (deepest or 0):
+        alive = rows.where(F.size("segs") > level).groupBy("host", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= limits.support)
+        if alive.isEmpty():
+            break
+        named = cut_lineage(_named_branches(rows, level, limits))
+        rows = cut_lineage(_one_level(rows, _if_small(named), level))
+        level += 1
+    rows = rows.withColumn("template", F.concat("template", _below(level)))
 
     good = 1 - (n_bad or 0) / max(n_known or 0, 1)
-    leaves = _climb(counted, nodes).groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+    leaves = rows.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
     purity = (F.col("known") - F.col("bad") + limits.weight * good) / (F.col("known") + limits.weight)
-    impure = cut_lineage(leaves.where(purity < limits.purity).select("host", "template", F.lit(True).alias("impure")))
-    impure = F.broadcast(impure) if is_within(impure, BROADCAST_ROWS) else impure
+    impure = leaves.where(purity < limits.purity).select("host", "template", F.lit(True).alias("impure"))
+    told = cut_lineage(rows.join(_if_small(cut_lineage(impure)), ["host", "template"], "left").select("host", "segs", "template", "impure"))
 
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = _climb(parsed, nodes).join(impure, ["host", "template"], "left")
+    judged = parsed.join(_if_small(told), ["host", "segs"])
     own = F.when(F.col("impure"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template")
