@@ -50,16 +50,17 @@ class Partition:
         for k in range(how.hashes):
             self.low[k, self.values[:, k] & self.mask] = True
         self.order = np.argsort(self.values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.values, self.order, axis=0)
+        self.sorted = np.asfortranarray(np.take_along_axis(self.values, self.order, axis=0))
 
     def matches(self, windows: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window, item number) of equal values."""
         for k in range(windows.shape[1]):
             column = windows[:, k]
-            for w in np.flatnonzero(self.low[k][column & self.mask]):
-                first, last = np.searchsorted(self.sorted[:, k], column[w], "left"), np.searchsorted(self.sorted[:, k], column[w], "right")
-                for i in self.order[first:last, k]:
-                    yield int(w), int(i)
+            near = np.flatnonzero(self.low[k][column & self.mask])
+            first, last = (np.searchsorted(self.sorted[:, k], column[near], side) for side in ("left", "right"))
+            for at in np.flatnonzero(first < last):
+                for i in self.order[first[at] : last[at], k]:
+                    yield int(near[at]), int(i)
 
 
 class Lookup:
@@ -109,7 +110,7 @@ def _window_minima(hashes: np.ndarray, first: np.ndarray, size: int, n: int) ->
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     minima = sh.block_minima(hashes, first[doc] + nth * size, n)
     followed = np.flatnonzero(doc[:-1] == doc[1:]) if len(doc) else np.zeros(0, np.int64)
-    both = minima.copy()
+    both = minima.copy(order="K")
     both[followed] = np.minimum(minima[followed], minima[followed + 1])
     return both, doc
 
