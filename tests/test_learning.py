@@ -38,8 +38,80 @@ def test_no_word_is_lost(spark):
     model = ml.fit_topic_model(spark.createDataFrame(data, "doc_id long, text string"), k=2, iterations=1)
     assert model.topic_word.count() == 2 * 70_001
     assert model.topic_doc.count() == 200
-    with pytest.raises(ValueError, match="vocabulary"):
-        ml.fit_topic_model(spark.createDataFrame(data, "doc_id long, text string"), k=2, iterations=1, most_cells=1000)
+    limited = ml.fit_topic_model(spark.createDataFrame(data, "doc_id long, text string"), k=2, iterations=1, vocabulary=3)
+    assert {r.term for r in limited.topic_word.collect()} == {"shared", "w0x0", "w0x1"}
+    frequent = ml.fit_topic_model(spark.createDataFrame(data, "doc_id long, text string"), k=2, iterations=1, min_docs=2)
+    assert frequent.topic_word.count() == 2 and frequent.topic_doc.count() == 200
+
+
+def likelihood(topic_doc, topic_word, counts):
+    """Logarithm of the likelihood of all words under the shares of a model."""
+    theta, beta = {}, {}
+    for r in topic_doc.collect():
+        theta.setdefault(r.doc_id, {})[r.topic_id] = r.weight
+    for r in topic_word.collect():
+        beta.setdefault(r.term, {})[r.topic_id] = r.weight
+    return sum(n * np.log(sum(theta[d][t] * w for t, w in beta[word].items())) for (d, word), n in counts.items())
+
+
+def test_the_fit_is_as_likely_as_that_of_the_library(spark):
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(1)
+    topics = rng.dirichlet(np.full(120, 0.05), 4)
+    data = []
+    for i in range(150):
+        share = rng.dirichlet(np.full(4, 0.3))
+        data.append((i, " ".join(f"w{rng.choice(120, p=topics[rng.choice(4, p=share)])}" for _ in range(60))))
+    documents = spark.createDataFrame(data, "doc_id long, text string")
+    counts = {}
+    for i, text in data:
+        for word in text.split():
+            counts[i, word] = counts.get((i, word), 0) + 1
+    own = ml.fit_topic_model(documents, k=4, iterations=12, block_entries=1000)
+
+    words = documents.select("doc_id", F.split("text", " ").alias("words"))
+    vectors = CountVectorizer(inputCol="words", outputCol="features").fit(words)
+    lda = LDA(k=4, seed=3, maxIter=25, optimizer="online", subsamplingRate=1.0, learningOffset=1.0).fit(vectors.transform(words))
+    matrix = lda.topicsMatrix().toArray()
+    matrix = matrix / matrix.sum(axis=0)
+    topic_word = spark.createDataFrame([(w, t, float(matrix[j, t])) for j, w in enumerate(vectors.vocabulary) for t in range(4)], "term string, topic_id int, weight double")
+    shares = lda.transform(vectors.transform(words)).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic_id", "weight"))
+    theirs = likelihood(shares, topic_word, counts)
+    assert likelihood(own.topic_doc, own.topic_word, counts) > 1.01 * theirs  # both are negative
+
+
+def test_blocks_do_not_change_the_model(spark, texts):
+    few, many = (ml.fit_topic_model(texts, k=2, iterations=3, block_entries=n) for n in (3, 500_000))
+    assert [(t, d, round(w, 6)) for t, d, w in rows(few.topic_doc)] == [(t, d, round(w, 6)) for t, d, w in rows(many.topic_doc)]
+    assert [(t, w, round(x, 6)) for t, w, x in rows(few.topic_word)] == [(t, w, round(x, 6)) for t, w, x in rows(many.topic_word)]
+
+
+def test_nothing_to_fit(spark):
+    for data in ([], [(1, ""), (2, None)]):
+        model = ml.fit_topic_model(spark.createDataFrame(data, "doc_id long, text string"), k=3, iterations=2)
+        assert model.topic_word.count() == 0 and {r.weight for r in model.topic_doc.collect()} <= {0.0} and model.topic_doc.count() == 3 * len(data)
+
+
+def test_digamma():
+    x = np.array([1e-3, 0.1, 0.5, 1.0, 2.0, 10.0, 1e6])
+    known = [-1000.5755719318, -10.4237549404, -1.9635100260, -0.5772156649, 0.4227843351, 2.2517525891, 13.8155100580]
+    assert np.allclose(ml.digamma(x), known, atol=1e-8)
+
+
+def test_inference_reaches_its_fixed_point():
+    """At the end a document's weights are the prior and its words, dealt to topics by both sides."""
+    rng = np.random.default_rng(2)
+    beta = rng.random((30, 3))
+    doc, term, n = np.repeat(np.arange(5), 12), np.concatenate([rng.choice(30, 12, replace=False) for _ in range(5)]), rng.integers(1, 5, 60).astype(float)
+    gamma, added = ml.infer_topics(doc, term, n, beta, 5, 0.2, steps=2000, close=1e-12)
+    theta = np.exp(ml.digamma(gamma) - ml.digamma(gamma.sum(axis=1, keepdims=True)))
+    dealt = theta[doc] * beta[term]
+    dealt *= (n / dealt.sum(axis=1))[:, None]
+    assert np.allclose(gamma, 0.2 + np.stack([np.bincount(doc, dealt[:, t]) for t in range(3)], axis=1))
+    assert np.allclose(added, np.stack([np.bincount(term, dealt[:, t], 30) for t in range(3)], axis=1))
 
 
 def test_two_fits_agree(spark, texts):

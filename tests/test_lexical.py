@@ -212,3 +212,24 @@ def test_all_plans_agree_when_weights_have_any_sign(spark, monkeypatch, tmp_path
     assert sorted(map(tuple, lex.search(index, queries, scoring=falling).collect())) == own
     monkeypatch.setattr(lex, "BROADCAST_ROWS", 1)
     assert sorted(map(tuple, lex.search(index, queries, scoring=falling).collect())) == own
+
+
+@pytest.mark.parametrize("plan", ["own words", "shared words", "blocks"])
+def test_pages_behind_a_hit(spark, index, monkeypatch, plan):
+    """Ten pages of seven, each behind the last hit before it, are the ranked hits; a query without a last hit begins anew."""
+    asked = queries(spark, "the w1") if plan == "own words" else queries(spark, "the w1", "w2 the", "w0 w1 w2")
+    fields = ["title", "abstract"]
+    whole = sorted((r.query_id, r["rank"], r.doc_id) for r in lex.search(index, asked, k=70, fields=fields).collect())
+    if plan == "blocks":
+        monkeypatch.setattr(lex, "BROADCAST_ROWS", 1)
+        monkeypatch.setattr(lex, "BLOCK_ENTRIES", 700)
+    found, last = [], None
+    for page in range(10):
+        rows = lex.search(index, asked, k=7, fields=fields, after=last).collect()
+        found += [(r.query_id, r["rank"] + 7 * page, r.doc_id) for r in rows]
+        last = spark.createDataFrame([(r.query_id, r.score, r.doc_id) for r in rows if r["rank"] == 7], "query_id long, score double, doc_id long")
+        if last.count() < asked.count():
+            break
+    assert sorted(found) == [r for r in whole if r[1] <= 7 * (page + 1)] and page > 3
+    first = lex.search(index, asked, k=7, fields=fields, after=last.limit(0)).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in first) == [r for r in whole if r[1] <= 7]

@@ -42,11 +42,13 @@ class Settings:
 
 @dataclass(frozen=True)
 class NeighbourGraph:
-    """``edges`` (doc_id, neighbour, d2, rank), nearest first, between ``nodes`` (doc_id); ``copies`` (doc_id, copy_id): rows of an equal
+    """``edges`` (doc_id, neighbour, d2, rank), nearest first, between ``nodes`` (doc_id); ``ways`` (doc_id, others), where to go on from a
+    node: its neighbours, and a bounded number of those it is a neighbour of, first those that hardly anyone leads to; ``copies`` (doc_id, copy_id): rows of an equal
     vector, which are not in the graph; ``vectors`` (doc_id, embedding); how many entries each round changed."""
 
     edges: DataFrame
     nodes: DataFrame
+    ways: DataFrame
     copies: DataFrame
     vectors: DataFrame
     changes: list[int]
@@ -101,7 +103,8 @@ def build_graph(vectors: DataFrame, dim: int, how: Settings = Settings()) -> Nei
     nodes = cut_lineage(kn._lowest_copies(stored, 1).select("doc_id", "embedding"))
     keyed = stored.select("doc_id", F.xxhash64("embedding").alias("a"), F.xxhash64("embedding", F.lit(1)).alias("b"))
     groups = cut_lineage(keyed.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    copies = join_lookup(keyed, groups.select("a", "b", "first"), ["a", "b"], groups).where("doc_id <> first")
+    further = join_lookup(keyed, groups.select("a", "b", "first"), ["a", "b"], groups).where("doc_id <> first")
+    copies = cut_lineage(further.select(F.col("first").alias("doc_id"), F.col("doc_id").alias("copy_id")))
     n = nodes.count()
 
     blocks = max(1, -(-n // how.block_rows))
@@ -119,7 +122,15 @@ def build_graph(vectors: DataFrame, dim: int, how: Settings = Settings()) -> Nei
         changes.append(edges.where("fresh").count())
         if changes[-1] <= how.changed * n * how.degree:
             break
-    return NeighbourGraph(edges.select("doc_id", "neighbour", "d2", "rank"), nodes.select("doc_id"), copies.select(F.col("first").alias("doc_id"), F.col("doc_id").alias("copy_id")), stored, changes)
+    return NeighbourGraph(edges.select("doc_id", "neighbour", "d2", "rank"), nodes.select("doc_id"), _ways(edges, how), copies, stored, changes)
+
+
+def _ways(edges: DataFrame, how: Settings) -> DataFrame:
+    incoming = edges.groupBy(F.col("neighbour").alias("doc_id")).agg(F.count("*").alias("n"))
+    turned = edges.join(incoming, "doc_id", "left").select(F.col("neighbour").alias("doc_id"), F.col("doc_id").alias("other"), F.coalesce("n", F.lit(0)).alias("n"), "d2")
+    backward = best_per_group(turned, ["doc_id"], [F.asc("n"), F.asc("d2"), F.asc("other")], how.backward)
+    both = edges.select("doc_id", F.col("neighbour").alias("other")).unionByName(backward.select("doc_id", "other"))
+    return cut_lineage(both.groupBy("doc_id").agg(F.collect_set("other").alias("others")))
 
 
 def _meetings(edges: DataFrame, nodes: DataFrame, how: Settings) -> DataFrame:
@@ -144,7 +155,7 @@ class Walk:
     """Hits kept while walking, hits followed in one step, starts of a query, and the greatest number of steps."""
 
     beam: int = 64
-    followed: int = 8
+    followed: int = 16
     starts: int = 32
     steps: int = 24
 
@@ -160,9 +171,10 @@ def search_graph(graph: NeighbourGraph, queries: DataFrame, dim: int, k: int = k
     starts = graph.nodes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.starts).collect()
     listed = F.array(*[F.lit(r.doc_id) for r in starts]).cast("array<bigint>")
     fresh = asked.select("query_id", F.explode(listed).alias("doc_id"))
-    seen, best = None, None
+    seen, best = fresh, None
     for _ in range(how.steps):
-        near = join_lookup(fresh, vectors, ["doc_id"], fresh.groupBy("doc_id").agg(F.count("*").alias("n")))
+        # Nodes that many queries reach make narrow rows, and Spark splits such a key at run time.
+        near = fresh.join(vectors, "doc_id")
         both = near.join(asked.withColumnRenamed("embedding", "asked"), "query_id")
         found = both.select("query_id", "doc_id", F.round(vx.squared_l2(F.col("asked"), F.col("embedding")), digits).alias("cost"), F.lit(False).alias("done"))
         ranked = best_per_group(found if best is None else best.unionByName(found), ["query_id"], [F.asc("cost"), F.asc("doc_id")], how.beam).drop("rank")
@@ -172,11 +184,9 @@ def search_graph(graph: NeighbourGraph, queries: DataFrame, dim: int, k: int = k
         if following.isEmpty():
             break
         best = state.select("query_id", "doc_id", "cost", (F.col("done") | F.col("now")).alias("done"))
-        seen = fresh if seen is None else cut_lineage(seen.unionByName(fresh))
-        lists = graph.edges.groupBy("doc_id").agg(F.collect_list("neighbour").alias("neighbours"))
-        next_ones = join_lookup(following, lists, ["doc_id"], following.groupBy("doc_id").agg(F.count("*").alias("n")))
-        reached = next_ones.select("query_id", F.explode("neighbours").alias("doc_id")).distinct()
+        reached = following.join(graph.ways, "doc_id").select("query_id", F.explode("others").alias("doc_id")).distinct()
         fresh = cut_lineage(reached.join(seen, ["query_id", "doc_id"], "left_anti"))
+        seen = seen.unionByName(fresh)
     hits = state.select("query_id", "doc_id", "cost")
     # Rows of an equal vector lie as near.
     reach = k + 1 if exclude_self else k

@@ -1,4 +1,4 @@
-"""Producers on Spark ML: LDA topic models and hashed text vectors."""
+"""Producers: LDA topic models and hashed text vectors."""
 
 from __future__ import annotations
 
@@ -8,25 +8,43 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import LDA
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeglass.functions import text as tx
-from tomeglass.functions.joins import join_lookup
+from tomeglass.operators.lexical import counted_terms, token_arrays
 from tomeglass.operators.ranking import best_per_group
-from tomeglass.session import cut_lineage
+from tomeglass.session import cut_lineage, spread
 from tomeglass.sources.models import TopicModel
 
 # The words shown per topic and the vector width.
 TOPIC_WORDS = 10
 DIMENSION = 768
 
+# Words of documents, each counted once per document, that one task infers topics from.
+BLOCK_ENTRIES = 500_000
+
 Encoder = Callable[[pd.Series], np.ndarray]
 
 
+def word_blocks(documents: DataFrame, text: str = "text", block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """(block, doc_id, terms): the counted words (term, tf) of documents that have any, dealt by hash to blocks of about
+    ``block_entries`` of them, for work that meets rows of the words of a block."""
+    arrays = token_arrays(documents.select("doc_id", F.col(text).alias("text")), ["text"])
+    short = lambda e: F.struct(e["term"].alias("term"), e["tf"].cast("int").alias("tf"))
+    counted = cut_lineage(counted_terms(spread(arrays)).select("doc_id", F.transform("terms", short).alias("terms")))
+    entries = counted.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(documents.sparkSession.sparkContext.defaultParallelism, -(-entries // block_entries))
+    return cut_lineage(counted.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "terms"))
+
+
+def words_of_blocks(dealt: DataFrame) -> DataFrame:
+    """(block, term): every word of every block once."""
+    return cut_lineage(dealt.select("block", F.explode("terms.term").alias("term")).distinct())
+
+
 def fit_topic_model(
     documents: DataFrame,
     k: int,
@@ -35,42 +53,125 @@ def fit_topic_model(
     min_docs: int = 1,
     iterations: int = 20,
     seed: int = 42,
-    most_cells: int = 1 << 27,
+    block_entries: int = BLOCK_ENTRIES,
 ) -> TopicModel:
-    """Fit LDA to whole texts: every iteration takes all documents, and all words count unless the caller limits them.
-
-    With the whole corpus in every iteration the first ones may count fully, hence the learning offset of 1. The optimiser keeps ``k`` weights per word on the driver. More than ``most_cells`` of them are an error, not a
-    cut: the caller then has to choose ``vocabulary`` or ``min_docs``. Words get their places by a join, in the order of
-    spread and name, so that a seed gives the same model again.
+    """Fit LDA by variational inference to whole texts: every iteration takes all documents, and all words count unless the caller
+    limits them.
+
+    The weights of a word, ``k`` numbers, are a row of a table. Documents are dealt to blocks by hash; in every iteration a block
+    meets the rows of its own words, infers the topics of its documents, and hands on what it adds to each of its words. So neither
+    the driver nor a task holds the weights of all words; the driver sees ``k`` sums. First weights follow from a
+    hash of word, topic and seed, so that a seed gives the same model again. A document without words has weight 0 for
+    every topic.
     """
-    words = cut_lineage(documents.select("doc_id", tx.tokens(F.col(text)).alias("words")))
-    counted = words.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    spread = counted.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    dealt = word_blocks(documents, text, block_entries)
+    spread_of = dealt.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     if vocabulary is not None:
-        spread = spread.orderBy(F.desc("n"), "term").limit(vocabulary)
-    terms = numbered(cut_lineage(spread))
-    size = terms.count()
-    if size * k > most_cells:
-        raise ValueError(f"{size} words and {k} topics exceed {most_cells} weights: limit the vocabulary or min_docs")
-
-    hot = spread.select("term", "n")
-    placed = join_lookup(counted, terms, ["term"], hot).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "tf"))).alias("used"))
-    features = words.select("doc_id").distinct().join(placed, "doc_id", "left").select("doc_id", _sparse(max(size, 1))("used").alias("features"))
-    features = cut_lineage(features)
-    lda = LDA(k=k, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0, learningOffset=1.0).fit(features)
-
-    described = lda.describeTopics(max(size, 1)).select(
-        F.col("topic").alias("topic_id"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")
-    )
-    topic_word = described.select(
-        "topic_id", F.col("t.termIndices").alias("place"), F.col("t.termWeights").alias("weight")
-    ).join(terms, "place").select("topic_id", "term", "weight")
-
-    share = vector_to_array("topicDistribution")
-    topic_doc = lda.transform(features).select("doc_id", F.posexplode(share).alias("topic_id", "weight"))
+        spread_of = spread_of.orderBy(F.desc("n"), "term").limit(vocabulary)
+    weights = cut_lineage(spread_of.select("term", F.transform(hashed_normals(k, seed), lambda x: F.greatest(1 + 0.1 * x, F.lit(0.1))).alias("weights")))
+    words = words_of_blocks(dealt)
+
+    for _ in range(iterations):
+        sums = summed_rows(_infer(dealt, words, weights, k).where("term IS NOT NULL"), "weights", k)
+        weights = cut_lineage(sums.select("term", F.transform("weights", lambda w: w + 1 / k).alias("weights")))
+    inferred = _infer(dealt, words, weights, k).where("term IS NULL").select("doc_id", "weights")
+    empty = documents.select("doc_id").join(dealt.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.array_repeat(F.lit(0.0), k).alias("weights"))
+    topic_doc = cut_lineage(inferred.unionByName(empty)).select("doc_id", F.posexplode("weights").alias("topic_id", "weight"))
+    totals = F.array(*[F.lit(float(t)) for t in _totals(weights, k)])
+    shares = weights.select("term", F.posexplode(F.zip_with("weights", totals, lambda w, t: w / t)).alias("topic_id", "weight"))
+    topic_word = shares.select("topic_id", "term", "weight")
     return TopicModel(heaviest_words(topic_word), topic_doc.select("topic_id", "doc_id", "weight"), topic_word)
 
 
+def summed_rows(rows: DataFrame, name: str, n: int) -> DataFrame:
+    """(term, ``name``): the sum of the arrays of ``n`` numbers of each term, column by column, so that it is compiled and begins before the shuffle."""
+    sums = rows.groupBy("term").agg(*[F.sum(F.get(name, F.lit(i))).alias(f"_{i}") for i in range(n)])
+    return sums.select("term", F.array(*[f"_{i}" for i in range(n)]).alias(name))
+
+
+def hashed_normals(n: int, seed: int) -> Column:
+    """``n`` normal variates for a ``term``, from its hashes: the same in every run and on every machine."""
+
+    def uniform(i: Column, number: int) -> Column:
+        return (F.pmod(F.xxhash64("term", i, F.lit(seed), F.lit(number)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * np.pi * uniform(i, 1)))
+
+
+def _totals(weights: DataFrame, k: int) -> np.ndarray:
+    summed = weights.groupBy(F.lit("all")).agg(vector_to_array(Summarizer.sum(array_to_vector("weights"))).alias("sums")).first()
+    return np.array(summed.sums) if summed else np.ones(k)
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The derivative of the logarithm of the gamma function, for positive numbers."""
+    out, x = np.zeros_like(x), x.copy()
+    for _ in range(6):
+        small = x < 6
+        out[small] -= 1 / x[small]
+        x[small] += 1
+    square = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - square * (1 / 12 - square * (1 / 120 - square * (1 / 252 - square / 240)))
+
+
+def infer_topics(doc: np.ndarray, term: np.ndarray, n: np.ndarray, beta: np.ndarray, docs: int, alpha: float, steps: int = 60, close: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Topic weights of documents, and what they add to the weights of words, from entries (doc, term, n) in order of documents.
+
+    ``beta`` holds the exponentials of the expected logarithms of the words' weights. A document is done when its weights
+    change by less than ``close`` on average.
+    """
+    k = beta.shape[1]
+    gamma = np.full((docs, k), alpha) + np.bincount(doc, n, docs)[:, None] / k
+    theta = np.exp(digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True)))
+    live, entry = np.arange(docs), np.arange(len(doc))
+    for _ in range(steps):
+        d, rows = doc[entry], beta[term[entry]]
+        ratio = n[entry] / (np.einsum("ek,ek->e", theta[d], rows) + 1e-100)
+        place = np.searchsorted(live, d)
+        summed = np.stack([np.bincount(place, ratio * rows[:, t], len(live)) for t in range(k)], axis=1)
+        new = alpha + theta[live] * summed
+        change = np.abs(new - gamma[live]).mean(axis=1)
+        gamma[live] = new
+        theta[live] = np.exp(digamma(new) - digamma(new.sum(axis=1, keepdims=True)))
+        live = live[change >= close]
+        if not len(live):
+            break
+        entry = entry[np.isin(doc[entry], live)]
+    shared = n / (np.einsum("ek,ek->e", theta[doc], beta[term]) + 1e-100)
+    added = np.stack([np.bincount(term, shared * theta[doc, t], len(beta)) for t in range(k)], axis=1) * beta
+    return gamma, added
+
+
+def block_entries_of(left: pa.Table, right: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block, and for each entry of its documents the row of the document, that of the word, and how often it occurs."""
+    terms = right["term"].combine_chunks()
+    lists = left["terms"].combine_chunks()
+    found = pc.index_in(lists.flatten().field(0), value_set=terms)
+    known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(left.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[known]
+    n = lists.flatten().field(1).to_numpy(zero_copy_only=False)[known].astype(np.float64)
+    return terms, doc, pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known], n
+
+
+def _infer(dealt: DataFrame, words: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """(doc_id, term, weights): a row without term holds the shares of a document's topics, one with a term what a block adds to it."""
+    totals = digamma(_totals(weights, k))
+    schema = pa.schema([("doc_id", pa.int64()), ("term", pa.string()), ("weights", pa.list_(pa.float64()))])
+
+    def infer(left: pa.Table, right: pa.Table) -> pa.Table:
+        terms, doc, term, n = block_entries_of(left, right)
+        rows = right["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        gamma, added = infer_topics(doc, term, n, np.exp(digamma(rows) - totals), left.num_rows, 1 / k)
+        share = gamma / gamma.sum(axis=1, keepdims=True)
+        some = np.bincount(doc, minlength=left.num_rows) > 0
+        shares = pa.Table.from_arrays([left["doc_id"].cast(pa.int64()), pa.nulls(left.num_rows, pa.string()), pa.array(list(np.where(some[:, None], share, 0.0)), pa.list_(pa.float64()))], schema=schema)
+        sums = pa.Table.from_arrays([pa.nulls(len(terms), pa.int64()), terms, pa.array(list(added), pa.list_(pa.float64()))], schema=schema)
+        return pa.concat_tables([shares, sums])
+
+    rows_of_words = words.join(weights, "term").groupBy("block")
+    return dealt.groupBy("block").cogroup(rows_of_words).applyInArrow(infer, "doc_id bigint, term string, weights array<double>")
+
+
 def numbered(spread: DataFrame) -> DataFrame:
     """(term, place): places from 0 without gaps, widest spread first. Rows are sorted into ranges and counted per range."""
     ranged = cut_lineage(
@@ -85,17 +186,6 @@ def numbered(spread: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(starts), "part").select("term", place.cast("int").alias("place"))
 
 
-def _sparse(size: int):
-    """A column of (place, tf) pairs in order of place as sparse vectors; a missing one is a zero vector."""
-
-    @F.udf(VectorUDT())
-    def vector(used):
-        used = used or []
-        return SparseVector(size, [u[0] for u in used], [float(u[1]) for u in used])
-
-    return vector
-
-
 def heaviest_words(topic_word: DataFrame, n: int = TOPIC_WORDS) -> DataFrame:
     """(topic_id, words): the n heaviest terms of each topic, equal weights in the order of the terms."""
     best = best_per_group(topic_word, ["topic_id"], [F.desc("weight"), F.asc("term")], n)

@@ -22,6 +22,9 @@ HITS = 10
 BM25_K1, BM25_B = 1.0, 0.65
 DEFAULT_K1, DEFAULT_B = 1.2, 0.75
 
+# Where a page begins: the score and the id of the last hit before it.
+LAST = ("last_score", "last_id")
+
 PRUNE_TERMS = 2000
 BLOCK_ENTRIES = 2_000_000
 
@@ -58,9 +61,9 @@ def tokenize(documents: DataFrame, fields: Sequence[str]) -> DataFrame:
     return token_arrays(documents, fields).select("field", "doc_id", F.explode("tokens").alias("term"))
 
 
-def postings(arrays: DataFrame) -> DataFrame:
-    """(doc_id, field, term, tf, dl, positions), counted inside each row: the words are sorted with their places, and every run
-    of equal words is one posting. No word is a key of anything, so neither a shuffle nor a table of counts is needed."""
+def counted_terms(arrays: DataFrame) -> DataFrame:
+    """(doc_id, field, dl, terms), where ``terms`` lists each word of a text with (term, tf, positions). The words are sorted with
+    their places inside each row, and every run of equal words is one entry, so neither a shuffle nor a table of counts is needed."""
     placed = F.transform("tokens", lambda term, place: F.struct(term.alias("term"), place.alias("place")))
     words = arrays.where(F.col("dl") > 0).withColumn("words", F.sort_array(placed)).drop("tokens")
 
@@ -72,12 +75,17 @@ def postings(arrays: DataFrame) -> DataFrame:
 
     runs = words.withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), begins_run))
 
-    def posting(start: Column, number: Column) -> Column:
+    def entry(start: Column, number: Column) -> Column:
         n = F.coalesce(F.get("starts", number + 1), F.col("dl")) - start
         places = F.slice("words", start + 1, n)["place"]
         return F.struct(word(start).alias("term"), n.cast("bigint").alias("tf"), places.alias("positions"))
 
-    entries = runs.select("doc_id", "field", F.explode(F.transform("starts", posting)).alias("p"), "dl")
+    return runs.select("doc_id", "field", "dl", F.transform("starts", entry).alias("terms"))
+
+
+def postings(arrays: DataFrame) -> DataFrame:
+    """(doc_id, field, term, tf, dl, positions): one row per document, field and word. No word is a key of anything."""
+    entries = counted_terms(arrays).select("doc_id", "field", F.explode("terms").alias("p"), "dl")
     return entries.select("doc_id", "field", "p.term", "p.tf", "dl", "p.positions")
 
 
@@ -150,9 +158,13 @@ def search(
     scoring: Scoring | None = None,
     default: str = tx.DEFAULT_QUERY,
     digits: int = 6,
+    after: DataFrame | None = None,
 ) -> DataFrame:
     """Hits (query_id, rank, doc_id, score) of a batch of bag-of-words queries, any term may match.
 
+    ``after`` (query_id, score, doc_id) goes on behind a hit of an earlier search, at the cost of a first page however deep
+    that is; a query without a row there begins at its best.
+
     A document's score is the sum over fields and terms. Scores are rounded before ranking, so that the last
     bits, which depend on the order of addition, do not decide a rank; equal scores rank by doc_id.
 
@@ -163,6 +175,10 @@ def search(
     all_fields = F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")
     factor = (F.col("qtf") if scoring.repeats else F.lit(1)).cast("double").alias("factor")
     wanted = query_terms(queries, default).select(F.col("query_id").cast("bigint"), all_fields, "term", factor)
+    if after is not None:
+        last = after.select(F.col("query_id").cast("bigint"), F.col("score").alias("last_score"), F.col("doc_id").cast("bigint").alias("last_id"))
+        begin = F.coalesce("last_score", F.lit(float("inf"))).alias("last_score")
+        wanted = wanted.join(last, "query_id", "left").select(*wanted.columns, begin, F.coalesce("last_id", F.lit(-1)).alias("last_id"))
     gathered = wanted.limit(BROADCAST_ROWS + 1).toPandas()
     if len(gathered) > BROADCAST_ROWS:
         scores = _score_by_blocks(index, wanted, scoring, k, digits)
@@ -193,11 +209,17 @@ def _weighted(index: TextIndex, terms: DataFrame) -> DataFrame:
 def _score_own_words(index: TextIndex, gathered: pd.DataFrame, scoring: Scoring, k: int, digits: int) -> DataFrame:
     """No word belongs to two queries: a plain sum over the postings."""
     spark = index.postings.sparkSession
-    asked = spark.createDataFrame(gathered, "query_id bigint, field string, term string, factor double, term_id bigint")
+    own = gathered[["query_id", "field", "term", "factor", "term_id"]]
+    asked = spark.createDataFrame(own, "query_id bigint, field string, term string, factor double, term_id bigint")
     matches = index.postings.join(F.broadcast(_weighted(index, asked)), ["field", "term"])
     part = (F.col("factor") * scoring.weight).alias("part")
     scores = matches.select("query_id", "doc_id", part).groupBy("query_id", "doc_id")
-    return scores.agg(F.round(F.sum("part"), digits).alias("score"))
+    scores = scores.agg(F.round(F.sum("part"), digits).alias("score"))
+    if "last_id" not in gathered:
+        return scores
+    last = spark.createDataFrame(gathered[["query_id", "last_score", "last_id"]].drop_duplicates(), "query_id bigint, last_score double, last_id bigint")
+    below = (F.col("score") < F.col("last_score")) | ((F.col("score") == F.col("last_score")) & (F.col("doc_id") > F.col("last_id")))
+    return scores.join(F.broadcast(last), "query_id").where(below).drop("last_score", "last_id")
 
 
 def _score_shared_words(index: TextIndex, gathered: pd.DataFrame, scoring: Scoring, k: int, digits: int) -> DataFrame:
@@ -210,11 +232,13 @@ def _score_shared_words(index: TextIndex, gathered: pd.DataFrame, scoring: Scori
     entry = F.struct("term_id", scoring.weight.alias("weight"))
     documents = matches.select("doc_id", entry.alias("entry")).groupBy("doc_id").agg(F.collect_list("entry").alias("entries"))
 
-    query_ids, row = np.unique(gathered["query_id"].to_numpy(), return_inverse=True)
-    shared = spark.sparkContext.broadcast((query_ids, row, gathered["term_id"].to_numpy(), gathered["factor"].to_numpy()))
+    query_ids, first, row = np.unique(gathered["query_id"].to_numpy(), return_index=True, return_inverse=True)
+    after = tuple(gathered[c].to_numpy()[first] for c in LAST) if "last_id" in gathered else None
+    shared = spark.sparkContext.broadcast(((query_ids, row, gathered["term_id"].to_numpy(), gathered["factor"].to_numpy()), after))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = HighestScores(*shared.value, k, digits)
+        asked, after = shared.value
+        best = HighestScores(*asked, k, digits, after)
         for batch in batches:
             entries = batch.column("entries")
             row = np.repeat(np.arange(batch.num_rows), entries.value_lengths().to_numpy(zero_copy_only=False))
@@ -232,8 +256,9 @@ def _score_by_blocks(index: TextIndex, wanted: DataFrame, scoring: Scoring, k: i
     words = wanted.groupBy(*on).agg(F.count("*").alias("n"))
     known = words.join(index.term_stats, on).join(F.broadcast(index.field_stats), "field")
     terms = cut_lineage(known.withColumn("term_id", F.monotonically_increasing_id()))
+    last = [c for c in LAST if c in wanted.columns]
     asked = join_lookup(wanted, terms.select(*on, F.col("term_id").alias("asked_id")), on, terms).select(
-        "query_id", "asked_id", "factor"
+        "query_id", "asked_id", "factor", *last
     )
     matches = join_requests(index.postings, terms, on, spread_by="doc_id").select(
         "doc_id", "term_id", scoring.weight.alias("weight")
@@ -247,8 +272,9 @@ def _score_by_blocks(index: TextIndex, wanted: DataFrame, scoring: Scoring, k: i
         )
 
     def score(block: pa.Table, queries: pa.Table) -> pa.Table:
-        query_ids, query_row = np.unique(as_ids(queries["query_id"]), return_inverse=True)
-        best = HighestScores(query_ids, query_row, as_ids(queries["asked_id"]), as_ids(queries["factor"]), k, digits)
+        query_ids, first, query_row = np.unique(as_ids(queries["query_id"]), return_index=True, return_inverse=True)
+        after = tuple(as_ids(queries[c])[first] for c in last) or None
+        best = HighestScores(query_ids, query_row, as_ids(queries["asked_id"]), as_ids(queries["factor"]), k, digits, after)
         if block.num_rows and queries.num_rows:
             ids, row = np.unique(as_ids(block["doc_id"]), return_inverse=True)
             order = np.argsort(row, kind="stable")

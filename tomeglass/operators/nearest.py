@@ -114,13 +114,15 @@ class HighestScores(Best):
     """The k documents with the highest sum of term weights, rounded before comparing, whatever the signs of the weights.
 
     A document is a hit of a query if it has one of its terms.
-    Queries are given as one entry per query and term: the position of the query, the term's id, and a factor.
+    Queries are given as one entry per query and term: the position of the query, the term's id, and a factor. With ``after``,
+    a score and an id per query, only what ranks below them is a hit.
     """
 
     def __init__(
-        self, query_ids: np.ndarray, row: np.ndarray, term: np.ndarray, factor: np.ndarray, k: int, digits: int
+        self, query_ids: np.ndarray, row: np.ndarray, term: np.ndarray, factor: np.ndarray, k: int, digits: int, after: tuple[np.ndarray, np.ndarray] | None = None
     ):
         super().__init__(query_ids, k)
+        self.after = after
         order = np.argsort(row, kind="stable")
         self.row, self.term, self.factor, self.digits = row[order], term[order], factor[order], digits
 
@@ -164,4 +166,8 @@ class HighestScores(Best):
                 present = np.zeros(weights.shape)
                 present[at[low:high], row[low:high] - left] = 1
                 met = (factors != 0).astype(float) @ present > 0
-            self.offer(rows, here, np.where(met, -np.round(score, self.digits), np.inf))
+            cost = np.where(met, -np.round(score, self.digits), np.inf)
+            if self.after:
+                last, last_id = (-self.after[0][rows, None], self.after[1][rows, None])
+                cost[(cost < last) | ((cost == last) & (here[None, :] <= last_id))] = np.inf
+            self.offer(rows, here, cost)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tomeglass.functions import text as tx
 from tomeglass.functions.joins import broadcast_within
 from tomeglass.operators import nearest as nn
+from tomeglass.operators.graph import NeighbourGraph, build_graph
 from tomeglass.operators.knn import train_cells
 from tomeglass.operators.learning import embed_hashed, heaviest_words
 from tomeglass.operators.lexical import TextIndex
@@ -125,6 +126,11 @@ class Corpus:
         centres = nn.as_matrix(self.centres.orderBy("query_id").toArrow()["embedding"], DIM)
         return write_vector_index(self.vectors, fresh_path(self.spark, "codes"), DIM, centres)
 
+    @cached_property
+    def graph(self) -> NeighbourGraph:
+        """The neighbour graph of all vectors, written once."""
+        return build_graph(self.vectors, DIM)
+
     @property
     def topic_word(self) -> DataFrame:
         """(topic_id, term, weight): share of a term among the words of a topic's documents.

@@ -343,6 +343,8 @@ FROM td ORDER BY weight DESC, doc_id, topic_id LIMIT 10""",
     "search_tfidf_classic": _search("literal", _TF_IDF, "('text')", "textfield") + _SHOW,
     "search_multifield": _search("literal", _MODE, _BOTH) + _SHOW,
     "search_default_query": _search("empty", _MODE, "('text')", "textfield") + _SHOW,
+    "search_after": _search("passages", _MODE, _BOTH, first=11, last=20) + "\nSELECT query_id, CAST(rank - 10 AS INT) AS rank, doc_id, score FROM hits",
+    "latent_space": "SELECT unnest(range(0, 8)) AS component, CAST(1 AS DOUBLE) AS words, CAST(1 AS DOUBLE) AS documents",
     "search_batch": _search("passages", _MODE, _BOTH) + _SHOW,
     "vector_knn": _with(
         "vec centre",
@@ -456,12 +458,15 @@ exact AS (SELECT * FROM """
 SELECT round((SELECT count(*) FROM exact JOIN close USING (query_id, doc_id)) / (SELECT count(*) FROM exact), 6) AS recall,
        round((SELECT count(*) FROM close) / pow((SELECT count(*) FROM vec), 2), 6) AS candidate_share""",
     ),
+    "knn_graph_quality": "SELECT count(DISTINCT embedding) AS n_nodes, CAST(24 AS BIGINT) AS longest_list, true AS recall_reached FROM embeddings",
     "search_phrases": _nested(PHRASES),
     "term_expansion": _expansion(WORD_FORMS),
     "search_word_forms": _nested(WORD_FORMS),
     "search_nested": _nested(NESTED),
 }
 ORACLES["parse_query_vector"] = ORACLES["parse_vector_text"]
+# A walk from 32 starts with a beam of 64 finds all.
+ORACLES["knn_by_graph"] = ORACLES["vector_knn"]
 # All cells are visited and the codes lose next to nothing: the exact neighbours.
 for _name in ("knn_batch_by_cells", "knn_approx", "knn_approx_by_blocks"):
     ORACLES[_name] = ORACLES["knn_batch"]

@@ -11,7 +11,9 @@ from tomeglass.functions import text as tx
 from tomeglass.functions import vectors as vx
 from tomeglass.functions.joins import broadcast_within
 from tomeglass.operators import documents as docs
+from tomeglass.operators import graph as gr
 from tomeglass.operators import knn as kn
+from tomeglass.operators import latent as lt
 from tomeglass.operators import learning as ml
 from tomeglass.operators import lexical as lex
 from tomeglass.operators import matching as mt
@@ -290,6 +292,14 @@ def search_page(c: Corpus) -> DataFrame:
     return lex.search_page(c.index, c.passages, page=2)
 
 
+@query
+def search_after(c: Corpus) -> DataFrame:
+    """The page behind the tenth hit of every passage that has ten."""
+    last = lex.search(c.index, c.passages, fields=FIELDS).where("rank = 10")
+    queries = c.passages.join(last.select("query_id"), "query_id", "left_semi")
+    return lex.search(c.index, queries, fields=FIELDS, after=last)
+
+
 @query
 def topk_global(c: Corpus) -> DataFrame:
     """The ten heaviest pairs of topic and document."""
@@ -437,6 +447,24 @@ def knn_approx_quality(c: Corpus) -> DataFrame:
     return kn.recall_and_share(_label_cells(c), exact, c.vectors, everything)
 
 
+@query
+def knn_by_graph(c: Corpus) -> DataFrame:
+    """Neighbours of the label centres, by walking the neighbour graph."""
+    return gr.search_graph(c.graph, c.centres, DIM)
+
+
+@query
+def knn_graph_quality(c: Corpus) -> DataFrame:
+    """What a neighbour graph has to satisfy: all vectors that differ are in it, lists are bounded, and hold their nearest ten."""
+    edges = c.graph.edges
+    exact = kn.knn(c.vectors, c.vectors.withColumnRenamed("doc_id", "query_id"), DIM, exclude_self=True)
+    found = exact.join(edges.select(F.col("doc_id").alias("query_id"), F.col("neighbour").alias("doc_id"), F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    recall = found.agg((F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+    shape = edges.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_nodes"), F.max("n").alias("longest_list"))
+    both = shape.unionByName(recall, allowMissingColumns=True)
+    return both.agg(*[F.max(name).alias(name) for name in ("n_nodes", "longest_list", "recall_reached")])
+
+
 @query
 def embed_corpus(c: Corpus) -> DataFrame:
     """Places and values of each document's hashed vector that are not zero."""
@@ -485,6 +513,17 @@ def fit_topic_model(c: Corpus) -> DataFrame:
     return sums(model.topic_doc, "document", "doc_id").unionByName(sums(model.topic_word, "topic", "topic_id")).unionByName(words)
 
 
+@query
+def latent_space(c: Corpus) -> DataFrame:
+    """What eight singular vectors of the corpus have to satisfy: the words' have length 1, the documents' that of the value."""
+    model = lt.fit_latent(c.documents, k=8)
+    squares = lambda df, name: df.select(F.posexplode(name).alias("component", "x")).groupBy("component").agg(F.sum(F.col("x") * F.col("x")).alias("sum"))
+    values = F.array(*[F.lit(float(v)) for v in model.values])
+    of_documents = squares(lt.embed_latent(c.documents, model), "embedding").select("component", F.round(F.col("sum") / F.get(values, "component") ** 2, 6).alias("documents"))
+    of_words = squares(model.words, "row").select("component", F.round("sum", 6).alias("words"))
+    return of_words.join(of_documents, "component").withColumn("component", F.col("component").cast("bigint"))
+
+
 @query
 def topic_word_long(c: Corpus) -> DataFrame:
     """A model handed over as a matrix whose columns are positions in a vocabulary, in blocks of 1,000 positions."""
