@@ -25,6 +25,9 @@ DEFAULT_K1, DEFAULT_B = 1.2, 0.75
 # Where a page begins: the score and the id of the last hit before it.
 LAST = ("last_score", "last_id")
 
+# Words of neighbouring texts that are counted together; a longer text by itself.
+COUNTED_WORDS = 1_000_000
+
 PRUNE_TERMS = 2000
 BLOCK_ENTRIES = 2_000_000
 
@@ -62,25 +65,38 @@ def tokenize(documents: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def counted_terms(arrays: DataFrame) -> DataFrame:
-    """(doc_id, field, dl, terms), where ``terms`` lists each word of a text with (term, tf, positions). The words are sorted with
-    their places inside each row, and every run of equal words is one entry, so neither a shuffle nor a table of counts is needed."""
-    placed = F.transform("tokens", lambda term, place: F.struct(term.alias("term"), place.alias("place")))
-    words = arrays.where(F.col("dl") > 0).withColumn("words", F.sort_array(placed)).drop("tokens")
-
-    def word(i: Column) -> Column:
-        return F.get("words", i)["term"]
-
-    def begins_run(i: Column) -> Column:
-        return (i == 0) | (word(i) != word(i - 1))
+    """(doc_id, field, dl, terms), where ``terms`` lists each word of a text with (term, tf, positions). Words are counted inside each
+    row, so neither a shuffle nor a table of counts is needed."""
 
-    runs = words.withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), begins_run))
-
-    def entry(start: Column, number: Column) -> Column:
-        n = F.coalesce(F.get("starts", number + 1), F.col("dl")) - start
-        places = F.slice("words", start + 1, n)["place"]
-        return F.struct(word(start).alias("term"), n.cast("bigint").alias("tf"), places.alias("positions"))
-
-    return runs.select("doc_id", "field", "dl", F.transform("starts", entry).alias("terms"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.concatenate([[0], np.cumsum(batch.column("dl").to_numpy())])
+            begin = 0
+            while begin < batch.num_rows:
+                end = min(batch.num_rows, max(begin + 1, int(np.searchsorted(total, total[begin] + COUNTED_WORDS, "right")) - 1))
+                yield _counted(batch.slice(begin, end - begin))
+                begin = end
+
+    schema = "doc_id bigint, field string, dl int, terms array<struct<term: string, tf: bigint, positions: array<int>>>"
+    rows = arrays.where(F.col("dl") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "field", "dl", "tokens")
+    return rows.mapInArrow(count, schema)
+
+
+def _counted(rows: pa.RecordBatch) -> pa.RecordBatch:
+    dl = rows.column("dl").to_numpy()
+    coded = rows.column("tokens").flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(dl)), dl)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(dl) - dl, dl)
+    key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(place[order], pa.int32()))
+    terms = coded.dictionary.take(coded.indices.take(pa.array(order[starts])))
+    tf = pa.array(np.diff(np.append(starts, len(row))), pa.int64())
+    entries = pa.StructArray.from_arrays([terms, tf, positions], ["term", "tf", "positions"])
+    per_row = np.searchsorted(row[order[starts]], np.arange(len(dl) + 1))
+    lists = pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), entries)
+    return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("field"), rows.column("dl"), lists], ["doc_id", "field", "dl", "terms"])
 
 
 def postings(arrays: DataFrame) -> DataFrame:
