@@ -141,7 +141,9 @@ _TW = "meta vec fields tok post tw"
 
 
 _WEIGHT = "ln(1 + (s.n_docs - d.df + 0.5) / (d.df + 0.5)) * p.tf / (p.tf + 1.0 * (1 - 0.65 + 0.65 * l.dl / s.avg_dl))"
-_FORM = {"Prefix": "term LIKE '{0}%'", "Pattern": "term LIKE '{0}'", "Similar": "levenshtein(term, '{0}') <= {1}"}
+# The second engine counts edits in bytes. The words asked for are ASCII, so any other character may stand as one sign.
+_EDITS = "levenshtein(regexp_replace(term, '[^\\x00-\\x7F]', '#', 'g'), '{0}')"
+_FORM = {"Prefix": "term LIKE '{0}%'", "Pattern": "term LIKE '{0}'", "Similar": _EDITS + " <= {1}"}
 
 
 def _leaves(condition: Condition, boost: float = 1.0) -> list[tuple[Leaf, float]]:
@@ -163,7 +165,7 @@ def _leaf(leaf: Leaf, boost: float) -> str:
     if isinstance(leaf, (Prefix, Pattern)):
         return f"SELECT doc_id, count(DISTINCT field) * {boost} AS score FROM post p WHERE {_form(leaf)} AND {fields} GROUP BY doc_id"
     if isinstance(leaf, Similar):
-        less = f"(1 - levenshtein(term, '{words[0]}') / least(length(term), {len(words[0])}))"
+        less = f"(1 - {_EDITS.format(words[0])} / least(length(term), {len(words[0])}))"
         return f"SELECT doc_id, sum({boost} * {less} * {_WEIGHT}) AS score FROM post p {joins} WHERE {_form(leaf)} AND {less} > 0 AND {fields} GROUP BY doc_id"
     if len(words) == 1:
         return f"SELECT doc_id, sum({boost} * {_WEIGHT}) AS score FROM post p {joins} WHERE term = '{words[0]}' AND {fields} GROUP BY doc_id"
@@ -205,7 +207,7 @@ def _expansion(queries: Mapping[int, Condition]) -> str:
     each = [
         f"SELECT CAST({q} AS BIGINT) AS query_id, CAST({i} AS BIGINT) AS leaf, field, term, df FROM dfs WHERE {_form(leaf)} AND field IN "
         + (f"('{leaf.field}')" if leaf.field else _BOTH)
-        + (f" AND levenshtein(term, '{leaf.text}') < least(length(term), {len(leaf.text)})" if isinstance(leaf, Similar) else "")
+        + (f" AND {_EDITS.format(leaf.text)} < least(length(term), {len(leaf.text)})" if isinstance(leaf, Similar) else "")
         for q, condition in queries.items()
         for i, (leaf, _) in enumerate(_leaves(condition))
     ]
