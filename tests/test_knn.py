@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,3 +178,35 @@ def test_approximate_search_reports_both_numbers(spark):
     assert quality[8] == (1.0, 1.0)
     assert quality[1][0] < quality[4][0] <= 1 and quality[1][1] < quality[4][1] < 1
     assert quality[4][0] > quality[4][1]
+
+
+def test_a_query_is_sent_once_to_each_band(spark):
+    """It was sent once for every block of every cell that it visits."""
+    rng = np.random.default_rng(11)
+    ids, vectors = np.arange(600), rng.normal(size=(600, 4))
+    points = frame(spark, "doc_id", ids, vectors)
+    centres = vectors[:12]
+    assigned = kn.assign_cells(points, centres, 4)
+    cells = kn._describe(assigned, centres, 1)
+
+    def arrived(left, right):
+        return pa.Table.from_pydict({"rows": [left.num_rows], "asking": [right.num_rows]})
+
+    for band_rows, bands in ((10_000, 1), (200, 6)):
+        sent, work = kn.blocks_of_cells(
+            assigned, points.withColumnRenamed("doc_id", "query_id"), cells.n, kn.ProbeRoute(cells, 12), 4, ["doc_id"], arrived, "rows bigint, asking bigint", band_rows
+        )
+        rows_sent, asked = sent.agg(F.sum("rows"), F.sum("asking")).first()
+        assert rows_sent == 600 and 600 <= asked <= 600 * bands
+        assert work.agg(F.sum(F.col("n") * F.col("visits"))).first()[0] == 600 * 600
+
+
+@pytest.mark.parametrize("band_rows", [40, 150])
+def test_bands_and_cells_cut_into_several(spark, monkeypatch, band_rows):
+    ids, vectors = clustered(7)
+    for name in ("BAND_ROWS", "LEAST_ROWS"):
+        monkeypatch.setattr(kn, name, band_rows)
+    monkeypatch.setattr(kn.blocks_of_cells, "__defaults__", (band_rows,))
+    points = frame(spark, "doc_id", ids, vectors)
+    got = kn.knn(points, points.withColumnRenamed("doc_id", "query_id"), 4, 7, exclude_self=True, broadcast_bytes=0, block_rows=16, pivots=12)
+    same(collected(got), brute_force(ids, vectors, ids, vectors, 7, True))
