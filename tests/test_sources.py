@@ -174,3 +174,17 @@ def test_clean_up_deletes_what_this_application_wrote(spark, tmp_path, monkeypat
     session.clean_up(spark)
     assert not (tmp_path / "shared" / "tomeglass" / "app").exists() and len(before) - len(entries()) == 1
     assert kept.postings.count() == 2
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_postings_are_not_shuffled_after_their_texts(spark, tmp_path, monkeypatch, kind):
+    """They were hashed into the same buckets once more. A task writes one bucket, whatever the type of the ids."""
+    documents = spark.range(200).select(F.col("id").cast(kind).alias("doc_id"), F.concat(F.lit("a b b w"), "id").alias("text"))
+    rows = lex.postings(lex.token_arrays(lex.by_document(documents, ["text"], 4), ["text"]))
+    monkeypatch.setattr(type(rows), "repartition", lambda *_: pytest.fail("shuffled again"))
+    index_store.write_postings(rows, f"{tmp_path}/p", 4)
+    assert len(list(tmp_path.glob("p/part-*.parquet"))) == 4
+    stored = index_store.read_postings(spark, f"{tmp_path}/p", 4)
+    assert stored.count() == 600 and stored.agg(F.sum("tf")).first()[0] == 800
+    found = stored.groupBy("doc_id").count()
+    assert found.count() == 200 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]

@@ -47,8 +47,9 @@ class TextIndex:
 
 
 def by_document(documents: DataFrame, fields: Sequence[str], partitions: int) -> DataFrame:
-    """The texts hashed by document, for an index bucketed by document: plain text is smaller than its postings."""
-    return documents.select("doc_id", *fields).repartition(partitions, "doc_id")
+    """The texts hashed by document, for an index bucketed by document: plain text is smaller than its postings. The ids are long, as
+    those of postings, since a number of another type has another hash."""
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), *fields).repartition(partitions, "doc_id")
 
 
 def token_arrays(documents: DataFrame, fields: Sequence[str]) -> DataFrame:

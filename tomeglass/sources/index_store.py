@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tomeglass.operators.lexical import TextIndex, by_document, field_stats, postings, term_counts, term_grams, token_arrays
 
 
-BUCKET_BYTES = 256 << 20
+# Text of a bucket. Its postings, several times that, are sorted by one task and read by one task.
+BUCKET_BYTES = 32 << 20
 
 
 def _table(path: str, buckets: int) -> str:
@@ -21,12 +22,13 @@ def _table(path: str, buckets: int) -> str:
 def write_postings(rows: DataFrame, path: str, buckets: int) -> None:
     """Overwrite ``path`` with postings hashed by document into ``buckets`` and sorted by term inside each file.
 
+    ``rows`` are those of texts that ``by_document`` has hashed into as many partitions, so that a task has the rows of one bucket and
+    postings, which are larger than their texts, are not shuffled. Others are stored as well, in more files.
     A search then reads only the row groups of its terms, adds up each document's score where the document lies, and
     keeps its best hits per bucket before anything is shuffled. A frequent term is spread evenly over the buckets.
     """
     (
-        rows.repartition(buckets, "doc_id")
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .bucketBy(buckets, "doc_id")
         .sortBy("field", "term")
         .format("parquet")
