@@ -150,3 +150,17 @@ def test_vector_search_by_text(spark, texts):
     assert {r["rank"] for r in more.collect()} == set(range(11, 21))
     assert {r["doc_id"] % 2 for r in hits.where("query_id = 0").collect()} == {0}
     assert {r["doc_id"] % 2 for r in hits.where("query_id = 1").collect()} == {1}
+
+
+def test_documents_are_inferred_some_at_a_time(monkeypatch):
+    """All entries of a block were gathered anew in every step. However many are taken together, the numbers are the same."""
+    rng = np.random.default_rng(5)
+    lengths = np.array([3, 0, 40, 1, 0, 200, 7, 0])
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    term, n, beta = rng.integers(0, 30, len(doc)), rng.integers(1, 4, len(doc)).astype(float), rng.random((30, 3))
+    found = []
+    for entries in (1, 45, 10_000):
+        monkeypatch.setattr(ml, "CACHED_ENTRIES", entries)
+        found.append(ml.infer_topics(doc, term, n, beta, len(lengths), 0.2))
+    for gamma, added in found[1:]:
+        assert np.array_equal(gamma, found[0][0]) and np.array_equal(added, found[0][1])

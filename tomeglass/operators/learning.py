@@ -25,6 +25,8 @@ DIMENSION = 768
 
 # Words of documents, each counted once per document, that one task infers topics from.
 BLOCK_ENTRIES = 500_000
+# Entries of documents whose topics are found together.
+CACHED_ENTRIES = 8192
 
 Encoder = Callable[[pd.Series], np.ndarray]
 
@@ -123,20 +125,27 @@ def infer_topics(doc: np.ndarray, term: np.ndarray, n: np.ndarray, beta: np.ndar
     k = beta.shape[1]
     gamma = np.full((docs, k), alpha) + np.bincount(doc, n, docs)[:, None] / k
     theta = np.exp(digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True)))
-    live, entry = np.arange(docs), np.arange(len(doc))
-    for _ in range(steps):
-        d, rows = doc[entry], beta[term[entry]]
-        ratio = n[entry] / (np.einsum("ek,ek->e", theta[d], rows) + 1e-100)
-        place = np.searchsorted(live, d)
-        summed = np.stack([np.bincount(place, ratio * rows[:, t], len(live)) for t in range(k)], axis=1)
-        new = alpha + theta[live] * summed
-        change = np.abs(new - gamma[live]).mean(axis=1)
-        gamma[live] = new
-        theta[live] = np.exp(digamma(new) - digamma(new.sum(axis=1, keepdims=True)))
-        live = live[change >= close]
-        if not len(live):
-            break
-        entry = entry[np.isin(doc[entry], live)]
+    # Documents do not depend on each other: some at a time, so that their entries stay in a cache.
+    total = np.searchsorted(doc, np.arange(docs + 1))
+    begin = 0
+    while begin < docs:
+        end = min(docs, max(begin + 1, int(np.searchsorted(total, total[begin] + CACHED_ENTRIES, "right")) - 1))
+        some = slice(total[begin], total[end])
+        live, place, counts, rows = np.arange(begin, end), doc[some] - begin, n[some], beta[term[some]]
+        for _ in range(steps):
+            ratio = counts / (np.einsum("ek,ek->e", theta[live][place], rows) + 1e-100)
+            summed = np.stack([np.bincount(place, ratio * rows[:, t], len(live)) for t in range(k)], axis=1)
+            new = alpha + theta[live] * summed
+            going = np.abs(new - gamma[live]).mean(axis=1) >= close
+            gamma[live] = new
+            theta[live] = np.exp(digamma(new) - digamma(new.sum(axis=1, keepdims=True)))
+            live = live[going]
+            if not len(live):
+                break
+            if not going.all():
+                kept = going[place]
+                place, counts, rows = (np.cumsum(going) - 1)[place[kept]], counts[kept], rows[kept]
+        begin = end
     shared = n / (np.einsum("ek,ek->e", theta[doc], beta[term]) + 1e-100)
     added = np.stack([np.bincount(term, shared * theta[doc, t], len(beta)) for t in range(k)], axis=1) * beta
     return gamma, added
