@@ -342,3 +342,23 @@ def test_the_sample_is_bounded(spark):
     rows = [(f"{a} " + "mama " * 23, lang) for lang in ("aa", "oo") for a in "bcdefghijkl"]
     found = ll.sample(spark.createDataFrame(rows, "text string, lang string"), how).collect()
     assert Counter(r.lang for r in found) == {"aa": 7, "oo": 7} and max(len(r.words) for r in found) == 5
+
+
+def test_pieces_are_handed_on_before_a_batch_ends(spark, monkeypatch):
+    """All pieces of a batch of documents were held at once."""
+    import pyarrow as pa
+
+    import public_tokenizers
+    from tomeglass.llm import packing
+
+    monkeypatch.setattr(packing, "HELD_PIECES", 4)
+    cuts = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, cut, schema: cuts.append(cut))
+    docs = spark.createDataFrame([(0, "x")], "doc_id bigint, text string")
+    packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 8, 0)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(9)) + [None], "text": ["one two three " * 8] * 9 + [None]})
+    found = list(cuts[0](iter([batch, batch.slice(0, 0)])))
+    assert len(found) > 5 and max(len(b) for b in found) == 4
+    whole = pa.Table.from_batches(found)
+    assert whole["doc_id"].to_pylist()[-1] is None and sorted({i for i in whole["doc_id"].to_pylist() if i is not None}) == list(range(9))
+    assert [len(ids) for ids in whole["ids"].to_pylist()] == whole["length"].to_pylist()

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the pre-tokeniser of byte-level BPE
 
+# Pieces with their ids that a task holds before it hands them on.
+HELD_PIECES = 512
+
 
 @cache
 def byte_level_encoder(path: str):
@@ -114,19 +117,28 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, with
         encode = byte_level_encoder(tokenizer)
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         number = 0
+        types = {"ids": pa.list_(pa.int32())}
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread", *(["ids"] if with_ids else [])]
+        rows = {name: [] for name in names}
+
+        def take() -> pa.RecordBatch:
+            taken = pa.record_batch([pa.array(rows[n], types.get(n, pa.int64())) for n in names], names)
+            for held in rows.values():
+                held.clear()
+            return taken
+
         for batch in batches:
-            rows = {name: [] for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread", "ids")}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                doc_id, ids = doc_id.as_py(), np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     number += 1
                     spread = zlib.crc32(b"%d %d" % (task, number))
-                    for name, value in zip(rows, (doc_id, start, len(piece), zlib.crc32(piece), len(ids), spread, piece if with_ids else None)):
+                    for name, value in zip(names, (doc_id, start, len(piece), zlib.crc32(piece), len(ids), spread, piece)):
                         rows[name].append(value)
-            types = {"ids": pa.list_(pa.int32())}
-            names = list(rows) if with_ids else list(rows)[:-1]
-            yield pa.record_batch([pa.array(rows[n], types.get(n, pa.int64())) for n in names], names)
+                    if len(rows["doc_id"]) == HELD_PIECES:
+                        yield take()
+        yield take()
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, spread bigint"
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
