@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,9 +16,10 @@ from tomeglass.llm import shingles as sh
 from tomeglass.llm.components import components
 from tomeglass.session import cut_lineage
 
-# Nodes on each side of a tile, and cells compared at once.
+# Nodes on each side of a tile, cells compared at once, and bytes of each side's values gathered at once.
 TILE = 2048
 CELLS = 1 << 22
+GATHERED = 1 << 22
 
 
 class Method(NamedTuple):
@@ -202,6 +203,46 @@ def _fine(sets: DataFrame, how: Method) -> DataFrame:
     return sets.mapInArrow(sign, "node binary, fine binary")
 
 
+def _compared(signature: np.ndarray, i: np.ndarray, j: np.ndarray, what: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``what`` of where the rows ``i`` and ``j`` of a signature are equal, for each pair; some pairs at a time, however many there are."""
+    step = max(1, GATHERED // (signature.shape[1] * signature.itemsize))
+    parts = [what(signature[i[k : k + step]] == signature[j[k : k + step]]) for k in range(0, max(len(i), 1), step)]
+    return np.concatenate(parts)
+
+
+def _met(tile: pa.Table, how: Method, best: int | None) -> Iterator[pa.RecordBatch]:
+    """Likely pairs (a, b) of a tile's left and right nodes in different components, some left nodes at a time."""
+    steps, fine_steps = how.first_steps(), how.fine_steps()
+    side, band = tile.column("side").to_numpy(), tile.column("band")[0].as_py()
+    nodes, names = np.array(tile.column("node").to_pylist(), object), np.array(tile.column("label").to_pylist(), object)
+    number = {name: i for i, name in enumerate(dict.fromkeys(names))}
+    of = np.array([number[name] for name in names])
+    values = np.frombuffer(b"".join(tile.column("sig").to_pylist()), np.uint32).reshape(-1, how.hashes)
+    fine = np.frombuffer(b"".join(tile.column("fine").to_pylist()), np.uint8).reshape(-1, how.fine)
+    lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    at_once = max(1, CELLS // (how.batch * max(len(rights), 1)))
+    for begin in range(0, len(lefts), at_once):
+        some = lefts[begin : begin + at_once]
+        i, j = np.nonzero(of[some][:, None] != of[rights][None, :])
+        i, j = some[i], rights[j]
+        for signature, stages in ((values, steps), (fine, fine_steps)):
+            matches, done = 0, 0
+            for n, least in stages:
+                matches = matches + _compared(signature[:, done:n], i, j, lambda equal: equal.sum(axis=1))
+                alive = matches >= least
+                i, j, matches, done = i[alive], j[alive], matches[alive], n
+        # A pair that shares several keys is reported by the first of them alone.
+        first = _compared(values, i, j, lambda equal: equal.reshape(len(equal), how.bands, how.band).all(axis=2).argmax(axis=1) == band)
+        i, j, matches = i[first], j[first], matches[first]
+        if best:
+            order = np.lexsort((-matches, i))
+            i, j = i[order], j[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j = i[nth < best], j[nth < best]
+        pairs = sorted({(min(a, b), max(a, b)) for a, b in zip(nodes[i], nodes[j])})
+        yield pa.record_batch([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], ["a", "b"])
+
+
 def _across(unsettled: DataFrame, sigs: DataFrame, how: Method, best: int | None) -> DataFrame:
     """Pairs (a, b) of nodes in one key but two components that no batch of MinHash values rules out.
 
@@ -209,7 +250,6 @@ def _across(unsettled: DataFrame, sigs: DataFrame, how: Method, best: int | None
     ``TILE`` nodes, each pair of blocks is compared as a matrix inside a task, and only what passes leaves it: all of it, or
     the ``best`` of each node.
     """
-    steps, fine_steps = how.first_steps(), how.fine_steps()
     blocks = lambda n: F.ceil(F.col(n) / TILE)
     rows = unsettled.join(sigs, "node")
     rows = rows.select("key", "band", "node", "label", "main", "sig", "fine", blocks("n").alias("n_right"), blocks("n_other").alias("n_left"))
@@ -219,38 +259,6 @@ def _across(unsettled: DataFrame, sigs: DataFrame, how: Method, best: int | None
     right = rows.withColumn("r", own("n_right")).withColumn("l", every("n_left")).withColumn("side", F.lit(1))
     tiles = left.unionByName(right).select("key", "l", "r", "side", "band", "node", "label", "sig", "fine")
 
-    def meet(tile: pa.Table) -> tuple[list, list]:
-        side, band = tile.column("side").to_numpy(), tile.column("band")[0].as_py()
-        nodes, names = np.array(tile.column("node").to_pylist(), object), np.array(tile.column("label").to_pylist(), object)
-        number = {name: i for i, name in enumerate(dict.fromkeys(names))}
-        of = np.array([number[name] for name in names])
-        values = np.frombuffer(b"".join(tile.column("sig").to_pylist()), np.uint32).reshape(-1, how.hashes)
-        fine = np.frombuffer(b"".join(tile.column("fine").to_pylist()), np.uint8).reshape(-1, how.fine)
-        lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found: list[tuple[bytes, bytes]] = []
-        for begin in range(0, len(lefts), max(1, CELLS // (how.batch * max(len(rights), 1)))):
-            some = lefts[begin : begin + max(1, CELLS // (how.batch * max(len(rights), 1)))]
-            i, j = np.nonzero(of[some][:, None] != of[rights][None, :])
-            i, j = some[i], rights[j]
-            for signature, stages in ((values, steps), (fine, fine_steps)):
-                matches, done = 0, 0
-                for n, least in stages:
-                    matches = matches + (signature[i, done:n] == signature[j, done:n]).sum(axis=1)
-                    alive = matches >= least
-                    i, j, matches, done = i[alive], j[alive], matches[alive], n
-            # A pair that shares several keys is reported by the first of them alone.
-            same = (values[i] == values[j]).reshape(len(i), how.bands, how.band).all(axis=2)
-            first = same.argmax(axis=1) == band
-            i, j, matches = i[first], j[first], matches[first]
-            if best:
-                order = np.lexsort((-matches, i))
-                i, j = i[order], j[order]
-                nth = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[nth < best], j[nth < best]
-            found += [(min(a, b), max(a, b)) for a, b in zip(nodes[i], nodes[j])]
-        pairs = sorted(set(found))
-        return [a for a, _ in pairs], [b for _, b in pairs]
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by tile; a tile may run over several batches."""
         held: list[pa.RecordBatch] = []
@@ -260,12 +268,10 @@ def _across(unsettled: DataFrame, sigs: DataFrame, how: Method, best: int | None
             at = np.stack([table.column(c).to_numpy() for c in ("key", "l", "r")])
             cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
             for begin, end in zip([0, *cuts[:-1]], cuts):
-                a, b = meet(table.slice(begin, end - begin))
-                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                yield from _met(table.slice(begin, end - begin), how, best)
             held = table.slice(cuts[-1] if len(cuts) else 0).combine_chunks().to_batches()
         if held:
-            a, b = meet(pa.Table.from_batches(held))
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            yield from _met(pa.Table.from_batches(held), how, best)
 
     dealt = tiles.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side", "node")
     return dealt.mapInArrow(compare, "a binary, b binary").distinct()
