@@ -210,3 +210,27 @@ def test_bands_and_cells_cut_into_several(spark, monkeypatch, band_rows):
     points = frame(spark, "doc_id", ids, vectors)
     got = kn.knn(points, points.withColumnRenamed("doc_id", "query_id"), 4, 7, exclude_self=True, broadcast_bytes=0, block_rows=16, pivots=12)
     same(collected(got), brute_force(ids, vectors, ids, vectors, 7, True))
+
+
+def test_own_cells_bound_the_neighbours_and_leave_cells_out(spark, monkeypatch):
+    monkeypatch.setattr(kn, "BOUND_ROWS", 16)  # several lots a cell
+    rng = np.random.default_rng(8)
+    points = np.round(rng.normal(size=(1500, 3)), 3)
+    points[:40] = points[0]
+    ids = np.arange(1500)
+    vectors = frame(spark, "doc_id", ids, points).repartition(3)
+    asked = frame(spark, "query_id", ids, points).repartition(3)
+    assigned = kn.assign_cells(vectors, points[-64:], 3)
+    cells = kn._describe(assigned, points[-64:], 6)
+    bounded = kn._bounded(assigned, asked, cells, 5, 3, 6, True).collect()
+    d2 = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    last = np.sort(d2, axis=1)[:, 4]
+    assert sorted(r["query_id"] for r in bounded) == list(range(1500)) and all(r["bound"] >= last[r["query_id"]] for r in bounded)
+    known = np.array([r["bound"] for r in sorted(bounded, key=lambda r: r["query_id"])])
+    route = kn.BoundedRoute(cells, 6, 6)
+    assert route(points, known).sum() < 0.7 * route(points).sum()
+    # More queries than are scanned for go by cells, with the same hits.
+    scanned = collected(kn.knn(vectors, asked, 3, 5, exclude_self=True))
+    monkeypatch.setattr(kn, "SCANNED", 100)
+    assert collected(kn.knn(vectors, asked, 3, 5, exclude_self=True)) == scanned
