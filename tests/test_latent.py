@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeglass.operators import latent as lt
+from tomeglass.session import cut_lineage
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -60,3 +61,11 @@ def test_fits_agree_and_words_may_be_limited(spark, texts):
     assert documents.select(F.explode(F.array_distinct(F.split("text", " "))).alias("w")).where("w <> ''").groupBy("w").count().where("count >= 40").count() == a.words.count()
     none = lt.fit_latent(documents.limit(0), k=3, passes=1)
     assert none.words.count() == 0 and not none.values.any() and lt.embed_latent(documents.limit(0), none).count() == 0
+
+
+def test_a_pass_writes_the_rows_of_words_once(spark, texts, monkeypatch):
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    written = []
+    monkeypatch.setattr(lt, "cut_lineage", lambda df: written.append(df.columns) or cut_lineage(df))
+    fits = [lt.fit_latent(documents, k=3, passes=passes) for passes in (1, 3)]
+    assert written.count(["term", "row"]) == 1 + 1 + 1 + 3 and sum("row" in c for c in written) == 1 + 1 + 1 + 3 + len(fits)

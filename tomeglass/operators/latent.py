@@ -7,7 +7,7 @@ matrix as small as the number of columns, which is all that the driver sees.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,10 @@ from tomeglass.operators import learning as ml
 from tomeglass.session import cut_lineage
 
 
+# Words of documents, each counted once per document, that one task multiplies. A word's row is sent to every block that has the word.
+BLOCK_ENTRIES = 2_000_000
+
+
 @dataclass(frozen=True)
 class LatentModel:
     """``words`` (term, idf, row): for every word its weight and its row of right singular vectors; the singular values."""
@@ -29,13 +33,20 @@ class LatentModel:
     values: np.ndarray
 
 
-def _block(left: pa.Table, right: pa.Table, width: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, entries (document, word, weight) with rows of length 1, and the products of the block's documents with the words' rows."""
+def _lists(rows: np.ndarray) -> pa.Array:
+    at = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1]))
+    return pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def _block(left: pa.Table, right: pa.Table, width: int, turn: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, entries (document, word, weight) with rows of length 1, and the products of the block's documents with the words' rows,
+    multiplied by ``turn`` if there is one."""
     terms, doc, term, n = ml.block_entries_of(left, right)
     weight = (1 + np.log(n)) * right["idf"].to_numpy()[term]
     length = np.sqrt(np.bincount(doc, weight**2, left.num_rows))
     weight = weight / length[doc]
     rows = right["row"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    rows = rows if turn is None else rows @ turn
     products = np.stack([np.bincount(doc, weight * rows[term, i], left.num_rows) for i in range(width)], axis=1)
     return terms, doc, term, weight, products
 
@@ -64,60 +75,62 @@ def _turned(words: DataFrame, turn: np.ndarray) -> DataFrame:
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             matrix = batch.column("row").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(shared.value)) @ shared.value
-            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("idf"), pa.array(list(matrix), pa.list_(pa.float64()))], ["term", "idf", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("idf"), _lists(matrix)], ["term", "idf", "row"])
 
     return words.select("term", "idf", "row").mapInArrow(multiply, "term string, idf double, row array<double>")
 
 
-def _orthogonal(words: DataFrame, width: int) -> DataFrame:
-    """Rows turned so that the columns are orthogonal and of length 1; directions that are empty become zero."""
+def _orthogonal(words: DataFrame, width: int) -> np.ndarray:
+    """What turns all rows so that the columns are orthogonal and of length 1; directions that are empty become zero."""
     values, vectors = np.linalg.eigh(_sums_of_products(words, width))
     scale = np.where(values > 1e-12 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-    return cut_lineage(_turned(words, vectors * scale))
+    return vectors * scale
 
 
-def fit_latent(documents: DataFrame, k: int, text: str = "text", min_docs: int = 1, more: int = 16, passes: int = 6, seed: int = 7, block_entries: int = ml.BLOCK_ENTRIES) -> LatentModel:
+def fit_latent(documents: DataFrame, k: int, text: str = "text", min_docs: int = 1, more: int = 16, passes: int = 6, seed: int = 7, block_entries: int = BLOCK_ENTRIES) -> LatentModel:
     """The ``k`` greatest singular values of the corpus and their vectors, by ``passes`` of subspace iteration with ``more`` columns.
 
     A document's row holds (1 + ln tf) · ln(1 + N / df) of its words, scaled to length 1; N counts documents with words. All documents
     and all words in ``min_docs`` documents count in every pass. The first rows follow from hashes, so a seed gives the same again.
     """
     dealt = ml.word_blocks(documents, text, block_entries)
-    of_blocks = ml.words_of_blocks(dealt)
     width, n = k + more, dealt.count()
     counted = dealt.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_docs)
-    words = cut_lineage(counted.select("term", F.log(1 + F.lit(n) / F.col("df")).alias("idf"), ml.hashed_normals(width, seed).alias("row")))
-    idf = words.select("term", "idf")
+    idf = cut_lineage(counted.select("term", F.log(1 + F.lit(n) / F.col("df")).alias("idf")))
+    of_blocks = cut_lineage(dealt.select("block", F.explode("terms.term").alias("term")).distinct().join(idf, "term").select("block", "term", "idf"))
 
-    def there_and_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        terms, doc, term, weight, products = _block(left, right, width)
-        back = np.stack([np.bincount(term, weight * products[doc, i], len(terms)) for i in range(width)], axis=1)
-        return pa.Table.from_arrays([terms, pa.array(list(back), pa.list_(pa.float64()))], names=["term", "row"])
+    def met(words: DataFrame, turn: np.ndarray, back: bool) -> DataFrame:
+        """What every block adds to its words, or without ``back`` the products of its documents. Rows are turned where they are used."""
 
-    def products(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(list(_block(left, right, width)[4]), pa.list_(pa.float64()))], names=["row"])
+        def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+            terms, doc, term, weight, products = _block(left, right, width, turn)
+            if not back:
+                return pa.Table.from_arrays([_lists(products)], names=["row"])
+            added = np.stack([np.bincount(term, weight * products[doc, i], len(terms)) for i in range(width)], axis=1)
+            return pa.Table.from_arrays([terms, _lists(added)], names=["term", "row"])
 
-    def met(words: DataFrame, what: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-        return dealt.groupBy("block").cogroup(of_blocks.join(words, "term").groupBy("block")).applyInArrow(what, schema)
+        rows = of_blocks.join(words, "term").groupBy("block")
+        return dealt.groupBy("block").cogroup(rows).applyInArrow(multiply, "term string, row array<double>" if back else "row array<double>")
 
-    words = _orthogonal(words, width)
+    words = cut_lineage(idf.select("term", ml.hashed_normals(width, seed).alias("row")))
+    turn = _orthogonal(words, width)
     for _ in range(passes):
-        sums = ml.summed_rows(met(words, there_and_back, "term string, row array<double>"), "row", width)
-        words = _orthogonal(cut_lineage(sums.join(idf, "term")), width)
-    values, turn = np.linalg.eigh(_sums_of_products(met(words, products, "row array<double>"), width))
+        words = cut_lineage(ml.summed_rows(met(words, turn, True), "row", width))
+        turn = _orthogonal(words, width)
+    values, last = np.linalg.eigh(_sums_of_products(met(words, turn, False), width))
     first = np.argsort(-values)[:k]
-    turn = turn[:, first] * np.where(turn[np.abs(turn[:, first]).argmax(axis=0), first] < 0, -1.0, 1.0)  # one of the two signs
-    return LatentModel(cut_lineage(_turned(words, turn)), np.sqrt(np.maximum(values[first], 0)))
+    last = last[:, first] * np.where(last[np.abs(last[:, first]).argmax(axis=0), first] < 0, -1.0, 1.0)  # one of the two signs
+    return LatentModel(cut_lineage(_turned(words.join(idf, "term"), turn @ last)), np.sqrt(np.maximum(values[first], 0)))
 
 
-def embed_latent(documents: DataFrame, model: LatentModel, text: str = "text", block_entries: int = ml.BLOCK_ENTRIES) -> DataFrame:
+def embed_latent(documents: DataFrame, model: LatentModel, text: str = "text", block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(doc_id, embedding): the documents, or queries, in the model's space; one without a known word is all zeros."""
     k = len(model.values)
     dealt = ml.word_blocks(documents, text, block_entries)
 
     def embed(left: pa.Table, right: pa.Table) -> pa.Table:
         products = _block(left, right, k)[4] if right.num_rows else np.zeros((left.num_rows, k))
-        return pa.Table.from_arrays([left["doc_id"].cast(pa.int64()), pa.array(list(products), pa.list_(pa.float64()))], names=["doc_id", "embedding"])
+        return pa.Table.from_arrays([left["doc_id"].cast(pa.int64()), _lists(products)], names=["doc_id", "embedding"])
 
     rows = ml.words_of_blocks(dealt).join(model.words, "term").groupBy("block")
     found = dealt.groupBy("block").cogroup(rows).applyInArrow(embed, "doc_id bigint, embedding array<double>")

@@ -39,7 +39,7 @@ def word_blocks(documents: DataFrame, text: str = "text", block_entries: int = B
     counted = cut_lineage(counted_terms(spread(arrays)).select("doc_id", F.transform("terms", short).alias("terms")))
     entries = counted.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(documents.sparkSession.sparkContext.defaultParallelism, -(-entries // block_entries))
-    return cut_lineage(counted.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "terms"))
+    return counted.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "terms")
 
 
 def words_of_blocks(dealt: DataFrame) -> DataFrame:
