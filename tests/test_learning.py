@@ -164,3 +164,16 @@ def test_documents_are_inferred_some_at_a_time(monkeypatch):
         found.append(ml.infer_topics(doc, term, n, beta, len(lengths), 0.2))
     for gamma, added in found[1:]:
         assert np.array_equal(gamma, found[0][0]) and np.array_equal(added, found[0][1])
+
+
+def test_words_go_to_a_block_as_texts_once(spark):
+    """Every pass sent all words of all documents as texts; documents hold numbers of the words of their block now."""
+    data = [(1, "b a b"), (2, "a c"), (2, "c"), (None, "a"), (5, ""), (6, None)]
+    blocks = ml.word_blocks(spark.createDataFrame(data, "doc_id long, text string"), block_entries=2)
+    words = {(r.block, r.place): r for r in blocks.words.collect()}
+    found = []
+    for r in blocks.documents.collect():
+        places, counts = (np.frombuffer(x, np.int32) for x in (r.places, r.counts))
+        found.append((r.doc_id, sorted((words[r.block, p].term, n) for p, n in zip(places, counts))))
+    assert sorted(found, key=str) == sorted([(1, [("a", 1), ("b", 2)]), (2, [("a", 1), ("c", 1)]), (2, [("c", 1)]), (None, [("a", 1)])], key=str)
+    assert dict(rows(blocks.per_term())) == {"a": 3, "b": 1, "c": 2}
