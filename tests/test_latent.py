@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +71,13 @@ def test_a_pass_writes_the_rows_of_words_once(spark, texts, monkeypatch):
     monkeypatch.setattr(lt, "cut_lineage", lambda df: written.append(df.columns) or cut_lineage(df))
     fits = [lt.fit_latent(documents, k=3, passes=passes) for passes in (1, 3)]
     assert written.count(["term", "row"]) == 1 + 1 + 1 + 3 and sum("row" in c for c in written) == 1 + 1 + 1 + 3 + len(fits)
+
+
+def test_rows_of_passes_that_are_over_are_deleted(spark, texts, monkeypatch):
+    """The rows of all passes stayed on the disk until the end of the application."""
+    written = []
+    monkeypatch.setattr(lt, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    model = lt.fit_latent(spark.createDataFrame(texts, "doc_id long, text string"), k=3, passes=3)
+    passes = [df.inputFiles() for df in written if df.columns == ["term", "row"]]
+    kept = [all(os.path.exists(f.removeprefix("file:")) or os.path.exists(f.removeprefix("file://")) for f in files) for files in passes]
+    assert kept == [False, False, False, True] and model.words.count() > 0

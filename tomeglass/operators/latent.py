@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeglass.operators import learning as ml
-from tomeglass.session import cut_lineage
+from tomeglass.session import cut_lineage, discard
 
 
-# Words of documents, each counted once per document, that one task multiplies. A word's row is sent to every block that has the word.
-BLOCK_ENTRIES = 2_000_000
+# Words of documents, each counted once per document, that one task holds. A word's row is sent to every block that has the word.
+BLOCK_ENTRIES = 8_000_000
+# Of these, what is multiplied at a time.
+SLICE_ENTRIES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -33,22 +35,24 @@ class LatentModel:
     values: np.ndarray
 
 
-def _lists(rows: np.ndarray) -> pa.Array:
-    at = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1]))
-    return pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(rows).ravel()))
+def _rows(table: pa.Table, width: int) -> np.ndarray:
+    return table["row"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _block(left: pa.Table, right: pa.Table, width: int, turn: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, entries (document, word, weight) with rows of length 1, and the products of the block's documents with the words' rows,
-    multiplied by ``turn`` if there is one."""
-    terms, doc, term, n = ml.block_entries_of(left, right)
-    weight = (1 + np.log(n)) * right["idf"].to_numpy()[term]
-    length = np.sqrt(np.bincount(doc, weight**2, left.num_rows))
-    weight = weight / length[doc]
-    rows = right["row"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    rows = rows if turn is None else rows @ turn
-    products = np.stack([np.bincount(doc, weight * rows[term, i], left.num_rows) for i in range(width)], axis=1)
-    return terms, doc, term, weight, products
+def _slices(left: pa.Table, right: pa.Table, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some documents at a time: their entries (document, word, weight) with rows of length 1, and the products of the documents with
+    ``columns``, which have a number for each word of ``right``."""
+    doc, term, n = ml.block_entries_of(left, right)
+    idf, total = right["idf"].to_numpy(), np.searchsorted(doc, np.arange(left.num_rows + 1))
+    begin = 0
+    while begin < left.num_rows:
+        end = min(left.num_rows, max(begin + 1, int(np.searchsorted(total, total[begin] + SLICE_ENTRIES, "right")) - 1))
+        some, docs = slice(total[begin], total[end]), end - begin
+        place, words = doc[some] - begin, term[some]
+        weight = (1 + np.log(n[some])) * idf[words]
+        weight = weight / np.sqrt(np.bincount(place, weight**2, docs))[place]
+        yield place, words, weight, np.stack([np.bincount(place, weight * column[words], docs) for column in columns], axis=1)
+        begin = end
 
 
 def _sums_of_products(rows: DataFrame, width: int) -> np.ndarray:
@@ -75,7 +79,7 @@ def _turned(words: DataFrame, turn: np.ndarray) -> DataFrame:
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             matrix = batch.column("row").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(shared.value)) @ shared.value
-            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("idf"), _lists(matrix)], ["term", "idf", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("idf"), ml.lists_of(matrix)], ["term", "idf", "row"])
 
     return words.select("term", "idf", "row").mapInArrow(multiply, "term string, idf double, row array<double>")
 
@@ -93,29 +97,37 @@ def fit_latent(documents: DataFrame, k: int, text: str = "text", min_docs: int =
     A document's row holds (1 + ln tf) · ln(1 + N / df) of its words, scaled to length 1; N counts documents with words. All documents
     and all words in ``min_docs`` documents count in every pass. The first rows follow from hashes, so a seed gives the same again.
     """
-    dealt = ml.word_blocks(documents, text, block_entries)
-    width, n = k + more, dealt.count()
-    counted = dealt.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_docs)
-    idf = cut_lineage(counted.select("term", F.log(1 + F.lit(n) / F.col("df")).alias("idf")))
-    of_blocks = cut_lineage(dealt.select("block", F.explode("terms.term").alias("term")).distinct().join(idf, "term").select("block", "term", "idf"))
+    blocks = ml.word_blocks(documents, text, block_entries)
+    width, n = k + more, blocks.documents.count()
+    counted = blocks.per_term().where(F.col("n") >= min_docs)
+    idf = cut_lineage(counted.select("term", F.log(1 + F.lit(n) / F.col("n")).alias("idf")))
+    of_blocks = cut_lineage(blocks.words.join(idf, "term").select("block", "place", "term", "idf"))
 
     def met(words: DataFrame, turn: np.ndarray, back: bool) -> DataFrame:
-        """What every block adds to its words, or without ``back`` the products of its documents. Rows are turned where they are used."""
+        """What every block adds to its words, or without ``back`` the products of its documents. Rows are turned where they are used.
+
+        Rows go to blocks and back in single precision, since the next pass makes up for it; the last products are made from rows as they are.
+        """
 
         def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-            terms, doc, term, weight, products = _block(left, right, width, turn)
+            columns = np.ascontiguousarray((_rows(right, width) @ turn).T)
             if not back:
-                return pa.Table.from_arrays([_lists(products)], names=["row"])
-            added = np.stack([np.bincount(term, weight * products[doc, i], len(terms)) for i in range(width)], axis=1)
-            return pa.Table.from_arrays([terms, _lists(added)], names=["term", "row"])
+                return pa.concat_tables([pa.Table.from_arrays([ml.lists_of(products)], ["row"]) for *_, products in _slices(left, right, columns)])
+            added = np.zeros(columns.shape)
+            for place, word, weight, products in _slices(left, right, columns):
+                for i in range(width):
+                    added[i] += np.bincount(word, weight * products[place, i], right.num_rows)
+            return pa.Table.from_arrays([right["term"].combine_chunks(), ml.lists_of(added.T.astype(np.float32))], ["term", "row"])
 
-        rows = of_blocks.join(words, "term").groupBy("block")
-        return dealt.groupBy("block").cogroup(rows).applyInArrow(multiply, "term string, row array<double>" if back else "row array<double>")
+        sent = F.col("row").cast("array<float>") if back else F.col("row")
+        rows = of_blocks.join(words.select("term", sent.alias("row")), "term").select("block", "place", "term", "idf", "row").groupBy("block")
+        return blocks.documents.groupBy("block").cogroup(rows).applyInArrow(multiply, "term string, row array<float>" if back else "row array<double>")
 
     words = cut_lineage(idf.select("term", ml.hashed_normals(width, seed).alias("row")))
     turn = _orthogonal(words, width)
     for _ in range(passes):
-        words = cut_lineage(ml.summed_rows(met(words, turn, True), "row", width))
+        before, words = words, cut_lineage(ml.summed_rows(met(words, turn, True), "row", width))
+        discard(before)
         turn = _orthogonal(words, width)
     values, last = np.linalg.eigh(_sums_of_products(met(words, turn, False), width))
     first = np.argsort(-values)[:k]
@@ -126,13 +138,14 @@ def fit_latent(documents: DataFrame, k: int, text: str = "text", min_docs: int =
 def embed_latent(documents: DataFrame, model: LatentModel, text: str = "text", block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(doc_id, embedding): the documents, or queries, in the model's space; one without a known word is all zeros."""
     k = len(model.values)
-    dealt = ml.word_blocks(documents, text, block_entries)
+    blocks = ml.word_blocks(documents, text, block_entries)
 
     def embed(left: pa.Table, right: pa.Table) -> pa.Table:
-        products = _block(left, right, k)[4] if right.num_rows else np.zeros((left.num_rows, k))
-        return pa.Table.from_arrays([left["doc_id"].cast(pa.int64()), _lists(products)], names=["doc_id", "embedding"])
+        columns = np.ascontiguousarray(_rows(right, k).T)
+        products = np.concatenate([np.zeros((0, k)), *(products for *_, products in _slices(left, right, columns))])
+        return pa.Table.from_arrays([left["doc_id"].combine_chunks(), ml.lists_of(products)], ["doc_id", "embedding"])
 
-    rows = ml.words_of_blocks(dealt).join(model.words, "term").groupBy("block")
-    found = dealt.groupBy("block").cogroup(rows).applyInArrow(embed, "doc_id bigint, embedding array<double>")
-    empty = documents.select("doc_id").join(dealt.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").cast("bigint"), F.array_repeat(F.lit(0.0), k).alias("embedding"))
+    rows = blocks.words.join(model.words, "term").select("block", "place", "idf", "row").groupBy("block")
+    found = blocks.documents.groupBy("block").cogroup(rows).applyInArrow(embed, "doc_id bigint, embedding array<double>")
+    empty = documents.select("doc_id").join(blocks.documents.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").cast("bigint"), F.array_repeat(F.lit(0.0), k).alias("embedding"))
     return found.unionByName(empty)
