@@ -27,6 +27,27 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(squares - 2.0 * (a @ b.T), 0.0)
 
 
+def may_lie_within(queries: np.ndarray, vectors: np.ndarray, limit: np.ndarray, factor: np.ndarray | float = 1.0, more: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all pairs whose squared distance, times a vector's ``factor``, is at most a query's ``limit`` and ``more`` of the vector, in
+    order of the queries, and of few others.
+
+    One product in single precision about the vectors' mean, with as much slack as its rounding may take; numbers that it cannot hold
+    are compared in double precision.
+    """
+    middle = vectors.mean(axis=0)
+    q, v = queries - middle, vectors - middle
+    squares, lengths = (q * q).sum(axis=1), (v * v).sum(axis=1)
+    factor, more = np.broadcast_to(factor, len(v)), np.broadcast_to(more, len(v))
+    size = squares + lengths.max(initial=0.0) + np.abs(more).max(initial=0.0) + np.abs(limit)
+    if not np.all(size < 1e30):
+        return np.nonzero(squared_distances(queries, vectors) * factor <= limit[:, None] + more)
+    slack = (queries.shape[1] + 16) * 2.0**-22 * size + 1e-30
+    q = np.column_stack([q, squares, np.ones(len(q))]).astype(np.float32)
+    v = np.column_stack([v * factor[:, None], -0.5 * factor, 0.5 * (more - factor * lengths)]).astype(np.float32)
+    least = (-0.5 * limit - slack).astype(np.float32)
+    return np.divmod(np.flatnonzero((q @ v.T >= least[:, None]).ravel()), len(v))
+
+
 class Best:
     """Running k best (cost, id) pairs per query: lower cost first, ties to the lower id, infinite cost never."""
 
@@ -90,36 +111,58 @@ class Nearest(Best):
 
     def _add_tile(self, rows: slice, ids: np.ndarray, vectors: np.ndarray) -> None:
         queries = self.queries[rows]
-        d2 = squared_distances(queries, vectors)
+        own = column = None
         if self.exclude_self:
             order = np.argsort(ids)
             at = np.searchsorted(ids, self.query_ids[rows], sorter=order)
             column = order[np.minimum(at, len(ids) - 1)]
             own = ids[column] == self.query_ids[rows]
-            d2[np.nonzero(own)[0], column[own]] = np.inf
-        row, col, cost = self._exact_where_it_matters(rows, d2, queries, vectors)
+        row, col, cost = self._where_known(rows, queries, vectors) or self._where_open(rows, queries, vectors, own, column)
+        if own is not None:
+            others = ~own[row] | (col != column[row])
+            row, col, cost = row[others], col[others], cost[others]
         if len(row):
             self._merge(rows, row, cost, ids[col])
 
+    def _where_known(self, rows: slice, queries: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Pairs that may matter, if all queries have a bound and these are few."""
+        limit = np.minimum(self.cost[rows, -1], self.within[rows])
+        if not np.isfinite(limit).all() or not len(vectors):
+            return None
+        row, col = may_lie_within(queries, vectors, limit + self._slack(queries, vectors)[:, 0])
+        return None if len(row) > 4 * self.k * len(queries) else (row, col, self._exact(row, col, queries, vectors))
+
+    def _where_open(self, rows: slice, queries: np.ndarray, vectors: np.ndarray, own: np.ndarray | None, column: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        d2 = squared_distances(queries, vectors)
+        if own is not None:
+            d2[np.nonzero(own)[0], column[own]] = np.inf
+        return self._exact_where_it_matters(rows, d2, queries, vectors)
+
+    def _slack(self, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        size = (queries * queries).sum(axis=1)[:, None] + (vectors * vectors).sum(axis=1).max()
+        return 1e-13 * queries.shape[1] * size + 10.0**-self.digits
+
     def _exact_where_it_matters(self, rows: slice, d2: np.ndarray, queries: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The product form is fast but loses digits where vectors lie far from the origin.
 
         What it says for certain, that a vector is beyond the k-th so far, is kept; all others, k and those that tie with
         the last of them, are computed anew from their differences before rounding.
         """
-        size = (queries * queries).sum(axis=1)[:, None] + (vectors * vectors).sum(axis=1).max()
-        slack = 1e-13 * queries.shape[1] * size + 10.0**-self.digits
+        slack = self._slack(queries, vectors)
         limit = np.minimum(self.cost[rows, -1:], self.within[rows, None])
         near = (d2 <= limit + slack) & np.isfinite(d2)
         if d2.shape[1] > self.k and np.count_nonzero(near) > 4 * self.k * len(d2):
             limit = np.minimum(limit, np.partition(d2, self.k - 1, axis=1)[:, self.k - 1 : self.k] + slack)
             near &= d2 <= limit + slack
         row, col = np.nonzero(near)
+        return row, col, self._exact(row, col, queries, vectors)
+
+    def _exact(self, row: np.ndarray, col: np.ndarray, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         exact = np.empty(len(row))
         for begin in range(0, len(row), CELLS // max(1, queries.shape[1])):
             i, j = row[begin : begin + CELLS // max(1, queries.shape[1])], col[begin : begin + CELLS // max(1, queries.shape[1])]
             exact[begin : begin + len(i)] = np.round(((queries[i] - vectors[j]) ** 2).sum(axis=1), self.digits)
-        return row, col, exact
+        return exact
 
 
 class HighestScores(Best):
