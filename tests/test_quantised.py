@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from tests.test_knn import brute_force, clustered, collected, frame, same
 from tomeglass.operators import knn as kn
+from tomeglass.operators import nearest as nn
 from tomeglass.operators import quantised as qz
 from tomeglass.session import fresh_path
+from tests.conftest import rows
 
 PLANS = {"scan": {}, "blocks": {"broadcast_bytes": 0, "block_rows": 64}}
 
@@ -129,3 +131,29 @@ def test_levels_move_towards_the_vectors(spark):
     points = frame(spark, "doc_id", ids, vectors)
     error = [np.mean(qz.train(points, 6, np.zeros((1, 6)), steps=steps).encode(vectors)[2] ** 2) for steps in (0, 1, 4)]
     assert error[0] > error[1] > error[2]
+
+
+def test_many_queries_are_not_scanned_by_the_few_tasks_that_read_codes(spark, monkeypatch):
+    """More than 16,384 queries met all codes in as many tasks as read them, one for a short file."""
+    rng = np.random.default_rng(11)
+    points = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rng.normal(size=(300, 48)))], "doc_id long, embedding array<double>")
+    index = qz.write_vector_index(points, fresh_path(spark, "many"), 48)
+    queries = points.withColumnRenamed("doc_id", "query_id")
+    scanned = qz.search(index, queries, exclude_self=True).hits
+    monkeypatch.setattr(kn, "SCANNED", 20)
+    monkeypatch.setattr(qz, "_scan", None)
+    by_blocks = qz.search(index, queries, exclude_self=True, block_rows=64).hits
+    exact = kn.knn(points, queries, 48, exclude_self=True)
+    assert rows(by_blocks) == rows(scanned) == rows(exact)
+
+
+@pytest.mark.parametrize("far", [0.0, 1e4, 1e25])
+def test_pairs_that_may_lie_within_a_limit(far):
+    """What is left out in single precision is beyond the limit in double precision, near the origin and far from it."""
+    rng = np.random.default_rng(12)
+    queries, vectors = rng.normal(size=(30, 20)) + far, rng.normal(size=(70, 20)) + far
+    limit, factor, more = rng.random(30) * 60, 0.5 + rng.random(70), rng.random(70)
+    d2 = nn.squared_distances(queries, vectors) if far > 1e9 else ((queries[:, None] - vectors[None]) ** 2).sum(axis=2)
+    found = set(zip(*(x.tolist() for x in nn.may_lie_within(queries, vectors, limit, factor, more))))
+    within = set(zip(*(x.tolist() for x in np.nonzero(d2 * factor <= limit[:, None] + more))))
+    assert within <= found and (far or len(found) < 1.01 * len(within) < 2000)
